@@ -185,7 +185,7 @@ def make_strip_png_text(keep_icc: bool = True):
         tail = blob[done:]
         return b"".join(kept) + (tail if len(tail) >= 8 else b"")
 
-    @F.pandas_udf("binary")
+    @F.pandas_udf(T.BinaryType())
     def strip_png_text(blobs: pd.Series) -> pd.Series:
         return blobs.map(strip)
 

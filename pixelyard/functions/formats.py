@@ -8,6 +8,7 @@ import zlib
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pixelyard import constants as K
 from pixelyard.functions.containers import png_is_animated
@@ -51,7 +52,7 @@ def _looks_like_svg(text: bytes) -> bool:
     return head == b"<?xml" or head[:4] == b"<svg"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _open_ambiguous(blobs: pd.Series) -> pd.Series:
     """apng / png / svgz for the few rows whose magic bytes leave the question open."""
 

@@ -56,7 +56,7 @@ def ssim_of(ref: np.ndarray, dist: np.ndarray, window: int = 11) -> float | None
 def make_ssim(height: int | None = None, width: int | None = None):
     """UDF over (ref, dist, height, width, channels) with flattened row-major arrays."""
 
-    @F.pandas_udf("double")
+    @F.pandas_udf(T.DoubleType())
     def ssim(ref: pd.Series, dist: pd.Series, h: pd.Series, w: pd.Series, c: pd.Series) -> pd.Series:
         def one(a, b, h, w, c):
             if a is None or b is None or len(a) != len(b) or len(a) != h * w * c:

@@ -8,6 +8,7 @@ from statistics import NormalDist
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def _c(x) -> Column:
@@ -48,7 +49,7 @@ def welch_df(n_a, std_a, n_b, std_b) -> Column:
     return F.when(usable, exact).otherwise(F.lit(0.0))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def two_sided_p(t: pd.Series) -> pd.Series:
     """Two-sided p of a standard normal statistic. Neither Spark nor numpy has erfc."""
     return t.map(lambda x: min(1.0, max(0.0, math.erfc(abs(x) / math.sqrt(2.0)))), na_action="ignore")
@@ -74,7 +75,7 @@ def differs(n_a, mean_a, std_a, n_b, mean_b, std_b, alpha: float = 0.05, min_eff
     )
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def mad_agg(values: pd.Series) -> float:
     """Grouped-aggregate form of MAD for SQL; holds a group in memory, for small groups only."""
     values = values.dropna()

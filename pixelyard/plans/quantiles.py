@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pixelyard.plans.scale import broadcast_if_small, fits_one_task, join_on
+from pixelyard.plans.scale import broadcast_if_small, estimated_bytes, fits_one_task, join_on
 
 #: (output name, value column, percentile in 0..100)
 Spec = tuple[str, str, float]
@@ -48,11 +48,11 @@ def aggregate(
     specs: Sequence[Spec],
     aggs: Sequence[Column] = (),
     plan: str = "auto",
-    splits: int = 1024,
+    splits: int | None = None,
 ) -> DataFrame:
     """``groupBy(keys)`` with ordinary aggregates plus exact percentiles.
 
-    ``plan`` is auto, single or ranged. NULL and NaN-free double measures are expected; NULLs
+    ``plan`` is auto, single or ranged; ``splits`` overrides the number of ranges per group. NULL and NaN-free double measures are expected; NULLs
     are ignored, an all-NULL group yields NULL.
     """
     keys = list(keys)
@@ -60,13 +60,21 @@ def aggregate(
         plan = "single" if fits_one_task(df) else "ranged"
     if plan == "single":
         return _single(df, keys, specs, aggs)
-    out = _ranged(df, keys, specs, splits)
+    out = _ranged(df, keys, specs, splits or _splits_for(df))
     base = df.groupBy(*keys).agg(*(list(aggs) or [F.count(F.lit(1)).alias("__rows")]))
     joined = join_on(base, out, keys, "left")
     names = [c for c in base.columns if c != "__rows"] + [name for name, _, _ in specs]
     return joined.select(*names)
 
 
+def _splits_for(df: DataFrame) -> int:
+    """Ranges per group, a power of two: one per 64 MiB if the whole input were one group."""
+    size = estimated_bytes(df)
+    if size is None:
+        return 1024
+    return min(4096, max(64, 1 << (size // (64 * 1024 * 1024)).bit_length()))
+
+
 def _single(df: DataFrame, keys: list[str], specs: Sequence[Spec], aggs: Sequence[Column]) -> DataFrame:
     arrays, outputs = [], {}
     for i, (column, wanted) in enumerate(_by_column(specs).items()):

@@ -11,15 +11,25 @@ from pyspark.sql import functions as F
 
 #: Above this estimated input size, single-shuffle plans that keep a whole group in
 #: one task are replaced by plans that split the group.
-ONE_TASK_BYTES = 256 * 1024 * 1024
+ONE_TASK_BYTES = 128 * 1024 * 1024
+#: Rows a plan may hold per row of its inputs (two sides, totals, unpivoted measures).
+LEAF_EXPANSION = 4
 
 
 def estimated_bytes(df: DataFrame) -> int | None:
-    """Catalyst's own size estimate for ``df`` (no job is run); None if unavailable."""
+    """Catalyst's size estimate for ``df`` (no job is run); None if unavailable.
+
+    Without column statistics a join is estimated as the product of its sides. The joins in this
+    library look rows up by key, so the estimate is bounded by what the leaf relations hold, with
+    room for expansion.
+    """
     jdf = getattr(df, "_jdf", None)
     if jdf is None:
         return None
-    return int(jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    plan = jdf.queryExecution().optimizedPlan()
+    leaves = plan.collectLeaves()
+    read = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    return min(int(str(plan.stats().sizeInBytes())), LEAF_EXPANSION * read)
 
 
 def fits_one_task(df: DataFrame, limit: int = ONE_TASK_BYTES) -> bool:

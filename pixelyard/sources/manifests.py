@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from pixelyard import constants as K
 
@@ -13,15 +12,8 @@ ENTRY = """name STRING, bucket STRING, content_kind STRING, seed BIGINT, width B
  encoded_sha256 MAP<STRING,MAP<STRING,STRING>>,
  source STRUCT<url: STRING, sha256: STRING, license: STRING, attribution: STRING, notes: STRING>,
  expected_byte_sha256 MAP<STRING,STRING>, bit_depth INT"""
-MANIFEST = T.StructType(
-    [
-        T.StructField("manifest_version", T.IntegerType()),
-        T.StructField("manifest_name", T.StringType()),
-        T.StructField("library_versions", T.MapType(T.StringType(), T.StringType())),
-        T.StructField("entries", T.ArrayType(T.StructType.fromDDL(ENTRY))),
-        T.StructField("_corrupt", T.StringType()),
-    ]
-)
+MANIFEST = f"""manifest_version INT, manifest_name STRING, library_versions MAP<STRING,STRING>,
+ entries ARRAY<STRUCT<{ENTRY}>>, _corrupt STRING"""
 _REQUIRED = ("name", "bucket", "content_kind", "seed", "width", "height", "output_formats")
 
 

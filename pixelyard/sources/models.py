@@ -4,18 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from pixelyard import constants as K
 from pixelyard.operators.fitting import LinearModel
 
-ARTIFACT = T.StructType.fromDDL(
-    """model_version INT, format STRING, features ARRAY<STRING>,
+ARTIFACT = """model_version INT, format STRING, features ARRAY<STRING>,
  scaler STRUCT<mean: ARRAY<DOUBLE>, scale: ARRAY<DOUBLE>>,
  coefficients STRUCT<intercept: DOUBLE, betas: ARRAY<DOUBLE>, knot_beta: DOUBLE, knot_q50_beta: DOUBLE, knot_q70_beta: DOUBLE>,
  knot_log10_unique_colors DOUBLE, knot_q50 DOUBLE, knot_q70 DOUBLE, training_envelope MAP<STRING,ARRAY<DOUBLE>>,
  training_corpus_sha256 STRING, git_sha STRING, fit_environment MAP<STRING,STRING>, created_at STRING"""
-)
 #: knot coefficient -> (artifact field with its position, feature it bends)
 _KNOTS = {
     "knot_beta": ("knot_log10_unique_colors", "log10_unique_colors"),

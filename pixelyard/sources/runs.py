@@ -8,6 +8,7 @@ run is written as several documents with the same envelope, each carrying a boun
 from __future__ import annotations
 
 from collections.abc import Mapping
+from functools import cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,28 +44,26 @@ _STATS = """case_id STRING, bucket STRING, format STRING, preset STRING, iterati
  py_peak_alloc_p95_kb BIGINT, raw_wall_ms ARRAY<DOUBLE>, rss_samples ARRAY<ARRAY<DOUBLE>>"""
 
 
-def _ddl(fields: str) -> T.StructType:
-    return T.StructType.fromDDL(fields)
-
-
-ITERATION = _ddl(_ITERATION)
-STATS = _ddl(_STATS)
 _ENVELOPE = """schema_version INT, timestamp STRING, mode STRING, config MAP<STRING,STRING>,
  git STRUCT<commit: STRING, branch: STRING, dirty: BOOLEAN>,
  host STRUCT<platform: STRING, cpu_count: INT, rss_unit: STRING>, library_versions MAP<STRING,STRING>,
  manifest STRUCT<name: STRING, sha256: STRING>, annotations MAP<STRING,STRING>, first_position BIGINT"""
-RUN = T.StructType(
-    [
-        *_ddl(_ENVELOPE).fields,
-        T.StructField("iterations", T.ArrayType(ITERATION)),
-        T.StructField("stats", T.ArrayType(STATS)),
-    ]
-)
+#: the document schema as DDL; schemas are always explicit because optional blocks vary by mode
+RUN = f"{_ENVELOPE}, iterations ARRAY<STRUCT<{_ITERATION}>>, stats ARRAY<STRUCT<{_STATS}>>"
+
+
+@cache
+def iteration_schema() -> T.StructType:
+    return T.StructType.fromDDL(_ITERATION)
+
+
+@cache
+def stats_schema() -> T.StructType:
+    return T.StructType.fromDDL(_STATS)
 
 
 def _read(spark: SparkSession, path: str) -> DataFrame:
-    schema = T.StructType([*RUN.fields, T.StructField("_corrupt", T.StringType())])
-    reader = spark.read.schema(schema).option("multiLine", True).option("columnNameOfCorruptRecord", "_corrupt")
+    reader = spark.read.schema(f"{RUN}, _corrupt STRING").option("multiLine", True).option("columnNameOfCorruptRecord", "_corrupt")
     return reader.option("recursiveFileLookup", "true").json(path).select("*", F.col("_metadata.file_path").alias("file"))
 
 
@@ -131,13 +130,13 @@ def flatten(iters: DataFrame) -> DataFrame:
 
 
 def write_run(iters: DataFrame, meta: Mapping, path: str, rows_per_document: int = 10_000) -> None:
-    """Iterations (columns of ``ITERATION`` plus ``pos``) and their statistics as documents that
+    """Iterations (columns of the iteration schema plus ``pos``) and their statistics as documents that
     ``scan_runs`` reads back.
 
     A slice holds at most ``rows_per_document`` iterations and, because a case goes to the slice of
     its first iteration, at most as many statistics; one slice is one row and one file.
     """
-    fields = [f for f in ITERATION.names if f in iters.columns]
+    fields = [f for f in iteration_schema().names if f in iters.columns]
     slim = iters.select("pos", *fields)
     slice_of = lambda c: F.floor(c / rows_per_document).cast("bigint")
     body = (
@@ -148,7 +147,7 @@ def write_run(iters: DataFrame, meta: Mapping, path: str, rows_per_document: int
     flat = flatten(_with_all_blocks(slim))
     cases = summarize_cases(flat, error="error", position="pos")
     starts = flat.groupBy("case_id").agg(F.min("pos").alias("__first"))
-    kept = [f for f in STATS.names if f in cases.columns]
+    kept = [f for f in stats_schema().names if f in cases.columns]
     stats = (
         cases.join(starts, "case_id")
         .groupBy(slice_of(F.col("__first")).alias("slice"))
@@ -172,7 +171,7 @@ def write_run(iters: DataFrame, meta: Mapping, path: str, rows_per_document: int
         _string_map({**meta.get("annotations", {}), **({"run_id": meta["run_id"]} if "run_id" in meta else {})}).alias("annotations"),
         "first_position",
         "iterations",
-        F.coalesce("stats", F.array().cast(T.ArrayType(STATS.__class__([STATS[f] for f in kept])))).alias("stats"),
+        F.coalesce("stats", F.array().cast(T.ArrayType(T.StructType([stats_schema()[f] for f in kept])))).alias("stats"),
     )
     document.write.mode("errorifexists").option("maxRecordsPerFile", 1).option("ignoreNullFields", True).json(path)
 
@@ -184,5 +183,5 @@ def _string_map(values: Mapping) -> Column:
 
 
 def _with_all_blocks(iters: DataFrame) -> DataFrame:
-    missing = {f.name: F.lit(None).cast(f.dataType) for f in ITERATION.fields if f.name not in iters.columns}
+    missing = {f.name: F.lit(None).cast(f.dataType) for f in iteration_schema().fields if f.name not in iters.columns}
     return iters.withColumns(missing) if missing else iters
