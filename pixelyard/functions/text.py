@@ -37,7 +37,8 @@ TOKENS = r"<[^<>]*>|[^<]+|<"
 
 URL_SCHEME = r"^([A-Za-z][A-Za-z0-9+.-]*):"
 URL_HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#]*@)?(\[[^\]/?#]*\]|[^/?#:@]*)"
-IPV4 = r"^(\d{1,3})\.(\d{1,3})\.(\d{1,3})\.(\d{1,3})$"
+_OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
+IPV4 = rf"^{_OCTET}(?:\.{_OCTET}){{3}}$"
 
 
 def _c(x) -> Column:
@@ -72,26 +73,29 @@ def url_host(url: str | Column) -> Column:
 
 def ipv4_number(ip: str | Column) -> Column:
     """IPv4 text as a number, NULL for anything else."""
-    ip = _c(ip)
-    parts = [F.try_to_number(F.nullif(F.regexp_extract(ip, IPV4, i), F.lit("")), F.lit("999")) for i in (1, 2, 3, 4)]
-    parts = [p.cast("bigint") for p in parts]
-    number = parts[0] * 2**24 + parts[1] * 2**16 + parts[2] * 2**8 + parts[3]
-    in_range = parts[0].between(0, 255) & parts[1].between(0, 255)
-    in_range = in_range & parts[2].between(0, 255) & parts[3].between(0, 255)
-    return F.when(in_range, number)
+    parts = F.split(_c(ip), r"\.")
+    octet = [F.get(parts, F.lit(i)).cast("bigint") for i in range(4)]
+    number = octet[0] * 2**24 + octet[1] * 2**16 + octet[2] * 2**8 + octet[3]
+    return F.when(F.regexp_like(_c(ip), F.lit(IPV4)), number)
 
 
-def blocked_ip(ip: str | Column) -> Column:
-    """True for private, loopback, link-local and unspecified ranges; the six IPv4 blocks are
-    literals, so containment is a range test instead of a join."""
-    ip = F.lower(_c(ip))
-    number = ipv4_number(ip)
-    v4 = F.lit(False)
+def blocked_number(number: str | Column) -> Column:
+    """The six blocked IPv4 ranges are literals, so containment is a range test, not a join."""
+    number, hit = _c(number), F.lit(False)
     for block in K.BLOCKED_IPV4:
         net = ipaddress.ip_network(block)
-        v4 = v4 | number.between(int(net.network_address), int(net.broadcast_address))
-    v6 = (ip == "::1") | F.regexp_like(ip, F.lit("^0*(?::0*){6}:0*1$")) | F.regexp_like(ip, F.lit("^f[cd][0-9a-f]{2}:"))
-    return F.coalesce(v4, F.lit(False)) | v6
+        hit = hit | number.between(int(net.network_address), int(net.broadcast_address))
+    return F.coalesce(hit, F.lit(False))
+
+
+def blocked_ipv6(ip: str | Column) -> Column:
+    """Loopback in short or full form, and fc00::/7."""
+    return F.regexp_like(_c(ip), F.lit(r"(?i)^(?:::1|(?:0{1,4}:){7}0{0,3}1|f[cd][0-9a-f]{2}:.*)$"))
+
+
+def blocked_ip(ip: str | Column) -> Column:
+    """True for private, loopback, link-local and unspecified addresses."""
+    return blocked_number(ipv4_number(ip)) | blocked_ipv6(ip)
 
 
 # --- markup ---------------------------------------------------------------------

@@ -79,7 +79,8 @@ def summarize_cases(
     if position and carried:
         aggs.append(F.min_by(F.struct(*carried), F.col(position)).alias("__first"))
     base = quantiles.aggregate(rows, keys, specs, aggs, plan)
-    spread = quantiles.median_abs_deviation(rows, keys, wall, "mad_ms", plan)
+    medians = base.select(*keys, F.col("p50_ms").alias("__median"))
+    spread = quantiles.median_abs_deviation(rows, keys, wall, "mad_ms", plan, medians)
     out = join_on(base, spread, keys, "left")
     if position and carried:
         out = out.select("*", *[F.col(f"__first.{c}").alias(c) for c in carried]).drop("__first")

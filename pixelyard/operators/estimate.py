@@ -22,6 +22,11 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def at_least(value: Column, floor: float = 0.0) -> Column:
+    """max(value, floor) that keeps NULL (``greatest`` alone would turn it into the floor)."""
+    return F.when(value.isNotNull(), F.greatest(value, F.lit(floor)))
+
+
 def bits_per_pixel(size, pixels) -> Column:
     return F.try_divide(_c(size).cast("double") * 8.0, _c(pixels).cast("double"))
 
@@ -98,7 +103,8 @@ def dqt_stats(table) -> tuple[Column, Column]:
     t = _c(table)
     n = F.size(t)
     mean = F.aggregate(t, F.lit(0.0), lambda s, x: s + x) / n
-    var = F.aggregate(t, F.lit(0.0), lambda s, x: s + (x - mean) * (x - mean)) / n
+    squares = F.aggregate(t, F.lit(0.0), lambda s, x: s + x * x) / n
+    var = squares - mean * mean  # exact: integers divided by 64
     usable = t.isNotNull() & (n == 64)
     return F.when(usable, mean).otherwise(0.0), F.when(usable, F.sqrt(var)).otherwise(0.0)
 
@@ -198,12 +204,12 @@ def sample_shape(fmt, width, height) -> tuple[Column, Column]:
 
 def reduction_from_size(size: Column, estimated: Column, digits: int | None = 1) -> Column:
     value = F.try_divide((size - estimated).cast("double"), size.cast("double")) * 100
-    value = value if digits is None else F.bround(value, digits)
-    return F.greatest(F.lit(0.0), value)
+    return at_least(value if digits is None else F.bround(value, digits))
 
 
 def size_from_bpp(bpp: Column, pixels: Column, size: Column) -> Column:
-    return F.least(F.floor(bpp * pixels / 8.0).cast("bigint"), size.cast("bigint"))
+    scaled = F.floor(bpp * pixels / 8.0).cast("bigint")
+    return F.when(scaled.isNotNull(), F.least(scaled, size.cast("bigint")))
 
 
 def extrapolate(
@@ -278,7 +284,7 @@ def build_estimate(
     estimated="estimated_size", reduction="reduction", method="method", confidence="confidence", path="path_taken",
     reason="fallback_reason", keep: Sequence[str] = (),
 ) -> DataFrame:
-    r = F.greatest(F.lit(0.0), _c(reduction))
+    r = at_least(_c(reduction))
     return df.select(
         *keep,
         _c(size).alias("original_size"),
@@ -288,7 +294,7 @@ def build_estimate(
         _c(bits).alias("bit_depth"),
         _c(estimated).alias("estimated_optimized_size"),
         r.alias("estimated_reduction_percent"),
-        potential(r).alias("optimization_potential"),
+        F.when(r.isNotNull(), potential(r)).alias("optimization_potential"),
         _c(method).alias("method"),
         (r == 0).alias("already_optimized"),
         _c(confidence).alias("confidence"),

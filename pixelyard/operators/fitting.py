@@ -119,7 +119,10 @@ def outside_envelope(envelope: Mapping[str, Sequence[float]]) -> Column:
 def add_knots(df: DataFrame, knots: Knots) -> DataFrame:
     return df.select(
         "*",
-        *[F.greatest(F.col(name).cast("double") - at, F.lit(0.0)).alias(knot) for knot, (name, at) in knots.items()],
+        *[
+            F.when(F.col(name).isNotNull(), F.greatest(F.col(name).cast("double") - at, F.lit(0.0))).alias(knot)
+            for knot, (name, at) in knots.items()
+        ],
     )
 
 

@@ -67,39 +67,31 @@ def memory_by_format(assets: DataFrame, fmt="format", size="length") -> DataFram
 # --- URLs -----------------------------------------------------------------------------
 
 
-def url_reason(url, unresolved: Column | None = None, blocked_address: Column | None = None) -> Column:
-    """First reason a URL is refused, NULL when it is safe."""
-    scheme, host = X.url_scheme(url), X.url_host(url)
-    address = X.blocked_ip(host) if blocked_address is None else blocked_address | X.blocked_ip(host)
-    reason = (
-        F.when((scheme != "https") | scheme.isNull(), "scheme")
-        .when(host == "", "no_host")
-        .when(host.isin(*K.BLOCKED_HOSTS), "blocked_host")
-    )
-    if unresolved is not None:
-        reason = reason.when(unresolved, "unresolved")
-    return reason.when(address, "blocked_address")
-
-
 def screen_urls(df: DataFrame, url: str = "url", resolved: DataFrame | None = None) -> DataFrame:
-    """Adds ``host`` and ``reason``.
+    """Adds ``host`` and ``reason``, the first rule that refuses the URL; NULL when it is safe.
 
     ``resolved(host, ip)`` stands for DNS: every address of a host must be allowed, and a host
     without a row is refused (address literals need none). It is reduced to one row per host
-    before the join, so a host with many addresses or many URLs multiplies nothing.
+    before the join, so a host with many addresses or many URLs multiplies nothing; a host with
+    very many URLs is split by the skew-join handling of adaptive execution.
     """
-    out = df.withColumn("host", X.url_host(url))
-    if resolved is None:
-        return out.withColumn("reason", url_reason(url))
-    hosts = resolved.groupBy(F.lower("host").alias("host")).agg(
-        F.bool_or(X.blocked_ip("ip")).alias("__blocked"), F.lit(True).alias("__known")
-    )
-    literal = X.ipv4_number("host").isNotNull() | F.contains(F.col("host"), F.lit(":"))
-    out = join_on(out, hosts, ["host"], "left")
-    reason = url_reason(
-        url, F.col("__known").isNull() & ~literal, F.coalesce(F.col("__blocked"), F.lit(False))
+    # Parsed once per row, in columns of their own: every rule below reads them again.
+    out = df.withColumns({"host": X.url_host(url), "__scheme": X.url_scheme(url)})
+    out = out.withColumn("__ip4", X.ipv4_number("host"))
+    host, address = F.col("host"), X.blocked_number("__ip4") | X.blocked_ipv6("host")
+    reason = (
+        F.when((F.col("__scheme") != "https") | F.col("__scheme").isNull(), "scheme")
+        .when(host == "", "no_host")
+        .when(host.isin(*K.BLOCKED_HOSTS), "blocked_host")
     )
-    return out.withColumn("reason", reason).drop("__blocked", "__known")
+    if resolved is not None:
+        one = resolved.groupBy(F.lower("host").alias("host")).agg(F.bool_or(X.blocked_ip("ip")).alias("__blocked"))
+        out = join_on(out, one, ["host"], "left")
+        literal = F.col("__ip4").isNotNull() | F.contains(host, F.lit(":"))
+        reason = reason.when(F.col("__blocked").isNull() & ~literal, "unresolved")
+        address = address | F.coalesce(F.col("__blocked"), F.lit(False))
+    reason = reason.when(address, "blocked_address")
+    return out.select(*df.columns, "host", reason.alias("reason"))
 
 
 def safe_urls(df: DataFrame, url: str = "url", resolved: DataFrame | None = None) -> DataFrame:
@@ -171,7 +163,8 @@ def valid_config(df: DataFrame, quality="quality", max_reduction="max_reduction"
 
 
 def clamp_quality(quality, offset: int = 10, lo: int = 30, hi: int = 90) -> Column:
-    return F.greatest(F.lit(lo), F.least(F.lit(hi), _c(quality) + offset))
+    q = _c(quality) + offset
+    return F.when(q < lo, lo).when(q > hi, hi).otherwise(q)  # NULL stays NULL
 
 
 def regime(quality) -> Column:

@@ -96,7 +96,7 @@ def estimate_assets(
         wants = F.when(F.col("path_taken") == "exact", "exact").otherwise("sample")
         rows = rows.withColumn("__kind", F.when(~F.col("__served"), wants)).join(s, [key, "__kind"], "left")
     sz = F.col(size).cast("bigint")
-    measured = F.when(F.col("path_taken") == "exact", F.least(F.col("optimized_size"), sz)).otherwise(
+    measured = F.when(F.col("path_taken") == "exact", F.when(F.col("optimized_size").isNotNull(), F.least(F.col("optimized_size"), sz))).otherwise(
         E.size_from_bpp(E.bits_per_pixel("optimized_size", "sample_pixels"), F.col("pixels"), sz)
     )
     measured = F.when(F.col("__method") == "none", sz).otherwise(measured)

@@ -9,7 +9,8 @@ Two plans give the same numbers:
   aggregation), every group is cut into value ranges by a bounded quantile sketch, ranks are
   found from the per-range counts, and only the ranges that hold a wanted rank are sorted.
   A hot group is spread over all its ranges; no task ever sees a whole group. The sketch
-  only balances the work, the result does not depend on its error.
+  only balances the work, the result does not depend on its error. The counted values are
+  written to the scratch folder when the plan is built, so the input is read once.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pixelyard.plans.scale import broadcast_if_small, estimated_bytes, fits_one_task, join_on
+from pixelyard.plans.scale import broadcast_if_small, fits_one_task, join_on, materialize
 
 #: (output name, value column, percentile in 0..100)
 Spec = tuple[str, str, float]
@@ -60,19 +61,16 @@ def aggregate(
         plan = "single" if fits_one_task(df) else "ranged"
     if plan == "single":
         return _single(df, keys, specs, aggs)
-    out = _ranged(df, keys, specs, splits or _splits_for(df))
+    out = _ranged(df, keys, specs, splits)
     base = df.groupBy(*keys).agg(*(list(aggs) or [F.count(F.lit(1)).alias("__rows")]))
     joined = join_on(base, out, keys, "left")
     names = [c for c in base.columns if c != "__rows"] + [name for name, _, _ in specs]
     return joined.select(*names)
 
 
-def _splits_for(df: DataFrame) -> int:
-    """Ranges per group, a power of two: one per 64 MiB if the whole input were one group."""
-    size = estimated_bytes(df)
-    if size is None:
-        return 1024
-    return min(4096, max(64, 1 << (size // (64 * 1024 * 1024)).bit_length()))
+def _splits_for(rows: int) -> int:
+    """Ranges per group, a power of two: a million rows each if all rows were one group."""
+    return min(4096, max(16, 1 << (rows // 1_000_000).bit_length()))
 
 
 def _single(df: DataFrame, keys: list[str], specs: Sequence[Spec], aggs: Sequence[Column]) -> DataFrame:
@@ -87,8 +85,8 @@ def _single(df: DataFrame, keys: list[str], specs: Sequence[Spec], aggs: Sequenc
     return frame.select(*plain, *[outputs[name] for name, _, _ in specs])
 
 
-def _ranged(df: DataFrame, keys: list[str], specs: Sequence[Spec], splits: int) -> DataFrame:
-    if splits & (splits - 1) or splits < 2:
+def _ranged(df: DataFrame, keys: list[str], specs: Sequence[Spec], splits: int | None) -> DataFrame:
+    if splits is not None and (splits < 2 or splits & (splits - 1)):
         raise ValueError("splits must be a power of two")
     group = [*keys, "__measure"]
     by_column = _by_column(specs)
@@ -105,7 +103,10 @@ def _ranged(df: DataFrame, keys: list[str], specs: Sequence[Spec], splits: int)
         .groupBy(*group, "__value")
         .agg(F.count(F.lit(1)).alias("__n"))
     )
-    points = F.array(*[F.lit(i / splits) for i in range(1, splits)])
+    counted = materialize(counted, "values")
+    if splits is None:
+        splits = _splits_for(counted.count())  # from the table's footers
+    points = F.expr("array(" + ", ".join(f"{i / splits}D" for i in range(1, splits)) + ")")
     cuts = counted.groupBy(*group).agg(
         F.array_distinct(F.percentile_approx("__value", points, F.lit(splits * 10))).alias("__cuts"),
         F.sum("__n").alias("__total"),
@@ -177,14 +178,19 @@ def _ranged(df: DataFrame, keys: list[str], specs: Sequence[Spec], splits: int)
 
 
 def median_abs_deviation(
-    df: DataFrame, keys: Sequence[str], column: str, out: str = "mad", plan: str = "auto"
+    df: DataFrame, keys: Sequence[str], column: str, out: str = "mad", plan: str = "auto", medians: DataFrame | None = None
 ) -> DataFrame:
-    """Median of absolute deviations from each group's median; one row per group."""
+    """Median of absolute deviations from each group's median; one row per group.
+
+    ``medians`` (keys, ``__median``) are used where the caller already has them.
+    """
     keys = list(keys)
-    middle = aggregate(df.select(*keys, column), keys, [("__median", column, 50)], plan=plan)
-    dev = join_on(df.select(*keys, column), middle, keys).select(
-        *keys, F.abs(F.col(column) - F.col("__median")).alias("__dev")
-    )
+    slim = df.select(*keys, column)
     if plan == "auto":
-        plan = "single" if fits_one_task(df.select(*keys, column)) else "ranged"
+        plan = "single" if fits_one_task(slim) else "ranged"
+    if medians is None:
+        medians = aggregate(slim, keys, [("__median", column, 50)], plan=plan)
+    if plan == "ranged":
+        medians = materialize(medians, "medians")  # one row per group
+    dev = join_on(slim, medians, keys).select(*keys, F.abs(F.col(column) - F.col("__median")).alias("__dev"))
     return aggregate(dev, keys, [(out, "__dev", 50)], plan=plan)

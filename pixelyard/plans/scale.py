@@ -91,6 +91,14 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+def materialize(df: DataFrame, label: str) -> DataFrame:
+    """Write ``df`` to the shared scratch folder and read it back: the plan starts over from a
+    table that survives lost executors and is computed once however often it is used."""
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def epoch_micros(column: str | Column) -> Column:
     """Microseconds since 1970 of a TIMESTAMP_NTZ column, independent of the session zone."""
     gap = F.col(column) if isinstance(column, str) else column

@@ -212,7 +212,7 @@ _SCALE = "CASE WHEN q < 50 THEN 5000 // q ELSE 200 - 2 * q END"
 
 
 def table_sql(base: tuple) -> str:
-    return f"list_transform({list(base)}, v -> least(greatest((v * s + 50) // 100, 1), 255))"
+    return f"list_transform({list(base)}, lambda v: least(greatest((v * s + 50) // 100, 1), 255))"
 
 
 JPEG = f"""SELECT *, {table_sql(K.ANNEX_K_LUMA)} AS luma,
