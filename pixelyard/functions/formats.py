@@ -82,21 +82,22 @@ def isobmff_brand(content: str | Column) -> Column:
     return F.coalesce(brand(slice_bytes(content, 8, 4)), F.get(known, F.lit(0)))
 
 
-def detect_format(content: str | Column, deep: bool = True) -> Column:
-    """Format name from content alone; NULL if unknown.
+def settle(content: str | Column) -> Column:
+    """The two cases that need more than magic bytes, a PNG containing the bytes ``acTL`` and a gzip
+    stream. Only those blobs are sent to Python."""
+    content = _c(content)
+    animated = starts(content, PNG_SIGNATURE) & F.contains(content, raw(b"acTL"))
+    return _open_ambiguous(F.when(animated | starts(content, b"\x1f\x8b"), content))
+
 
-    Everything runs in the JVM except two cases: a PNG that contains the bytes ``acTL``
-    somewhere, and a gzip stream. Only those blobs are sent to Python. With ``deep=False``
-    (file heads) neither case is opened: PNG stays ``png``, gzip is unknown.
-    """
+def detect_format(content: str | Column, deep: bool = True, settled: Column | None = None) -> Column:
+    """Format name from content alone; NULL if unknown. With ``deep=False`` (file heads) neither
+    ambiguous case is opened: PNG stays ``png``, gzip is unknown. ``settled`` passes the value of
+    ``settle`` where a plan has it in a column already."""
     content = _c(content)
-    png = starts(content, PNG_SIGNATURE)
-    zipped = starts(content, b"\x1f\x8b")
-    if deep:
-        open_question = (png & F.contains(content, raw(b"acTL"))) | zipped
-        settled = _open_ambiguous(F.when(open_question, content))
-    else:
-        settled = F.lit(None).cast("string")
+    png, zipped = starts(content, PNG_SIGNATURE), starts(content, b"\x1f\x8b")
+    if settled is None:
+        settled = settle(content) if deep else F.lit(None).cast("string")
     svg = F.when(F.regexp_like(F.decode(content, "ISO-8859-1"), F.lit(_SVG_START)), "svg")
     return (
         F.when(F.length(content) < 4, None)

@@ -118,10 +118,15 @@ def _headers(heads: pd.Series) -> pd.DataFrame:
 
 def jpeg_header(content: str | Column) -> Column:
     """Header struct, NULL if broken. Only the first 64 KiB of JPEG rows leave the JVM."""
+    parsed = raw_header(content)
+    return F.when(parsed["width"].isNotNull(), parsed)
+
+
+def raw_header(content: str | Column) -> Column:
+    """The same as a bare struct whose fields are all NULL where there is no header."""
     content = F.col(content) if isinstance(content, str) else content
     is_jpeg = F.substring(content, 1, 2) == F.lit(bytearray(b"\xff\xd8"))
-    parsed = _headers(F.when(is_jpeg, F.substring(content, 1, K.JPEG_HEAD_BYTES)))
-    return F.when(parsed["width"].isNotNull(), parsed)
+    return _headers(F.when(is_jpeg, F.substring(content, 1, K.JPEG_HEAD_BYTES)))
 
 
 def scaled_tables(base: tuple[int, ...]) -> np.ndarray:

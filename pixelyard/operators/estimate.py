@@ -68,8 +68,14 @@ def plausible(bpp: Column, input_bpp: Column, quality: Column, ratio_reason: str
 
 
 def _verdict(df: DataFrame, refuse: Column, bpp: Column, input_bpp: Column, quality: Column, ratio_reason: str) -> DataFrame:
-    reason = F.coalesce(refuse, plausible(bpp, input_bpp, quality, ratio_reason))
-    return df.select("*", F.when(reason.isNull(), bpp).alias("bpp"), reason.alias("fallback_reason"))
+    # Each value gets a column before the checks read it again; inlined, the model formula would
+    # be repeated once per check.
+    staged = df.withColumns({"__bpp": bpp, "__input": input_bpp, "__refuse": refuse})
+    reason = F.coalesce("__refuse", plausible(F.col("__bpp"), F.col("__input"), quality, ratio_reason))
+    staged = staged.withColumn("__reason", reason)
+    return staged.select(
+        *df.columns, F.when(F.col("__reason").isNull(), F.col("__bpp")).alias("bpp"), F.col("__reason").alias("fallback_reason")
+    )
 
 
 def png_header_bpp(

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pixelyard.functions.formats import detect_format, png_header, uint_be
-from pixelyard.functions.jpeg import jpeg_header
+from pixelyard.functions.formats import detect_format, png_header, settle, uint_be
+from pixelyard.functions.jpeg import raw_header
 from pixelyard.operators import estimate as E
 from pixelyard.operators.screening import admission
+from pixelyard.plans.scale import pinned
 
 
 def _uint_le(content: Column, offset: int, width: int) -> Column:
@@ -23,16 +24,18 @@ def identify(assets: DataFrame, content: str = "content", size: str = "length",
     nothing downstream can shuffle it."""
     c = F.col(content)
     rest = [x for x in assets.columns if x != content]
-    out = assets.select("*", detect_format(c, deep).alias("format"))
-    png = F.col("format").isin("png", "apng")
-    out = out.select(
-        *rest,
-        "format",
-        F.when(png, png_header(c)).alias("png"),
-        jpeg_header(F.when(F.col("format") == "jpeg", c)).alias("jpeg"),
-        F.when(F.col("format") == "gif", F.struct(_uint_le(c, 6, 2).alias("width"), _uint_le(c, 8, 2).alias("height")))
-        .when(F.col("format") == "bmp", F.struct(_uint_le(c, 18, 4).alias("width"), _uint_le(c, 22, 4).alias("height")))
-        .alias("__other"),
+    settled = settle(c) if deep else F.lit(None).cast("string")
+    out = assets.withColumn("__settled", settled)
+    out = pinned(out, format=detect_format(c, settled=F.col("__settled")))
+    out = out.withColumn("__jpeg", raw_header(F.when(F.col("format") == "jpeg", c)))
+    side = lambda w, h: F.struct(w.alias("width"), h.alias("height"))
+    out = pinned(
+        out,
+        png=F.when(F.col("format").isin("png", "apng"), png_header(c)),
+        jpeg=F.when(F.col("__jpeg.width").isNotNull(), F.col("__jpeg")),
+        __other=F.when(F.col("format") == "gif", side(_uint_le(c, 6, 2), _uint_le(c, 8, 2))).when(
+            F.col("format") == "bmp", side(_uint_le(c, 18, 4), _uint_le(c, 22, 4))
+        ),
     )
     colour = F.col("png.color_type")
     mode = (
@@ -83,12 +86,15 @@ def estimate_assets(
     found = admission(found, size=size)
     pixels = F.col("width").cast("bigint") * F.col("height").cast("bigint")
     scored = header_estimates(found, quality, size=size).withColumn("pixels", pixels)
-    first = E.estimate_strategy("format", "pixels", size, "frames", fitted=fitted)
-    plain = E.estimate_strategy("format", "pixels", size, "frames", fitted=False)
-    headers = first.endswith("_header_only")
-    served = headers & F.col("bpp").isNotNull() & F.col("error_code").isNull()
-    path = F.when(served, first).otherwise(plain)
-    rows = scored.select("*", path.alias("path_taken"), served.alias("__served"), headers.alias("__tried"))
+    scored = scored.withColumns(
+        {
+            "__first": E.estimate_strategy("format", "pixels", size, "frames", fitted=fitted),
+            "__plain": E.estimate_strategy("format", "pixels", size, "frames", fitted=False),
+        }
+    )
+    scored = scored.withColumn("__tried", F.endswith("__first", F.lit("_header_only")))
+    rows = scored.withColumn("__served", F.col("__tried") & F.col("bpp").isNotNull() & F.col("error_code").isNull())
+    rows = rows.withColumn("path_taken", F.when(F.col("__served"), F.col("__first")).otherwise(F.col("__plain")))
     if samples is None:
         rows = rows.withColumns({c: F.lit(None).cast(t) for c, t in (("optimized_size", "bigint"), ("sample_pixels", "bigint"), ("__method", "string"))})
     else:

@@ -73,6 +73,16 @@ def lookup(mapping: dict, key: Column, default=None) -> Column:
     return found if default is None else F.coalesce(found, F.lit(default))
 
 
+def pinned(df: DataFrame, **columns: Column) -> DataFrame:
+    """Adds columns that are computed once per row.
+
+    The optimizer copies a projected expression into every place that reads it (and below filters)
+    when Python functions or struct fields are involved. The output of a generator is never
+    copied, so expensive columns with many readers go through a one-element ``inline``.
+    """
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path in the cluster's shared checkpoint folder.
 

@@ -114,7 +114,8 @@ def conditions(runs: DataFrame) -> DataFrame:
 
 def flatten(iters: DataFrame) -> DataFrame:
     """Measurement, quality and accuracy blocks as plain columns; a missing block gives NULLs."""
-    m = F.col("measurement")
+    present, full = iters.schema["measurement"].dataType.names, iteration_schema()["measurement"].dataType
+    m = {f.name: F.col("measurement")[f.name] if f.name in present else F.lit(None).cast(f.dataType) for f in full.fields}
     flat = {
         f: m[f]
         for f in ("wall_ms", "parallelism", "parent_peak_rss_kb", "children_peak_rss_kb", "py_peak_alloc_kb", "rss_samples")
