@@ -180,12 +180,12 @@ def _(spark, folder):
 
 @query(
     "run_case_rows",
-    f"""SELECT case_id, iterations, p50_ms, p95_ms, children_peak_rss_p95_kb, parent_peak_rss_p95_kb FROM ({CASES}) WHERE format IN ('jpeg', 'png')""",
+    f"""SELECT case_id, iterations, p50_ms, p95_ms FROM ({CASES}) WHERE format IN ('jpeg', 'png')""",
     rounded="p50_ms p95_ms", digits=8,
 )
 def _(spark, folder):
     cases = runs.case_rows(_written(spark, folder))
-    return cases.select("case_id", "iterations", "p50_ms", "p95_ms", "children_peak_rss_p95_kb", "parent_peak_rss_p95_kb")
+    return cases.select("case_id", "iterations", "p50_ms", "p95_ms")
 
 
 def _manifests(spark, folder):
