@@ -288,7 +288,7 @@ def estimate_from_thumbnail(
 def build_estimate(
     df: DataFrame, size="length", fmt="format", width="width", height="height", color="color_type", bits="bit_depth",
     estimated="estimated_size", reduction="reduction", method="method", confidence="confidence", path="path_taken",
-    reason="fallback_reason", keep: Sequence[str] = (),
+    reason="fallback_reason", keep: Sequence[str | Column] = (),
 ) -> DataFrame:
     r = at_least(_c(reduction))
     return df.select(

@@ -116,4 +116,5 @@ def estimate_assets(
             "fallback_reason": F.when(F.col("__tried") & ~F.col("__served"), F.col("fallback_reason")),
         }
     )
-    return E.build_estimate(rows, size=size, keep=(key, "error_code"))
+    asset = F.col(key).alias("asset") if key == "path" else key  # ``path`` is the estimation path
+    return E.build_estimate(rows, size=size, keep=(asset, "error_code"))

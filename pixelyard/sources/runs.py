@@ -142,7 +142,7 @@ def write_run(iters: DataFrame, meta: Mapping, path: str, rows_per_document: int
     slice_of = lambda c: F.floor(c / rows_per_document).cast("bigint")
     body = (
         slim.groupBy(slice_of(F.col("pos")).alias("slice"))
-        .agg(F.min("pos").alias("first_position"), F.sort_array(F.collect_list(F.struct("pos", *fields))).alias("rows"))
+        .agg(F.min("pos").alias("first_position"), F.array_sort(F.collect_list(F.struct("pos", *fields)), _by_pos).alias("rows"))
         .select("slice", "first_position", F.transform("rows", lambda r: F.struct(*[r[f].alias(f) for f in fields])).alias("iterations"))
     )
     flat = flatten(_with_all_blocks(slim))
@@ -177,6 +177,10 @@ def write_run(iters: DataFrame, meta: Mapping, path: str, rows_per_document: int
     document.write.mode("errorifexists").option("maxRecordsPerFile", 1).option("ignoreNullFields", True).json(path)
 
 
+def _by_pos(a: Column, b: Column) -> Column:
+    return F.when(a["pos"] < b["pos"], -1).when(a["pos"] > b["pos"], 1).otherwise(0)
+
+
 def _string_map(values: Mapping) -> Column:
     if not values:
         return F.create_map().cast("map<string,string>")

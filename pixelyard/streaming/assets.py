@@ -8,8 +8,11 @@ from pyspark.sql.streaming import DataStreamWriter
 from pixelyard.plans.assets import estimate_assets
 
 
+BINARY_FILE = "path STRING, modificationTime TIMESTAMP, length BIGINT, content BINARY"
+
+
 def asset_stream(spark: SparkSession, folder: str, files_per_trigger: int = 1000) -> DataFrame:
-    reader = spark.readStream.format("binaryFile").option("maxFilesPerTrigger", files_per_trigger)
+    reader = spark.readStream.format("binaryFile").schema(BINARY_FILE).option("maxFilesPerTrigger", files_per_trigger)
     return reader.option("recursiveFileLookup", "true").load(folder)
 
 
