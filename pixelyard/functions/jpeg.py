@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,9 +34,9 @@ _SAMPLING = {
 }
 
 
-def _quant_tables(payload: bytes, budget: int) -> tuple[dict[int, list[int]], int]:
+def _quant_tables(payload: bytes, budget: int) -> tuple[dict[int, np.ndarray], int]:
     """Tables by id from one DQT payload, and the byte budget that is left."""
-    tables: dict[int, list[int]] = {}
+    tables: dict[int, np.ndarray] = {}
     at = 0
     while at < len(payload):
         wide, slot = payload[at] >> 4 == 1, payload[at] & 15
@@ -46,7 +47,7 @@ def _quant_tables(payload: bytes, budget: int) -> tuple[dict[int, list[int]], in
         budget -= size
         if budget < 0:
             break
-        tables[slot] = np.frombuffer(body, ">u2" if wide else "u1").astype(int).tolist()
+        tables[slot] = np.frombuffer(body, ">u2" if wide else "u1").astype(np.int32)
         at += 1 + size
     return tables, budget
 
@@ -57,7 +58,7 @@ def read_header(blob: bytes | None) -> dict | None:
         return None
     blob = blob[: K.JPEG_HEAD_BYTES]
     frame: tuple | None = None  # (marker, precision, height, width, components, factors)
-    tables: dict[int, list[int]] = {}
+    tables: dict[int, np.ndarray] = {}
     budget, transform, lossless = K.JPEG_MAX_DQT_BYTES, None, False
     try:
         for marker, start, end in jpeg_segments(blob, K.JPEG_MAX_MARKERS):
@@ -107,13 +108,27 @@ def read_header(blob: bytes | None) -> dict | None:
     }
 
 
+_ARROW_HEADER = {
+    "width": pa.int64(),
+    "height": pa.int64(),
+    "components": pa.int32(),
+    "bit_depth": pa.int32(),
+    "subsampling": pa.string(),
+    "progressive": pa.bool_(),
+    "dqt_luma": pa.list_(pa.int32()),
+    "dqt_chroma": pa.list_(pa.int32()),
+    "app14_color_transform": pa.int32(),
+    "fallback_reason": pa.string(),
+}
 _EMPTY = dict.fromkeys(JPEG_HEADER.fieldNames())
 
 
-@F.pandas_udf(JPEG_HEADER)
-def _headers(heads: pd.Series) -> pd.DataFrame:
-    rows = [read_header(h) or _EMPTY for h in heads]
-    return pd.DataFrame(rows, columns=JPEG_HEADER.fieldNames(), dtype=object)
+@F.arrow_udf(JPEG_HEADER)
+def _headers(heads: pa.Array) -> pa.Array:
+    # Arrow in and out: building pandas objects for the two tables cost more than the parsing.
+    rows = [read_header(h.as_py()) or _EMPTY for h in heads]
+    columns = [pa.array([r[name] for r in rows], type=kind) for name, kind in _ARROW_HEADER.items()]
+    return pa.StructArray.from_arrays(columns, names=list(_ARROW_HEADER))
 
 
 def jpeg_header(content: str | Column) -> Column:
@@ -164,9 +179,8 @@ def source_quality(luma: pd.Series, chroma: pd.Series) -> pd.DataFrame:
         at = np.flatnonzero(rows)
         if not len(at):
             continue
-        tables = np.stack([np.asarray(luma.iloc[i], float) for i in at])
-        if standard is std_both:
-            tables = np.hstack([tables, np.stack([np.asarray(chroma.iloc[i], float) for i in at])])
+        sides = (luma, chroma) if standard is std_both else (luma,)
+        tables = np.hstack([np.concatenate(s.to_numpy()[at]).reshape(-1, 64) for s in sides]).astype(float)
         q, nse = _match(tables, standard)
         out.iloc[at, 0] = q
         out.iloc[at, 1] = nse

@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
 
 from pixelyard import constants as K
 from pixelyard.functions.containers import walk
-from pixelyard.functions.jpeg import JPEG_HEADER, _headers
+from pixelyard.functions.jpeg import _headers
 from pixelyard.functions.stats import mad_agg, two_sided_p
 
 
@@ -46,7 +45,7 @@ class ContainerSegments:
 def register_all(spark: SparkSession) -> None:
     for signature, body in NATIVE.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {signature} RETURN {body}")
-    spark.udf.register("jpeg_header", F.pandas_udf(_headers.func, JPEG_HEADER))
+    spark.udf.register("jpeg_header", _headers)
     spark.udf.register("normal_p", two_sided_p)
     spark.udf.register("mad_small", mad_agg)
     spark.udtf.register("container_segments", ContainerSegments)

@@ -128,12 +128,19 @@ def markup_counts(text: str | Column) -> list[Column]:
     ]
 
 
-def sanitize_html(text: str | Column) -> Column:
-    """Text-level removal of scripts, handlers, dangerous hrefs and CSS imports."""
+def markup_tokens(text: str | Column) -> Column:
+    """Tags and the text between them, dangerous elements already gone."""
     text = _c(text)
     for pattern in DANGEROUS_WHOLE:
         text = F.regexp_replace(text, pattern, "")
-    tokens = F.regexp_extract_all(text, F.lit(f"({TOKENS})"), F.lit(1))
+    return F.regexp_extract_all(text, F.lit(f"({TOKENS})"), F.lit(1))
+
+
+def sanitize_tokens(tokens: str | Column) -> Column:
+    """The document put together again without handlers, dangerous hrefs and CSS imports. Pass a
+    real column: the lambda looks at the token before, so an inlined expression would be
+    evaluated once per token."""
+    tokens = _c(tokens)
 
     def clean(token: Column, i: Column) -> Column:
         tag = F.regexp_replace(F.regexp_replace(token, HANDLER_ATTR, ""), DATA_HTML_ATTR, "")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from pixelyard import constants as K
 from pixelyard.functions import text as X
-from pixelyard.plans.scale import join_on, lookup
+from pixelyard.plans.scale import join_on, lookup, pinned
 
 
 def _c(x) -> Column:
@@ -130,7 +130,8 @@ def markup_threats(df: DataFrame, text: str) -> DataFrame:
 def sanitize_markup(df: DataFrame, text: str, xml: bool = False) -> DataFrame:
     """HTML is rewritten as text; with ``xml`` documents are parsed and bad ones get an error."""
     if not xml:
-        return df.withColumn("clean", X.sanitize_html(text))
+        tokens = pinned(df, __tokens=X.markup_tokens(text))
+        return tokens.select(*df.columns, X.sanitize_tokens("__tokens").alias("clean"))
     cleaned = df.withColumn("__svg", X.sanitize_svg(F.col(text)))
     return cleaned.select("*", F.col("__svg.svg").alias("clean"), F.col("__svg.error").alias("error")).drop("__svg")
 

@@ -95,10 +95,7 @@ def _(spark, folder):
 
 @query("source_quality", "SELECT o_orderkey, CAST(o_orderkey % 100 + 1 AS INTEGER) AS q, CASE WHEN o_orderkey % 100 + 1 IN (1, 100) THEN 0.0 ELSE 1.0 END AS nse FROM orders", rounded="nse")
 def _(spark, folder):
-    q = F.col("o_orderkey") % 100 + 1
-    o = read_table(spark, folder, "orders").select(
-        "o_orderkey", FJ.source_quality(W._scaled(K.ANNEX_K_LUMA, q).cast("array<int>"), W._scaled(K.ANNEX_K_CHROMA, q).cast("array<int>")).alias("s")
-    )
+    o = W.with_quality_tables(read_table(spark, folder, "orders")).select("o_orderkey", FJ.source_quality("luma", "chroma").alias("s"))
     return o.select("o_orderkey", "s.q", "s.nse")
 
 

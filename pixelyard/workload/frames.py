@@ -174,20 +174,30 @@ def _scaled(base: tuple, q: Column) -> Column:
     return F.transform(values, lambda v: F.least(F.greatest(F.floor((v * scale + 50) / 100), F.lit(1)), F.lit(255)))
 
 
-def _table_hex(base: tuple, q: Column) -> Column:
-    return F.array_join(F.transform(_scaled(base, q), lambda v: F.lpad(F.hex(v.cast("bigint")), 2, "0")), "")
+def _table_hex(table: str) -> Column:
+    return F.array_join(F.transform(table, lambda v: F.lpad(F.hex(v.cast("bigint")), 2, "0")), "")
+
+
+def with_quality_tables(orders: DataFrame) -> DataFrame:
+    """orders beside the standard tables at quality o_orderkey % 100 + 1; the tables are one broadcast
+    frame of a hundred rows."""
+    q = orders.sparkSession.range(1, 101).select(
+        F.col("id").alias("q"), _scaled(K.ANNEX_K_LUMA, F.col("id")).cast("array<int>").alias("luma"), _scaled(K.ANNEX_K_CHROMA, F.col("id")).cast("array<int>").alias("chroma")
+    )
+    q = q.withColumns({"luma_hex": _table_hex("luma"), "chroma_hex": _table_hex("chroma")})
+    return orders.withColumn("q", F.col("o_orderkey") % 100 + 1).join(F.broadcast(q), "q")
 
 
 def jpeg_assets(spark: SparkSession, folder: str) -> DataFrame:
     """JPEG marker streams (tables, frame header, scan start) built from order keys. o_orderkey % 8
     selects: 4:2:0, progressive 4:4:4, 4:2:2, grayscale, lossless, four components, no chroma table,
     Adobe transform 2; the tables are the standard ones at quality o_orderkey % 100 + 1."""
-    o = read_table(spark, folder, "orders")
-    k, q = F.col("o_orderkey"), F.col("o_orderkey") % 100 + 1
+    o = with_quality_tables(read_table(spark, folder, "orders"))
+    k = F.col("o_orderkey")
     variant = k % 8
     width, height = k % 3000 + 100, k % 2000 + 100
-    luma = F.concat(F.lit("FFDB004300"), _table_hex(K.ANNEX_K_LUMA, q))
-    chroma = F.when(variant.isin(3, 6), "").otherwise(F.concat(F.lit("FFDB004301"), _table_hex(K.ANNEX_K_CHROMA, q)))
+    luma = F.concat(F.lit("FFDB004300"), F.col("luma_hex"))
+    chroma = F.when(variant.isin(3, 6), "").otherwise(F.concat(F.lit("FFDB004301"), F.col("chroma_hex")))
     adobe = F.when(variant == 7, "FFEE000E41646F626500640000000002").otherwise("")
     marker = F.when(variant == 1, "C2").when(variant == 4, "C3").otherwise("C0")
     size = F.concat(hex_be(height, 2), hex_be(width, 2))
