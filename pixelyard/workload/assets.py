@@ -575,7 +575,7 @@ def _estimates(spark, folder):
 _EST_PNG = _PNG_BPP.replace("([40,60,75])[p_partkey % 3 + 1] AS quality", "60 AS quality")
 _EST = f"""WITH b AS (SELECT *, valid AS is_png FROM ({_EST_PNG})),
  c AS (SELECT *, length > 33554432 AS big,
-  CASE WHEN length >= 1048576 THEN 'png_header_only' WHEN width * height <= 150000 OR input_bpp < 2.0 THEN 'exact' ELSE 'png_header_only' END AS first,
+  CASE WHEN NOT valid OR length >= 1048576 THEN 'png_header_only' WHEN width * height <= 150000 OR input_bpp < 2.0 THEN 'exact' ELSE 'png_header_only' END AS first,
   CASE WHEN width * height <= 150000 OR input_bpp < 2.0 THEN 'exact' ELSE 'direct_encode_sample' END AS plain FROM b),
  d AS (SELECT *, first = 'png_header_only' AND fallback_reason IS NULL AND valid AND NOT big AND width * height * bytes <= 536870912 AND width * height <= 100000000 AS served
   FROM (SELECT *, CASE color_type WHEN 0 THEN 1 WHEN 2 THEN 3 WHEN 3 THEN 1 WHEN 4 THEN 2 ELSE 4 END AS bytes FROM c)),
@@ -587,21 +587,19 @@ _EST = f"""WITH b AS (SELECT *, valid AS is_png FROM ({_EST_PNG})),
 
 @query(
     "asset_estimates",
-    f"SELECT p_partkey, original_size, estimated_optimized_size, path FROM ({_EST}) WHERE p_partkey % 6 <> 5",
+    f"SELECT p_partkey, original_size, estimated_optimized_size, path FROM ({_EST})",
 )
 def _(spark, folder):
-    """Rows with a valid header; the others carry no dimensions and only wait for a sample."""
-    e = _estimates(spark, folder).where(F.col("dimensions.width").isNotNull())
-    return e.select("p_partkey", "original_size", "estimated_optimized_size", "path")
+    """A row without a valid header carries no dimensions and waits for a sample."""
+    return _estimates(spark, folder).select("p_partkey", "original_size", "estimated_optimized_size", "path")
 
 
 @query(
     "fallback_rollup",
-    f"SELECT 'png' AS original_format, path, reason AS fallback_reason, count(*) AS n FROM ({_EST}) WHERE p_partkey % 6 <> 5 GROUP BY ALL",
+    f"SELECT 'png' AS original_format, path, reason AS fallback_reason, count(*) AS n FROM ({_EST}) GROUP BY ALL",
 )
 def _(spark, folder):
-    e = _estimates(spark, folder).where(F.col("dimensions.width").isNotNull())
-    return estimate.fallback_rollup(e).drop("mean_reduction")
+    return estimate.fallback_rollup(_estimates(spark, folder)).drop("mean_reduction")
 
 
 @query(

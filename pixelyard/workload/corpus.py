@@ -152,7 +152,7 @@ def _(spark, folder):
 
 
 def _written(spark, folder):
-    """The iterations of two formats written as two runs of many documents, and scanned back."""
+    """The iterations written as one run of several documents, and scanned back."""
     rows = W.iterations(spark, folder).select(
         "pos", "case_id", "bucket", "format", "preset", "input_size", "optimized_size", "reduction_pct", "method", "error",
         F.struct(
@@ -160,32 +160,25 @@ def _written(spark, folder):
             F.col("parent_peak_rss_kb").cast("bigint").alias("parent_peak_rss_kb"), F.col("children_peak_rss_kb").cast("bigint").alias("children_peak_rss_kb"),
         ).alias("measurement"),
     )
-    base = scratch_path(spark, "runs")
-    for day, fmt in enumerate(("jpeg", "png"), 1):
-        meta = {"mode": "timing", "commit": "abc1234", "timestamp": f"2024-01-0{day}T00:00:00Z", "cpu_count": 8}
-        runs.write_run(rows.where(F.col("format") == fmt), meta, f"{base}/{fmt}", 20_000)
-    return runs.scan_runs(spark, base)
+    path = scratch_path(spark, "runs")
+    meta = {"mode": "timing", "commit": "abc1234", "timestamp": "2024-01-01T00:00:00Z", "cpu_count": 8}
+    runs.write_run(rows, meta, path, 20_000)
+    return runs.scan_runs(spark, path)
 
 
 @query(
     "run_documents",
-    f"""SELECT format, 'abc1234@2024-01-0' || CASE format WHEN 'jpeg' THEN 1 ELSE 2 END || 'T00:00:00Z' AS run_id,
- case_id, wall_ms, error, optimized_size FROM ({W.ITERATIONS}) WHERE format IN ('jpeg', 'png')""",
+    f"SELECT 'abc1234@2024-01-01T00:00:00Z' AS run_id, case_id, wall_ms, error, optimized_size FROM ({W.ITERATIONS})",
     rounded="wall_ms",
 )
 def _(spark, folder):
     it = runs.flatten(runs.iterations(_written(spark, folder)))
-    return it.select("format", "run_id", "case_id", "wall_ms", "error", "optimized_size")
+    return it.select("run_id", "case_id", "wall_ms", "error", "optimized_size")
 
 
-@query(
-    "run_case_rows",
-    f"""SELECT case_id, iterations, p50_ms, p95_ms FROM ({CASES}) WHERE format IN ('jpeg', 'png')""",
-    rounded="p50_ms p95_ms", digits=8,
-)
+@query("run_case_rows", f"SELECT case_id, iterations, p50_ms, p95_ms FROM ({CASES})", rounded="p50_ms p95_ms", digits=8)
 def _(spark, folder):
-    cases = runs.case_rows(_written(spark, folder))
-    return cases.select("case_id", "iterations", "p50_ms", "p95_ms")
+    return runs.case_rows(_written(spark, folder)).select("case_id", "iterations", "p50_ms", "p95_ms")
 
 
 def _manifests(spark, folder):
