@@ -209,23 +209,28 @@ def curve_points(cases: DataFrame, samples: str = "rss_samples") -> DataFrame:
 
 
 def curve_maxpool(points: DataFrame, keys: Sequence[str] = ("case_id",), n: int = 24, position="position", value="value") -> DataFrame:
-    """Fold each series to at most ``n`` buckets by maximum; adds the series' length and peak."""
+    """Fold each series to at most ``n`` buckets by maximum; adds the series' length and peak.
+
+    ``n_points`` is taken from the input where it is there (``numbered`` adds it), else counted."""
+    from pyspark.sql import Window as W
+
     keys = list(keys)
-    sizes = points.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_points"), F.max(value).alias("peak"))
-    joined = join_on(points, sizes, keys)
+    joined = points
+    if "n_points" not in points.columns:
+        joined = join_on(points, points.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_points")), keys)
     width = F.col("n_points").cast("double") / n
     starts = F.filter(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.floor(i * width) <= F.col(position))
     bucket = F.when(F.col("n_points") > n, F.size(starts) - 1).otherwise(F.col(position).cast("int"))
-    return (
-        joined.withColumn("bucket", bucket)
-        .groupBy(*keys, "bucket")
-        .agg(F.max(value).alias("bucket_max"), F.max("n_points").alias("n_points"), F.max("peak").alias("peak"))
+    folded = joined.groupBy(*keys, bucket.alias("bucket")).agg(
+        F.max(value).alias("bucket_max"), F.max("n_points").alias("n_points")
     )
+    return folded.withColumn("peak", F.max("bucket_max").over(W.partitionBy(*keys)))  # at most n rows per key
 
 
-def numbered(df: DataFrame, keys: Sequence[str], order: str, ties: Sequence[str], widths: Sequence[int]) -> DataFrame:
-    """0-based position within a key by (order, ties), a hot key being cut into slots."""
-    out = with_running_sum(df, keys, order, ties, F.lit(1), widths, "__at")
+def numbered(df: DataFrame, keys: Sequence[str], order: str, ties: Sequence[str], width: int) -> DataFrame:
+    """0-based ``position`` within a key by (order, ties) and the key's ``n_points``; a hot key is cut
+    into slots of ``width``."""
+    out = with_running_sum(df, keys, order, ties, F.lit(1), width, "__at", "n_points")
     return out.withColumn("position", F.col("__at") - 1).drop("__at")
 
 

@@ -25,7 +25,7 @@ def pair_cases(a: DataFrame, b: DataFrame, keys: Sequence[str] = CASE) -> DataFr
     left = a.select(*keys).distinct().withColumn("__a", F.lit(True))
     right = b.select(*keys).distinct().withColumn("__b", F.lit(True))
     side = F.when(F.col("__a") & F.col("__b"), "common").when(F.col("__a"), "only_in_a").otherwise("only_in_b")
-    return join_on(left, right, keys, "full").select(*keys, side.alias("side"))
+    return join_on(left, right, keys, "full", nulls=False).select(*keys, side.alias("side"))
 
 
 def common_cases(a: DataFrame, b: DataFrame, keys: Sequence[str] = CASE) -> DataFrame:
@@ -61,7 +61,7 @@ def timing_diff(
     ``p_value`` adds it (a Python UDF over case rows).
     """
     keys = list(keys)
-    both = join_on(_sample(a, keys, wall, error, "baseline", plan), _sample(b, keys, wall, error, "head", plan), keys)
+    both = join_on(_sample(a, keys, wall, error, "baseline", plan), _sample(b, keys, wall, error, "head", plan), keys, nulls=False)
     base, head = F.col("baseline_median"), F.col("head_median")
     low_power = F.least("baseline_n", "head_n") < 2
     stats = ("baseline_n", "baseline_mean", "baseline_std", "head_n", "head_mean", "head_std")
@@ -109,7 +109,7 @@ def _sides(a: DataFrame, b: DataFrame, keys: Sequence[str], columns: Sequence[st
         first = _first_complete(df, keys, columns, error, position)
         return first.select(*keys, *[F.col(c).alias(f"{tag}_{c}") for c in columns])
 
-    return join_on(side(a, "baseline"), side(b, "head"), list(keys))
+    return join_on(side(a, "baseline"), side(b, "head"), list(keys), nulls=False)
 
 
 def compression_diff(

@@ -12,9 +12,9 @@ from pixelyard.plans import quantiles
 from pixelyard.plans.running import with_running_sum
 from pixelyard.plans.scale import join_on
 
-#: day and minute slots for a microsecond clock, and the same for a nanosecond clock
-US_SLOTS = (86_400_000_000, 60_000_000)
-NS_SLOTS = (86_400_000_000_000, 60_000_000_000)
+#: one-minute slots of a microsecond and of a nanosecond clock
+US_SLOT = 60_000_000
+NS_SLOT = 60_000_000_000
 
 
 def load_case(requests: DataFrame, keys: Sequence[str] = ("case_id",), position: str = "pos", plan: str = "auto") -> DataFrame:
@@ -82,7 +82,7 @@ def load_rollup(cases: DataFrame, plan: str = "auto") -> DataFrame:
 
 
 def peak_concurrency(
-    intervals: DataFrame, keys: Sequence[str], start: str, end: str, slots: Sequence[int] = US_SLOTS, out: str = "peak"
+    intervals: DataFrame, keys: Sequence[str], start: str, end: str, slot: int = US_SLOT, out: str = "peak"
 ) -> DataFrame:
     """Largest number of half-open intervals [start, end) that overlap, per key; exact.
 
@@ -96,13 +96,13 @@ def peak_concurrency(
     )
     complete = intervals.where(F.col(start).isNotNull() & F.col(end).isNotNull())
     net = complete.select(*keys, F.inline(steps)).groupBy(*keys, "__t").agg(F.sum("__d").alias("__d"))
-    level = with_running_sum(net, keys, "__t", [], F.col("__d"), slots, "__level")
+    level = with_running_sum(net, keys, "__t", [], F.col("__d"), slot, "__level")
     return level.groupBy(*keys).agg(F.greatest(F.max("__level"), F.lit(0)).cast("bigint").alias(out))
 
 
-def gate_peaks(requests: DataFrame, keys: Sequence[str], slots: Sequence[int] = NS_SLOTS) -> DataFrame:
+def gate_peaks(requests: DataFrame, keys: Sequence[str], slot: int = NS_SLOT) -> DataFrame:
     """Peak active (grant to release) and queued (start to grant) requests per key."""
-    active = peak_concurrency(requests, keys, "grant_ns", "release_ns", slots, "max_active")
-    queued = peak_concurrency(requests, keys, "start_ns", "grant_ns", slots, "max_queued")
+    active = peak_concurrency(requests, keys, "grant_ns", "release_ns", slot, "max_active")
+    queued = peak_concurrency(requests, keys, "start_ns", "grant_ns", slot, "max_queued")
     both = join_on(active, queued, list(keys), "full")
     return both.select(*keys, F.coalesce("max_active", F.lit(0)).alias("max_active"), F.coalesce("max_queued", F.lit(0)).alias("max_queued"))

@@ -1,9 +1,9 @@
 """Running sums over an order, without pulling a group into one task.
 
 A group is cut into slots of the ordering value. Slot totals are aggregated first (partial
-aggregation), their running sum is a window over few rows, and only the inside of one slot is
-ever sorted together. Slots may be nested (coarse to fine) so that even the list of slots of a
-single global group is never long in one task.
+aggregation); their running sum is a window over one row per slot, so its size follows the covered
+range and not the number of rows; and only the inside of one slot is ever sorted together. The
+rows themselves are shuffled once, on (keys, slot), for both the join and the window.
 """
 
 from __future__ import annotations
@@ -14,37 +14,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pixelyard.plans.scale import join_on
-
-
-def slot_offsets(
-    df: DataFrame, keys: Sequence[str], order: str, amount: Column, widths: Sequence[int]
-) -> DataFrame:
-    """(keys, ``__slot``, ``__before``): the total of ``amount`` in all earlier slots.
-
-    ``widths`` are slot widths of the integer column ``order``, coarse to fine, each a multiple
-    of the next; ``__slot`` numbers the finest level.
-    """
-    keys = list(keys)
-    levels = [f"__s{i}" for i in range(len(widths))]
-    totals = df.select(
-        *keys,
-        *[F.floor(F.col(order) / F.lit(w)).cast("bigint").alias(s) for s, w in zip(levels, widths)],
-        amount.alias("__amount"),
-    )
-    frame = totals.groupBy(*keys, *levels).agg(F.sum("__amount").alias("__amount"))
-    before = F.lit(0)
-    for depth in range(len(levels)):
-        outer, inner = levels[:depth], levels[depth]
-        level = frame.groupBy(*keys, *outer, inner).agg(F.sum("__amount").alias("__sum"))
-        earlier = W.partitionBy(*keys, *outer).orderBy(inner).rowsBetween(W.unboundedPreceding, -1)
-        level = level.select(
-            *keys, *outer, inner, F.coalesce(F.sum("__sum").over(earlier), F.lit(0)).alias(f"__b{depth}")
-        )
-        frame = join_on(frame, level, [*keys, *outer, inner])
-        before = before + F.col(f"__b{depth}")
-    return frame.select(*keys, F.col(levels[-1]).alias("__slot"), before.alias("__before"))
-
 
 def with_running_sum(
     df: DataFrame,
@@ -52,18 +21,24 @@ def with_running_sum(
     order: str,
     ties: Sequence[str],
     amount: Column,
-    widths: Sequence[int],
+    width: int,
     out: str = "running",
+    total: str | None = None,
 ) -> DataFrame:
-    """``df`` plus the inclusive running sum of ``amount`` within ``keys`` by (order, ties)."""
-    keys = list(keys)
-    finest = widths[-1]
-    offsets = slot_offsets(df, keys, order, amount, widths)
-    slotted = df.withColumn("__slot", F.floor(F.col(order) / F.lit(finest)).cast("bigint"))
-    joined = join_on(slotted, offsets, [*keys, "__slot"])
-    inside = (
-        W.partitionBy(*keys, "__slot")
-        .orderBy(order, *ties)
-        .rowsBetween(W.unboundedPreceding, W.currentRow)
+    """``df`` plus the inclusive running sum of ``amount`` within ``keys`` by (order, ties), and
+    optionally the group's ``total``. ``width`` is the slot width of the integer column ``order``."""
+    number = F.floor(F.col(order) / F.lit(width)).cast("bigint")
+    # One struct as key: NULL fields compare equal inside it, and an ordinary equi-join on it
+    # leaves the rows partitioned as the window needs them.
+    keyed = df.withColumn("__slot", F.struct(*keys, number.alias("__n")))
+    sums = keyed.groupBy("__slot").agg(F.sum(amount).alias("__sum"))
+    group = W.partitionBy(*[F.col("__slot")[k] for k in keys])
+    earlier = group.orderBy(F.col("__slot")["__n"]).rowsBetween(W.unboundedPreceding, -1)
+    offsets = sums.select(
+        "__slot",
+        F.coalesce(F.sum("__sum").over(earlier), F.lit(0)).alias("__before"),
+        *([F.sum("__sum").over(group).alias(total)] if total else []),
     )
+    inside = W.partitionBy("__slot").orderBy(order, *ties).rowsBetween(W.unboundedPreceding, W.currentRow)
+    joined = keyed.join(offsets, "__slot")
     return joined.withColumn(out, F.col("__before") + F.sum(amount).over(inside)).drop("__slot", "__before")

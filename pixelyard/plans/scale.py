@@ -43,8 +43,12 @@ def broadcast_if_small(df: DataFrame, limit: int = 32 * 1024 * 1024) -> DataFram
     return F.broadcast(df) if size is not None and size <= limit else df
 
 
-def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
-    """Equi-join that also matches NULL keys; the result keeps one copy of each key."""
+def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner", nulls: bool = True) -> DataFrame:
+    """Equi-join that also matches NULL keys; the result keeps one copy of each key.
+
+    With ``nulls=False`` it is a plain equi-join, which can reuse the partitioning that a grouping
+    by the same keys has left.
+    """
     if not keys:
         # Without keys ``right`` is a global aggregate: exactly one row.
         return left.join(F.broadcast(right))
@@ -53,7 +57,7 @@ def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "
     )
     cond = None
     for k in keys:
-        part = left[k].eqNullSafe(renamed[f"__r_{k}"])
+        part = left[k].eqNullSafe(renamed[f"__r_{k}"]) if nulls else left[k] == renamed[f"__r_{k}"]
         cond = part if cond is None else cond & part
     joined = left.join(renamed, cond, how)
     if how in ("left_semi", "left_anti"):

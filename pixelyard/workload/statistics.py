@@ -471,7 +471,7 @@ def _(spark, folder):
  SELECT user_id, CAST(bucket AS INTEGER) AS bucket, max(value) AS bucket_max, any_value(n_points) AS n_points, any_value(peak) AS peak FROM b GROUP BY ALL""",
 )
 def _(spark, folder):
-    points = C.numbered(W.events(spark, folder).select("user_id", "event_id", "us", "value"), ["user_id"], "us", ["event_id"], L.US_SLOTS)
+    points = C.numbered(W.events(spark, folder).select("user_id", "event_id", "us", "value"), ["user_id"], "us", ["event_id"], L.US_SLOT)
     return C.curve_maxpool(points, ["user_id"])
 
 
