@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -167,22 +167,26 @@ def _match(tables: np.ndarray, standard: np.ndarray) -> tuple[np.ndarray, np.nda
     return best + 1, np.clip(fit, 0.0, 1.0)
 
 
-@F.pandas_udf(SOURCE_QUALITY)
-def source_quality(luma: pd.Series, chroma: pd.Series) -> pd.DataFrame:
+def _complete(tables: pa.Array) -> np.ndarray:
+    """Which rows hold a whole table of 64 entries."""
+    return pc.fill_null(pc.equal(pc.list_value_length(tables), 64), False).to_numpy(zero_copy_only=False)
+
+
+def _rows(tables: pa.Array, rows: np.ndarray) -> np.ndarray:
+    return tables.filter(pa.array(rows)).flatten().to_numpy(zero_copy_only=False).reshape(-1, 64).astype(float)
+
+
+@F.arrow_udf(SOURCE_QUALITY)
+def source_quality(luma: pa.Array, chroma: pa.Array) -> pa.Array:
     """Best matching standard quality (lowest on ties) and goodness of fit."""
     std_luma = scaled_tables(K.ANNEX_K_LUMA).astype(float)
     std_both = np.hstack([std_luma, scaled_tables(K.ANNEX_K_CHROMA).astype(float)])
-    out = pd.DataFrame({"q": pd.array([None] * len(luma), dtype="Int32"), "nse": np.nan})
-    has_luma = luma.map(lambda t: t is not None and len(t) == 64).to_numpy()
-    has_chroma = chroma.map(lambda t: t is not None and len(t) == 64).to_numpy()
-    for rows, standard in ((has_luma & ~has_chroma, std_luma), (has_luma & has_chroma, std_both)):
-        at = np.flatnonzero(rows)
-        if not len(at):
-            continue
-        sides = (luma, chroma) if standard is std_both else (luma,)
-        tables = np.hstack([np.concatenate(s.to_numpy()[at]).reshape(-1, 64) for s in sides]).astype(float)
-        q, nse = _match(tables, standard)
-        out.iloc[at, 0] = q
-        out.iloc[at, 1] = nse
-    out["nse"] = out["nse"].where(has_luma, None)
-    return out
+    has_luma, has_chroma = _complete(luma), _complete(chroma)
+    quality, nse = np.zeros(len(luma), np.int32), np.zeros(len(luma))
+    gray, color = has_luma & ~has_chroma, has_luma & has_chroma
+    if gray.any():
+        quality[gray], nse[gray] = _match(_rows(luma, gray), std_luma)
+    if color.any():
+        quality[color], nse[color] = _match(np.hstack([_rows(luma, color), _rows(chroma, color)]), std_both)
+    columns = [pa.array(quality, mask=~has_luma), pa.array(nse, mask=~has_luma)]
+    return pa.StructArray.from_arrays(columns, names=["q", "nse"])
