@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelyard.llm import linededup
+from pixelyard.llm import linededup, mixing, packing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -30,3 +30,19 @@ def op4_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 ORACLES["op4_line_dedup"] = linededup.QUERY_SQL
+
+
+@query
+def op7_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's slot in the mix of sources weighted by the 0.9th power of their size."""
+    docs = table(spark, folder, "documents").select("doc_id", "source")
+    return mixing.mix(docs, exponent=0.9, block=8, until="all")
+
+
+@query
+def op9_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents' pieces in sequences of at most 2048 tokens."""
+    import public_tokenizers
+
+    pieces = packing.tokenize(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"), width=2048)
+    return packing.pack(pieces, width=2048)
