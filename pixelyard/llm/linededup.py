@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pixelyard.llm.common import BLANK, ascii_lower, row_key, without
+from pixelyard.llm.common import BLANK, Scratch, ascii_lower, row_key, without
 
 
 def line_key(line: Column) -> Column:
@@ -37,7 +37,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     alike. Columns named ``n_lines`` or ``n_dropped`` are replaced.
 
     Only hashes are shuffled for the counts (distinct ids are counted in two steps, so a line that
-    a third of the corpus holds is pre-aggregated); the texts are shuffled once.
+    a third of the corpus holds is pre-aggregated); the texts are shuffled once. The keys to drop are
+    written to the shared folder when this is called.
     """
     docs = without(docs, "n_lines", "n_dropped")
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -47,7 +48,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     lines = lines.where(F.length(key) >= min_chars).select("__id", "__row1", "__row2", "__at", F.xxhash64(key).alias("__key1"), F.xxhash64(key, F.lit(1)).alias("__key2"))
 
     shared = lines.groupBy("__key1", "__key2").agg(F.count_distinct("__id").alias("__docs"), F.max("__id").alias("__keeper"))
-    shared = shared.where(F.col("__docs") >= min_docs).drop("__docs")
+    # Written, so that the join below shuffles both sides itself and can split a hot key's lines.
+    shared = Scratch(docs.sparkSession, "lines").write("shared", shared.where(F.col("__docs") >= min_docs).drop("__docs"))
     hits = lines.join(shared, ["__key1", "__key2"]).where(F.col("__id").isNull() | (F.col("__id") < F.col("__keeper")))
     # A set: identical rows have identical positions.
     dropped = hits.groupBy("__row1", "__row2").agg(F.sort_array(F.collect_set("__at")).alias("__dropped"))
