@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelyard.llm import linededup, mixing, packing
+from pixelyard.llm import linededup, mixing, packing, quality, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -46,3 +46,19 @@ def op9_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
 
     pieces = packing.tokenize(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"), width=2048)
     return packing.pack(pieces, width=2048)
+
+
+@query
+def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Toxicity of every document, learned from the labelled ones that aren't held out."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, folder, "labels"), most=20_000)
+    return toxicity.scored(docs, model, threshold=0.7)
+
+
+@query
+def op8_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality of every document, learned from the labelled ones that aren't held out."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    model = quality.fit(docs, table(spark, folder, "labels"), most=20_000)
+    return quality.scored(docs, model, threshold=0.5)
