@@ -48,7 +48,7 @@ class BatchEncoder:
             cls._of[path] = cls(path)
         return cls._of[path]
 
-    def __init__(self, path: str, memo: int = 1_000_000):
+    def __init__(self, path: str, memo: int = 300_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the cores belong to Spark's tasks
         from tokenizers import Tokenizer
 
@@ -97,7 +97,7 @@ class BatchEncoder:
         return ids[at], np.concatenate([[0], ends])[np.searchsorted(edges, bounds)]
 
 
-def slices(texts: pa.Array, budget: int = 8 << 20):
+def slices(texts: pa.Array, budget: int = 4 << 20):
     """Zero-copy slices of about ``budget`` bytes of text (one text may be longer), with their first row."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
