@@ -23,6 +23,7 @@ SECOND_PERSON = ["you", "your", "yours", "yourself", "du", "dich", "dir", "dein"
 _DISGUISE = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i", "|": "i"})
 _STEM = (4, 5, 6)
 _NEAR = 5
+_NOTHING = (0.0,) * 7
 
 FEATURES = ["words", "hits", "hit_density", "weight_density", "top_weight", "insult_density", "stem_density", "near_you", "capitals", "capital_words", "stops", "shouts", "symbols", "digits", "disguised", "disguised_hits", "word_length"]
 
@@ -87,7 +88,7 @@ def learn_lexicon(rows: DataFrame, folds: tuple[int, ...] = (0, 1), most: int =
 class Features:
     """Dense features of texts under a lexicon; what is known of a word is kept between batches."""
 
-    def __init__(self, lexicon: dict[str, float], memo: int = 500_000):
+    def __init__(self, lexicon: dict[str, float], memo: int = 200_000):
         self.lexicon, self.memo, self.known = lexicon, memo, {}
         self.insults, self.second = set(INSULTS), set(SECOND_PERSON)
 
@@ -104,6 +105,8 @@ class Features:
         if not inner.isalpha() and len(inner) >= 4 and any(c.isalpha() for c in inner) and not inner.replace("-", "").replace("'", "").isalpha():
             disguised, clear = 1.0, _undisguised(inner)
             hidden = float(clear in self.insults or max(self._weight(clear)) > 0)
+        if not (exact or stem or disguised) and word not in self.insults and word not in self.second:
+            return _NOTHING
         return max(exact, stem), float(exact > 0), float(stem > 0), float(word in self.insults), float(word in self.second), disguised, hidden
 
     def __call__(self, texts: pa.Array) -> np.ndarray:
