@@ -82,7 +82,7 @@ def _order(id_col: str, columns: list[str], df: DataFrame) -> tuple[Column, list
     return F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit(""))), [F.col(id_col).asc_nulls_first(), F.xxhash64(*comparable)]
 
 
-def mix(docs: DataFrame, weights: Mapping[str | None, float] | None = None, exponent: float = 0.9, block: int = 8, id_col: str = "doc_id", source_col: str = "source", period: int = PERIOD, until: str = "all", bucket_rows: int = 20_000) -> DataFrame:
+def mix(docs: DataFrame, weights: Mapping[str | None, float] | None = None, exponent: float = 0.9, block: int = 8, id_col: str = "doc_id", source_col: str = "source", period: int = PERIOD, until: str = "all", bucket_rows: int = 2_000) -> DataFrame:
     """``docs`` with their place in the mix.
 
     A source's documents, in a pseudo-random but fixed order, form blocks of ``block``; the last one
