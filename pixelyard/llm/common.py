@@ -51,17 +51,21 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark, self.root = spark, f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
-        self.paths: dict[str, str] = {}
+        self.paths: dict[str, list[str]] = {}
+        self.written = 0
         _left.append((spark, self.root))
 
     def write(self, name: str, df: DataFrame) -> DataFrame:
-        self.paths[name] = path = f"{self.root}/{name}-{len(self.paths)}"
+        self.written += 1
+        path = f"{self.root}/{name}-{self.written}"
+        self.paths.setdefault(name, []).append(path)
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def release(self, *names: str) -> None:
         for name in names:
-            delete(self.spark, self.paths[name])
+            for path in self.paths.pop(name, []):
+                delete(self.spark, path)
 
 
 def ascii_lower(text: Column) -> Column:

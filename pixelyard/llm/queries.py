@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelyard.llm import linededup, mixing, packing, quality, toxicity
+from pixelyard.llm import linededup, mixing, ngramjoin, packing, quality, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -62,3 +62,9 @@ def op8_quality(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     model = quality.fit(docs, table(spark, folder, "labels"), most=20_000)
     return quality.scored(docs, model, threshold=0.5)
+
+
+@query
+def op2_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    """Components of documents whose sets of 4-word shingles have a Jaccard similarity of at least 0.85."""
+    return ngramjoin.join_components(table(spark, folder, "documents"), size=4, percent=85)
