@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelyard.llm import linededup, mixing, ngramjoin, packing, quality, toxicity
+from pixelyard.llm import exactdedup, linededup, mixing, ngramjoin, packing, quality, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -68,3 +68,12 @@ def op8_quality(spark: SparkSession, folder: str) -> DataFrame:
 def op2_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     """Components of documents whose sets of 4-word shingles have a Jaccard similarity of at least 0.85."""
     return ngramjoin.join_components(table(spark, folder, "documents"), size=4, percent=85)
+
+
+@query
+def op6_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """The group and the kept row of every document whose text is equal to others' but for white space."""
+    return exactdedup.dedup(table(spark, folder, "documents"))
+
+
+ORACLES["op6_exact_dedup"] = exactdedup.QUERY_SQL
