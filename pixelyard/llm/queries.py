@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelyard.llm import exactdedup, linededup, mixing, ngramjoin, packing, quality, toxicity
+from pixelyard.llm import exactdedup, linededup, mixing, neighbours, ngramjoin, packing, quality, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -77,3 +77,9 @@ def op6_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 ORACLES["op6_exact_dedup"] = exactdedup.QUERY_SQL
+
+
+@query
+def op1_nearest_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    """The 20 nearest by inner product, found in the tree, of every twentieth vector."""
+    return neighbours.search(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
