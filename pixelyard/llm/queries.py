@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelyard.llm import exactdedup, linededup, mixing, neighbours, ngramjoin, packing, quality, toxicity
+from pixelyard.llm import exactdedup, linededup, mixing, neighbours, ngramjoin, packing, quality, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -83,3 +83,9 @@ ORACLES["op6_exact_dedup"] = exactdedup.QUERY_SQL
 def op1_nearest_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     """The 20 nearest by inner product, found in the tree, of every twentieth vector."""
     return neighbours.search(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
+@query
+def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
+    """Every page written to WARC archives, repeated payloads as revisits, and read back from them."""
+    return warc.round_trip(table(spark, folder, "pages"), min_bytes=0)
