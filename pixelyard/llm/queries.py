@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelyard.llm import exactdedup, linededup, mixing, neighbours, ngramjoin, packing, quality, toxicity, warc
+from pixelyard.llm import exactdedup, linededup, mixing, neighbours, ngramjoin, packing, quality, secrets, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -89,3 +89,9 @@ def op1_nearest_neighbours(spark: SparkSession, folder: str) -> DataFrame:
 def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
     """Every page written to WARC archives, repeated payloads as revisits, and read back from them."""
     return warc.round_trip(table(spark, folder, "pages"), min_bytes=0)
+
+
+@query
+def op3_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """Every candidate secret of every document, with the forest's score."""
+    return secrets.scan_corpus(table(spark, folder, "documents").select("doc_id", "text"))
