@@ -44,6 +44,15 @@ def shingle_sets(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
     return values[new], np.searchsorted(owner[new], np.arange(t.n + 1))
 
 
+_DIGESTS = (np.uint64(0x1F123BB5), np.uint64(0x5851F42D))
+
+
+def _digest(values: np.ndarray, begin: np.ndarray, key: np.uint64) -> np.ndarray:
+    """64 bits of each set: a sum over its members, so their order does not matter."""
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix64(values + key))])
+    return (sums[begin[1:]] - sums[begin[:-1]]).view(np.int64)
+
+
 def _profile(size: int):
     """Rows (doc_id, n, digest) of each text, and one row with the partition's shingle counts."""
 
@@ -53,8 +62,7 @@ def _profile(size: int):
             for first, texts in slices(batch.column(1)):
                 values, begin = shingle_sets(texts, size)
                 counts += np.bincount((values >> np.uint64(44)).astype(np.int64), minlength=COUNTERS).astype(np.uint32)
-                sums = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix64(values + np.uint64(k)))]) for k in (0x1F123BB5, 0x5851F42D)]
-                d1, d2 = ((s[begin[1:]] - s[begin[:-1]]).view(np.int64) for s in sums)  # sums of the set's members: their order does not matter
+                d1, d2 = (_digest(values, begin, k) for k in _DIGESTS)
                 n = len(texts)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, n).cast(pa.int64()), pa.array(np.diff(begin)), pa.array(d1), pa.array(d2), pa.nulls(n, pa.binary())], names=names)
         if counts.any():
@@ -90,7 +98,7 @@ def _widen(packed: bytes) -> np.ndarray:
 
 
 def _signatures(size: int, percent: int, table, frequent: int, pairs_to: int):
-    """Rows (signature, doc_id, n) of each text's prefix.
+    """Rows (signature, d1, n) of each text's prefix; d1 is half of the set's digest.
 
     Shingles are ordered by their counter, rare ones first. Two sets that link share at least
     ``a = ceil(percent * n / 100)`` shingles of either, so the first shared one stands among the
@@ -103,10 +111,11 @@ def _signatures(size: int, percent: int, table, frequent: int, pairs_to: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counters = table.value
         for batch in batches:
-            for first, texts in slices(batch.column(1)):
+            for _, texts in slices(batch.column(0)):
                 values, begin = shingle_sets(texts, size)
                 sizes = np.diff(begin)
                 owner = np.repeat(np.arange(len(sizes)), sizes)
+                digest = _digest(values, begin, _DIGESTS[0])
                 count = counters[(values >> np.uint64(44)).astype(np.int64)]
                 order = np.lexsort((values, count, owner))
                 values, common = values[order], count[order] >= frequent
@@ -115,7 +124,6 @@ def _signatures(size: int, percent: int, table, frequent: int, pairs_to: int):
                 inside = at <= spare[owner]
                 small, large = sizes * 100 <= pairs_to * 100 * 100 // percent, sizes * 100 >= pairs_to * percent
                 alone = inside & (~common | large[owner] | (sizes[owner] < 2))
-                ids = batch.column(0).slice(first, len(texts)).to_numpy()
                 signs, docs = [values[alone]], [owner[alone]]
                 for d in np.unique(owner[inside & common & small[owner] & (sizes[owner] >= 2)]):
                     a, b = begin[d], begin[d] + min(sizes[d], spare[d] + 2)
@@ -124,20 +132,34 @@ def _signatures(size: int, percent: int, table, frequent: int, pairs_to: int):
                     signs.append(mix64(tail[i] * _ODD + tail[j]))
                     docs.append(np.full(len(i), d))
                 signs, docs = np.concatenate(signs), np.concatenate(docs)
-                yield pa.RecordBatch.from_arrays([pa.array(signs.view(np.int64)), pa.array(ids[docs]), pa.array(sizes[docs])], names=["signature", "doc_id", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(signs.view(np.int64)), pa.array(digest[docs]), pa.array(sizes[docs].astype(np.int32))], names=["signature", "d1", "n"])
 
     return run
 
 
+def sketch(values: np.ndarray) -> bytes:
+    """How many of a set's hashes fall into each of about ``len(values) / 2`` equal ranges."""
+    bits = min(16, max(4, (len(values) // 2).bit_length()))
+    return np.minimum(np.bincount((values >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits), 65_535).astype(np.uint16).tobytes()
+
+
+def _at_most(x: np.ndarray, y: np.ndarray) -> int:
+    """No more shared hashes than this: in each range at most the smaller count. The finer one is folded."""
+    if len(x) < len(y):
+        x, y = y, x
+    x = x.reshape(len(y), -1).sum(1, dtype=np.int64)
+    return int(np.minimum(x, y).sum())
+
+
 def _sets(size: int):
-    """Rows (doc_id, n, values): a text's sorted shingle hashes as bytes."""
+    """Rows (doc_id, n, values, ranges): a text's sorted shingle hashes as bytes, and their sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, texts in slices(batch.column(1)):
                 values, begin = shingle_sets(texts, size)
-                packed = pa.Array.from_buffers(pa.large_binary(), len(texts), [None, pa.py_buffer(8 * begin), pa.py_buffer(values)])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(texts)), pa.array(np.diff(begin)), packed.cast(pa.binary())], names=["doc_id", "n", "values"])
+                each = [values[a:b] for a, b in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(texts)), pa.array(np.diff(begin)), pa.array([x.tobytes() for x in each], pa.binary()), pa.array([sketch(x) for x in each], pa.binary())], names=["doc_id", "n", "values", "ranges"])
 
     return run
 
@@ -202,6 +224,22 @@ def _links_in_blocks(percent: int):
     return run
 
 
+def _possible_pairs(percent: int):
+    """Of rows (a, b, sketch of a, sketch of b) those whose sketches allow a link; the sketch's total is the set's size."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                x, y = np.frombuffer(x.as_buffer(), np.uint16), np.frombuffer(y.as_buffer(), np.uint16)
+                most = _at_most(x, y)
+                keep.append(max(x.max(), y.max()) == 65_535 or 100 * most >= percent * (int(x.sum(dtype=np.int64) + y.sum(dtype=np.int64)) - most))
+            mask = pa.array(keep, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])
+
+    return run
+
+
 def _linked_pairs(percent: int):
     """Of rows (a, b, values of a, values of b) those that link."""
 
@@ -232,7 +270,7 @@ class _Labels:
             self.table = self.scratch.write("nodes", joined.select("doc_id", F.coalesce("label", "comp").alias("comp")))
 
 
-def join_components(docs: DataFrame, size: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", frequent: int | None = None, pairs_to: int = 160, block: int = 256, block_shingles: int = 500_000, rounds: int = 2) -> DataFrame:
+def join_components(docs: DataFrame, size: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", frequent: int | None = None, pairs_to: int = 160, block: int = 256, block_shingles: int = 500_000, crowd: int = 8, rounds: int = 2) -> DataFrame:
     """doc_id, n_shingles and component_id of each row whose links form the components.
 
     A text's set is its distinct shingles of ``size`` words (ASCII lower case); two sets link when
@@ -242,14 +280,15 @@ def join_components(docs: DataFrame, size: int = 4, percent: int = 85, id_col: s
 
     1. One pass counts shingles in a table of fixed size and gives each text's set a digest of 128
        bits; equal sets are one class from here on, led by the smallest id.
-    2. Class leaders index their prefixes (``_signatures``): rare shingles alone, frequent ones (whose
+    2. Sets index their prefixes (``_signatures``): rare shingles alone, frequent ones (whose
        counter is at least ``frequent``; by default 8 times the mean and 64) in pairs. Only the order of
        shingles and the choice of what is paired depend on the table; the result does not.
-    3. In each of ``rounds`` every set goes to one of its signatures that still holds different
-       components, the one that most sets hold, and is compared there in blocks of at most about ``block``
-       sets and ``block_shingles`` shingles. So a group of thousands of near copies is joined without
-       listing its pairs.
-    4. What still shares a signature without being joined is verified pair by pair, so no link is lost.
+    3. In each of ``rounds`` every set that shares a signature with more than ``crowd`` rows goes to one of
+       those that still hold different components, the one that most sets hold, and is compared there
+       in blocks of at most about ``block`` sets and ``block_shingles`` shingles. So a group of thousands of
+       near copies is joined without listing its pairs.
+    4. What still shares a signature without being joined is verified pair by pair, so no link is lost:
+       first by sketches that bound what two sets can share, then by the sets.
 
     Signatures, sets and links are written to the shared folder and dropped when no longer read.
     """
@@ -266,13 +305,16 @@ def join_components(docs: DataFrame, size: int = 4, percent: int = 85, id_col: s
     if frequent is None:
         frequent = max(64, int(8 * int(table.sum()) / COUNTERS))
     sent = spark.sparkContext.broadcast(table)  # 8 MB, whatever the corpus
-    led = docs.join(leaders.where("n > 1").select(F.col("leader").alias("doc_id")).distinct().hint("shuffle_hash"), "doc_id")
-    signs = scratch.write("signs", led.mapInArrow(_signatures(size, percent, sent, frequent, pairs_to), "signature long, doc_id long, n long").distinct())
-    shared = signs.join(signs.groupBy("signature").agg(F.count("*").alias("m")).where("m > 1"), "signature")
+    signs = scratch.write("signs", docs.where("doc_id IS NOT NULL").select("text").mapInArrow(_signatures(size, percent, sent, frequent, pairs_to), "signature long, d1 long, n int"))
+    # Signatures that different sets hold; of just two rows, only where their sizes can match.
+    held = signs.groupBy("signature").agg(F.count("*").alias("m"), F.min("d1").alias("low"), F.max("d1").alias("high"), F.min("n").alias("least"), F.max("n").alias("most"))
+    held = held.where(f"low <> high AND (m > 2 OR 100 * least >= {percent} * most)").select("signature", "m")
+    shared = signs.join(scratch.write("held", held), "signature").distinct()
+    shared = shared.join(leaders.select("d1", F.col("leader").alias("doc_id"), F.col("n").alias("n_")), "d1").where("n = n_").select("signature", "doc_id", "n", "m")
     shared = scratch.write("shared", shared)
-    scratch.release("signs")
+    scratch.release("signs", "held")
     labels = _Labels(shared.select("doc_id").distinct(), scratch)
-    sets = docs.join(labels.table.select("doc_id").hint("shuffle_hash"), "doc_id").mapInArrow(_sets(size), "doc_id long, n long, values binary")
+    sets = docs.join(labels.table.select("doc_id").hint("shuffle_hash"), "doc_id").mapInArrow(_sets(size), "doc_id long, n long, values binary, ranges binary")
     sets = scratch.write("sets", sets)
 
     for round_ in range(rounds + 1):
@@ -281,8 +323,10 @@ def join_components(docs: DataFrame, size: int = 4, percent: int = 85, id_col: s
         open_ = scratch.write("open", known.join(mixed, "signature"))
         if open_.isEmpty():
             break
-        if round_ < rounds:
-            chosen = open_.groupBy("doc_id").agg(F.max(F.struct("m", "signature")).alias("s"), F.first("comp").alias("comp"), F.first("n").alias("n")).select("doc_id", "comp", "n", "s.signature")
+        crowds = open_.where(F.col("m") > crowd)
+        last = round_ == rounds or crowds.isEmpty()
+        if not last:
+            chosen = crowds.groupBy("doc_id").agg(F.max(F.struct("m", "signature")).alias("s"), F.first("comp").alias("comp"), F.first("n").alias("n")).select("doc_id", "comp", "n", "s.signature")
             parts = chosen.groupBy("signature").agg(F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("n") / block_shingles)).alias("parts"), F.count("*").alias("c")).where("c > 1").drop("c")
             placed = chosen.join(parts, "signature").withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(round_)), F.col("parts")))
             blocks = placed.select("signature", "part", "doc_id", "comp").join(sets.select("doc_id", "values"), "doc_id")
@@ -297,10 +341,14 @@ def join_components(docs: DataFrame, size: int = 4, percent: int = 85, id_col: s
             fits = F.expr(f"x_comp <> comp AND 100 * least(x_n, n) >= {percent} * greatest(x_n, n) AND signature = array_min(array_intersect(x_held, held))")
             pairs = minor.join(rows, "signature").where(fits).select(F.least("x_doc_id", "doc_id").alias("a"), F.greatest("x_doc_id", "doc_id").alias("b"))
             pairs = scratch.write("pairs", pairs.distinct())
+            near = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("ranges").alias("rb")), "b").join(sets.select(F.col("doc_id").alias("a"), F.col("ranges").alias("ra")), "a")
+            pairs = scratch.write("pairs", near.select("a", "b", "ra", "rb").mapInArrow(_possible_pairs(percent), "a long, b long").distinct())
             right = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("values").alias("vb")), "b")
             full = right.join(sets.select(F.col("doc_id").alias("a"), F.col("values").alias("va")), "a").select("a", "b", "va", "vb")
             links = full.mapInArrow(_linked_pairs(percent), "a long, b long")
         labels.join(scratch.write("found", links))
+        if last:
+            break
     scratch.release("sets", "shared")
 
     of_class = leaders.join(labels.table.withColumnRenamed("doc_id", "leader"), "leader", "left").select("n", "d1", "d2", F.coalesce("comp", "leader").alias("comp"))
