@@ -23,4 +23,5 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, most: int, id_
     fold = F.pmod(F.xxhash64(id_col, F.lit("fold")), F.lit(2)).cast("int").alias("fold")
     # At most `most` rows of an id and a label.
     known = F.broadcast(known.select(F.col(id_col).alias("__id"), "label", fold))
-    return docs.join(known, docs[id_col] == known["__id"]).select(F.coalesce(F.col(text_col), F.lit("")).alias("text"), "label", "fold")
+    texts = docs.select(F.col(id_col).alias("__doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    return texts.join(known, F.col("__doc") == F.col("__id")).select("text", "label", "fold")

@@ -178,5 +178,7 @@ def pack(pieces: DataFrame, width: int = 2048, slack: int = 16, fan_in: int = 8,
     whole = done[0]
     for part in done[1:]:
         whole = whole.unionByName(part)
-    placed = whole.select(F.monotonically_increasing_id().alias("sequence_id"), F.explode("members").alias("m"))
+    # In two steps: beside a generator the ids would be given to its rows.
+    numbered = whole.select(F.monotonically_increasing_id().alias("sequence_id"), "members")
+    placed = numbered.select("sequence_id", F.explode("members").alias("m"))
     return placed.select("m.doc_id", "m.piece", "m.start", "m.length", "m.ids_crc32", "sequence_id", "m.offset")
