@@ -56,14 +56,13 @@ def edf(parts: list[int]) -> list[np.ndarray]:
 
 
 def schedule(blocks: Mapping[str | None, int], weights: Mapping[str | None, float], period: int = PERIOD) -> list[dict]:
-    """Phases of the mix. In each one the sources that still have blocks follow ``edf``; it ends with
-    the last block of the first source to run out, whose weight then goes to the others in proportion."""
+    """Phases of the mix. In each one the sources that still have blocks follow ``edf``; it ends before the
+    first slot of a source that has run out, whose weight then goes to the others in proportion."""
     left, used, begin, out, phase = {s: n for s, n in blocks.items() if n > 0}, dict.fromkeys(blocks, 0), 0, [], 0
     while left:
         parts = quantized({s: weights[s] for s in left}, period)
         slots = dict(zip(parts, edf(list(parts.values())), strict=True))
-        last = {s: (left[s] - 1) // parts[s] * period + int(slots[s][(left[s] - 1) % parts[s]]) for s in left}
-        length = min(last.values()) + 1
+        length = min(n // parts[s] * period + int(slots[s][n % parts[s]]) for s, n in left.items())
         for s in list(left):
             whole, rest = divmod(length, period)
             taken = whole * parts[s] + int(np.searchsorted(slots[s], rest))
@@ -91,8 +90,8 @@ def mix(docs: DataFrame, weights: Mapping[str | None, float] | None = None, expo
     ``mix_phase``, ``mix_slot`` (of the whole mix), ``mix_release`` and ``mix_deadline`` (the slots between
     which the block belongs) and ``mix_place`` (in its block).
 
-    While all sources last (phase 0) each is within one block of its share of every prefix; when one
-    runs out, the others share its weight in a further phase. ``until="all"`` places every row,
+    As long as all sources last (phase 0) each is within one block of its share of every prefix; once a
+    slot falls to a source that has run out, the others share its weight in a further phase. ``until="all"`` places every row,
     ``until="first"`` returns phase 0 only.
 
     A null source is a source of its own; a source without a weight is an error. Repeated rows take
