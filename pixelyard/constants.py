@@ -45,18 +45,18 @@ LOSSLESS_FORMATS = ("apng", "bmp", "gif", "png", "svg", "svgz", "tiff")
 VECTOR_FORMATS = ("svg", "svgz")
 
 MEMORY_MULTIPLIERS = {
-    "tiff": 6,
     "png": 5,
     "apng": 5,
     "jpeg": 4,
     "webp": 4,
-    "avif": 4,
-    "heic": 4,
-    "jxl": 4,
-    "bmp": 3,
     "gif": 2,
     "svg": 1,
     "svgz": 1,
+    "avif": 4,
+    "heic": 4,
+    "tiff": 6,
+    "bmp": 3,
+    "jxl": 4,
 }
 
 # Bytes per pixel and bits per channel by pixel mode.
@@ -108,14 +108,16 @@ LABEL_SEVERITY = {
 
 # --- URL screening -------------------------------------------------------------
 BLOCKED_HOSTS = ("metadata.google.internal", "metadata.google.internal.")
-BLOCKED_IPV4 = (
+BLOCKED_NETWORKS = (
     "10.0.0.0/8",
     "172.16.0.0/12",
     "192.168.0.0/16",
     "169.254.0.0/16",
     "127.0.0.0/8",
     "0.0.0.0/8",
-)  # the IPv6 blocks are ::1/128 and fc00::/7
+    "::1/128",
+    "fc00::/7",
+)
 
 # --- markup screening ------------------------------------------------------------
 DANGEROUS_ELEMENTS = ("script", "foreignobject")
@@ -135,7 +137,12 @@ ANNEX_K_LUMA = (
     56, 55, 64, 72, 92, 78, 64, 68, 87, 69, 55, 56, 80, 109, 81, 87,
     95, 98, 103, 104, 103, 62, 77, 113, 121, 112, 100, 120, 92, 101, 103, 99,
 )
-ANNEX_K_CHROMA = (17, 18, 18, 24, 21, 24, 47, 26, 26, 47, 99, 66, 56, 66) + (99,) * 50
+ANNEX_K_CHROMA = (
+    17, 18, 18, 24, 21, 24, 47, 26, 26, 47, 99, 66, 56, 66, 99, 99,
+    99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99,
+    99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99,
+    99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99,
+)
 
 # --- fitted savings models -------------------------------------------------------
 PNG_HEADER_MODEL = {

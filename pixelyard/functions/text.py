@@ -6,6 +6,7 @@ The patterns stay inside the common subset of java.util.regex and RE2.
 from __future__ import annotations
 
 import ipaddress
+from collections.abc import Callable
 import xml.etree.ElementTree as ET
 
 import pandas as pd
@@ -79,18 +80,45 @@ def ipv4_number(ip: str | Column) -> Column:
     return F.when(F.regexp_like(_c(ip), F.lit(IPV4)), number)
 
 
-def blocked_number(number: str | Column) -> Column:
-    """The six blocked IPv4 ranges are literals, so containment is a range test, not a join."""
-    number, hit = _c(number), F.lit(False)
-    for block in K.BLOCKED_IPV4:
-        net = ipaddress.ip_network(block)
-        hit = hit | number.between(int(net.network_address), int(net.broadcast_address))
+def _blocked(version: int, address: Column, plain: Callable[[ipaddress._BaseAddress], object]) -> Column:
+    """The blocked networks are literals, so containment is a range test, not a join."""
+    hit = F.lit(False)
+    for block in map(ipaddress.ip_network, K.BLOCKED_NETWORKS):
+        if block.version == version:
+            hit = hit | address.between(plain(block.network_address), plain(block.broadcast_address))
     return F.coalesce(hit, F.lit(False))
 
 
+def blocked_number(number: str | Column) -> Column:
+    return _blocked(4, _c(number), int)
+
+
+def ipv6_digits(ip: str | Column) -> Column:
+    """IPv6 text as 32 hexadecimal digits: any case, padding, one ``::``, a dotted IPv4 end, a zone
+    (which is cut off). NULL for anything else."""
+    text = F.lower(F.regexp_replace(_c(ip), "%.*$", ""))
+    tail = ipv4_number(F.regexp_extract(text, r"^.*:([^:]*\.[^:]*)$", 1))
+    halves = F.concat_ws(":", F.lower(F.hex(F.shiftright(tail, 16))), F.lower(F.hex(tail.bitwiseAND(0xFFFF))))
+    text = F.when(tail.isNotNull(), F.concat(F.regexp_extract(text, r"^(.*:)[^:]*$", 1), halves)).otherwise(text)
+    sides = F.split(text, "::")
+    groups = lambda side: F.when(side == "", F.array().cast("array<string>")).otherwise(F.split(side, ":", -1))
+    head, rest = groups(F.get(sides, F.lit(0))), groups(F.coalesce(F.get(sides, F.lit(1)), F.lit("")))
+    given, gap = F.size(head) + F.size(rest), F.size(sides) == 2
+    whole = F.concat(head, F.array_repeat(F.lit("0"), F.greatest(F.lit(0), 8 - given)), rest)
+    fits = (F.size(sides) <= 2) & F.when(gap, given <= 7).otherwise(given == 8)
+    right = F.forall(F.concat(head, rest), lambda g: F.regexp_like(g, F.lit("^[0-9a-f]{1,4}$")))
+    return F.when(fits & right, F.array_join(F.transform(whole, lambda g: F.lpad(g, 4, "0")), ""))
+
+
+def blocked_digits(digits: str | Column) -> Column:
+    """Containment by 32 digits; an address that stands for an IPv4 one (::ffff:a.b.c.d) is judged by it."""
+    digits = _c(digits)
+    mapped = F.when(F.startswith(digits, F.lit("0" * 20 + "ffff")), F.conv(F.substring(digits, 25, 8), 16, 10).cast("bigint"))
+    return _blocked(6, digits, lambda a: f"{int(a):032x}") | blocked_number(mapped)
+
+
 def blocked_ipv6(ip: str | Column) -> Column:
-    """Loopback in short or full form, and fc00::/7."""
-    return F.regexp_like(_c(ip), F.lit(r"(?i)^(?:::1|(?:0{1,4}:){7}0{0,3}1|f[cd][0-9a-f]{2}:.*)$"))
+    return blocked_digits(ipv6_digits(ip))
 
 
 def blocked_ip(ip: str | Column) -> Column:

@@ -77,17 +77,18 @@ def screen_urls(df: DataFrame, url: str = "url", resolved: DataFrame | None = No
     """
     # Parsed once per row, in columns of their own: every rule below reads them again.
     out = df.withColumns({"host": X.url_host(url), "__scheme": X.url_scheme(url)})
-    out = out.withColumn("__ip4", X.ipv4_number("host"))
-    host, address = F.col("host"), X.blocked_number("__ip4") | X.blocked_ipv6("host")
+    out = out.withColumns({"__ip4": X.ipv4_number("host"), "__ip6": X.ipv6_digits("host")})
+    host, address = F.col("host"), X.blocked_number("__ip4") | X.blocked_digits("__ip6")
     reason = (
         F.when((F.col("__scheme") != "https") | F.col("__scheme").isNull(), "scheme")
         .when(host == "", "no_host")
         .when(host.isin(*K.BLOCKED_HOSTS), "blocked_host")
+        .when(F.contains(host, F.lit(":")) & F.col("__ip6").isNull(), "bad_address")  # brackets around no address
     )
     if resolved is not None:
         one = resolved.groupBy(F.lower("host").alias("host")).agg(F.bool_or(X.blocked_ip("ip")).alias("__blocked"))
         out = join_on(out, one, ["host"], "left")
-        literal = F.col("__ip4").isNotNull() | F.contains(host, F.lit(":"))
+        literal = F.col("__ip4").isNotNull() | F.col("__ip6").isNotNull()
         reason = reason.when(F.col("__blocked").isNull() & ~literal, "unresolved")
         address = address | F.coalesce(F.col("__blocked"), F.lit(False))
     reason = reason.when(address, "blocked_address")

@@ -8,7 +8,6 @@ time slots instead of being bound to one state-store task. Counters are a small
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
@@ -16,15 +15,16 @@ from pyspark.sql.streaming import DataStreamWriter
 from pixelyard.operators.limits import _US, rate_limit_audit
 
 
-def _previous(spark, state: str, batch_id: int) -> DataFrame | None:
-    if batch_id == 0:
-        return None
-    try:
-        return spark.read.parquet(f"{state}/batch={batch_id - 1}")
-    except AnalysisException as missing:
-        if missing.getCondition() == "PATH_NOT_FOUND":
-            return None  # the stream starts here
-        raise
+def _previous(spark, state: str, batch_id: int, first_id: int) -> DataFrame | None:
+    """Counters of the batch before. Only the stream's first batch starts without; a missing table
+    further on would let clients through, so it is an error."""
+    return None if batch_id == first_id else spark.read.parquet(f"{state}/batch={batch_id - 1}")
+
+
+def _forget(spark, state: str, batch_id: int) -> None:
+    """Removes counters that no replay can need: Spark repeats the last batch at most."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{state}/batch={batch_id - 2}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def _counts(verdicts: DataFrame, client: str, time_us: str, kind: str, column: str, width_us: int) -> DataFrame:
@@ -39,15 +39,15 @@ def _counts(verdicts: DataFrame, client: str, time_us: str, kind: str, column: s
 
 def audit_batch(
     batch: DataFrame, batch_id: int, client: str, time_us: str, tie: str, verdicts: str, state: str,
-    window_s: int, burst_s: int, **limits,
+    window_s: int, burst_s: int, first_id: int = 0, **limits,
 ) -> None:
     """Verdicts of one micro-batch to ``verdicts/batch=N`` and its counters to ``state/batch=N``.
 
     Events older than the window before the latest one seen have lost their counters; they are
-    written with reason ``late`` and are not counted.
+    written with reason ``late`` and are not counted. ``first_id`` is the batch that starts without counters.
     """
     spark = batch.sparkSession
-    old = _previous(spark, state, batch_id)
+    old = _previous(spark, state, batch_id, first_id)
     window_us, burst_us = window_s * _US, burst_s * _US
     clock = None
     if old is not None:
@@ -82,6 +82,7 @@ def audit_batch(
         F.lit(None).cast("bigint").alias("window"), F.lit(newest).cast("bigint").alias("n"),
     )
     total.unionByName(now).write.mode("overwrite").parquet(f"{state}/batch={batch_id}")
+    _forget(spark, state, batch_id)
 
 
 def rate_limit_stream(

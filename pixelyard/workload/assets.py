@@ -280,6 +280,21 @@ def _(spark, folder):
     return o.select("o_orderkey", text.blocked_ip(F.concat_ws(".", a, b, (k % 256).cast("string"), F.lit("1"))).alias("blocked"))
 
 
+_IP6_FORMS = ["::{}", "0:0:0:0:0:0:0:{}", "0000:0000:0000:0000:0000:0000:0000:000{}", "0::{}", "0:0::{}", "0::0:{}%25eth0", "FD00:0::{}", "2001:DB8::{}", "::FFFF:10.0.0.{}", "::ffff:8.8.8.{}", "1::2::{}", "1:2:3:{}", "::1{}234", "fe00::{}"]
+
+
+@query(
+    "screen_ipv6",
+    """SELECT o_orderkey, CASE WHEN form IN (10, 11, 12) THEN 'bad_address' WHEN form <= 5 AND last = 1 OR form IN (6, 8) THEN 'blocked_address' END AS reason
+ FROM (SELECT o_orderkey, o_orderkey % 14 AS form, o_custkey % 3 AS last FROM orders)""",
+)
+def _(spark, folder):
+    """Spellings of IPv6 literals; the SQL judges the numbers they are made of."""
+    form, last = F.col("o_orderkey") % len(_IP6_FORMS), (F.col("o_custkey") % 3).cast("string")
+    url = F.concat(F.lit("https://["), F.replace(W.pick(_IP6_FORMS, form), F.lit("{}"), last), F.lit("]:8443/x"))
+    return screening.screen_urls(read_table(spark, folder, "orders").select("o_orderkey", url.alias("url"))).select("o_orderkey", "reason")
+
+
 @query(
     "redirect_screen",
     f"""WITH h AS (SELECT page_id // 9 AS chain, page_id AS hop, CASE WHEN scheme <> 'https' THEN 'scheme' WHEN host = '' THEN 'no_host' END AS reason FROM ({_URLS})),

@@ -149,3 +149,25 @@ def test_encoder_plan(spark, row, want):
     df = spark.createDataFrame([row], "format string, quality int, width int, height int, frames int, mode string, png_lossy boolean, strip_metadata boolean")
     got = S.encoder_plan(df).first().asDict()
     assert {k: got[k] for k in want} == want
+
+
+def test_ipv6_like_the_standard_library(spark):
+    import ipaddress
+    import random
+
+    rng = random.Random(3)
+    nets = [ipaddress.ip_network(n) for n in K.BLOCKED_NETWORKS]
+    texts = ["", ":", "::", ":::", "1::", "::1", "0::1", "0:0::1", "::1%eth0", "1::2::3", "12345::", "g::", "1:2:3:4:5:6:7:8", "1:2:3:4:5:6:7", "1:2:3:4:5:6:7::", "1:2:3:4:5:6:7:8:9", "::ffff:10.0.0.1", "::ffff:8.8.8.8", "::256.1.1.1", "64:ff9b::10.0.0.1", "fdff::", "fe00::", "fbff::1", ":1::2", "1.2.3.4"]
+    for _ in range(200):
+        groups = [rng.choice([0, 0, 0, 1, 0xFC00, 0xFDFF, rng.randrange(65536)]) for _ in range(8)]
+        a = ipaddress.IPv6Address(sum(g << 16 * (7 - i) for i, g in enumerate(groups)))
+        texts += [a.compressed.upper(), a.exploded]
+    got = {r.ip: (r.d, r.b) for r in spark.createDataFrame([(t,) for t in texts], "ip string").select("ip", X.ipv6_digits("ip").alias("d"), X.blocked_ipv6("ip").alias("b")).collect()}
+    for t in texts:
+        try:
+            a = ipaddress.IPv6Address(t)
+        except ValueError:
+            assert got[t] == (None, False), t
+            continue
+        b = a.ipv4_mapped or a
+        assert got[t] == (f"{int(a):032x}", any(n.version == b.version and int(b) in range(int(n[0]), int(n[-1]) + 1) for n in nets)), t
