@@ -93,28 +93,54 @@ def blocked_number(number: str | Column) -> Column:
     return _blocked(4, _c(number), int)
 
 
+def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body reads it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _groups(side: Column) -> Column:
+    return F.when(side == "", F.array().cast("array<string>")).otherwise(F.split(side, ":", -1))
+
+
+def _hexadecimal_end(text: Column) -> Column:
+    """The text with a dotted IPv4 end written as two groups."""
+
+    def replaced(tail: Column) -> Column:
+        halves = F.concat_ws(":", F.lower(F.hex(F.shiftright(tail, 16))), F.lower(F.hex(tail.bitwiseAND(0xFFFF))))
+        return F.when(tail.isNotNull(), F.concat(F.regexp_extract(text, r"^(.*:)[^:]*$", 1), halves)).otherwise(text)
+
+    return F.when(F.contains(text, F.lit(".")), _bound(ipv4_number(F.regexp_extract(text, r"^.*:([^:]*)$", 1)), replaced)).otherwise(text)
+
+
+def _expanded(sides: Column) -> Column:
+    """Both sides of ``::`` (or one whole address) as 32 digits."""
+
+    def joined(pair: Column) -> Column:
+        head, rest = pair["head"], pair["rest"]
+        given = F.size(head) + F.size(rest)
+        fits = (F.size(sides) <= 2) & F.when(F.size(sides) == 2, given <= 7).otherwise(given == 8)
+        whole = F.concat(head, F.array_repeat(F.lit("0"), F.greatest(F.lit(0), 8 - given)), rest)
+        right = F.forall(whole, lambda g: F.regexp_like(g, F.lit("^[0-9a-f]{1,4}$")))
+        return F.when(fits & right, F.array_join(F.transform(whole, lambda g: F.lpad(g, 4, "0")), ""))
+
+    return _bound(F.struct(_groups(F.get(sides, F.lit(0))).alias("head"), _groups(F.coalesce(F.get(sides, F.lit(1)), F.lit(""))).alias("rest")), joined)
+
+
 def ipv6_digits(ip: str | Column) -> Column:
     """IPv6 text as 32 hexadecimal digits: any case, padding, one ``::``, a dotted IPv4 end, a zone
     (which is cut off). NULL for anything else."""
-    text = F.lower(F.regexp_replace(_c(ip), "%.*$", ""))
-    tail = ipv4_number(F.regexp_extract(text, r"^.*:([^:]*\.[^:]*)$", 1))
-    halves = F.concat_ws(":", F.lower(F.hex(F.shiftright(tail, 16))), F.lower(F.hex(tail.bitwiseAND(0xFFFF))))
-    text = F.when(tail.isNotNull(), F.concat(F.regexp_extract(text, r"^(.*:)[^:]*$", 1), halves)).otherwise(text)
-    sides = F.split(text, "::")
-    groups = lambda side: F.when(side == "", F.array().cast("array<string>")).otherwise(F.split(side, ":", -1))
-    head, rest = groups(F.get(sides, F.lit(0))), groups(F.coalesce(F.get(sides, F.lit(1)), F.lit("")))
-    given, gap = F.size(head) + F.size(rest), F.size(sides) == 2
-    whole = F.concat(head, F.array_repeat(F.lit("0"), F.greatest(F.lit(0), 8 - given)), rest)
-    fits = (F.size(sides) <= 2) & F.when(gap, given <= 7).otherwise(given == 8)
-    right = F.forall(F.concat(head, rest), lambda g: F.regexp_like(g, F.lit("^[0-9a-f]{1,4}$")))
-    return F.when(fits & right, F.array_join(F.transform(whole, lambda g: F.lpad(g, 4, "0")), ""))
+    text = _bound(F.lower(F.regexp_replace(_c(ip), "%.*$", "")), _hexadecimal_end)
+    return F.when(F.contains(_c(ip), F.lit(":")), _bound(F.split(text, "::"), _expanded))
 
 
 def blocked_digits(digits: str | Column) -> Column:
     """Containment by 32 digits; an address that stands for an IPv4 one (::ffff:a.b.c.d) is judged by it."""
-    digits = _c(digits)
-    mapped = F.when(F.startswith(digits, F.lit("0" * 20 + "ffff")), F.conv(F.substring(digits, 25, 8), 16, 10).cast("bigint"))
-    return _blocked(6, digits, lambda a: f"{int(a):032x}") | blocked_number(mapped)
+
+    def judged(d: Column) -> Column:
+        mapped = F.when(F.startswith(d, F.lit("0" * 20 + "ffff")), F.conv(F.substring(d, 25, 8), 16, 10).cast("bigint"))
+        return _blocked(6, d, lambda a: f"{int(a):032x}") | _bound(mapped, blocked_number)
+
+    return F.coalesce(_bound(_c(digits), judged), F.lit(False))
 
 
 def blocked_ipv6(ip: str | Column) -> Column:
