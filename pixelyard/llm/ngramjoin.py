@@ -270,7 +270,7 @@ class _Labels:
             self.table = self.scratch.write("nodes", joined.select("doc_id", F.coalesce("label", "comp").alias("comp")))
 
 
-def join_components(docs: DataFrame, size: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", frequent: int | None = None, pairs_to: int = 160, block: int = 256, block_shingles: int = 500_000, crowd: int = 8, rounds: int = 2) -> DataFrame:
+def join_components(docs: DataFrame, size: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", frequent: int | None = None, pairs_to: int = 160, block: int = 2_048, block_shingles: int = 500_000, crowd: int = 8, rounds: int = 3) -> DataFrame:
     """doc_id, n_shingles and component_id of each row whose links form the components.
 
     A text's set is its distinct shingles of ``size`` words (ASCII lower case); two sets link when
@@ -287,8 +287,8 @@ def join_components(docs: DataFrame, size: int = 4, percent: int = 85, id_col: s
        those that still hold different components, the one that most sets hold, and is compared there
        in blocks of at most about ``block`` sets and ``block_shingles`` shingles. So a group of thousands of
        near copies is joined without listing its pairs.
-    4. What still shares a signature without being joined is verified pair by pair, so no link is lost:
-       first by sketches that bound what two sets can share, then by the sets.
+    4. What still shares a signature, is not joined and has not met in a block is verified pair by pair,
+       so no link is lost: first by sketches that bound what two sets can share, then by the sets.
 
     Signatures, sets and links are written to the shared folder and dropped when no longer read.
     """
@@ -317,6 +317,7 @@ def join_components(docs: DataFrame, size: int = 4, percent: int = 85, id_col: s
     sets = docs.join(labels.table.select("doc_id").hint("shuffle_hash"), "doc_id").mapInArrow(_sets(size), "doc_id long, n long, values binary, ranges binary")
     sets = scratch.write("sets", sets)
 
+    met: list[DataFrame] = []  # the block of each set in each round
     for round_ in range(rounds + 1):
         known = shared.join(labels.table, "doc_id")
         mixed = known.groupBy("signature").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("signature")
@@ -326,19 +327,31 @@ def join_components(docs: DataFrame, size: int = 4, percent: int = 85, id_col: s
         crowds = open_.where(F.col("m") > crowd)
         last = round_ == rounds or crowds.isEmpty()
         if not last:
+            for earlier in met:
+                crowds = crowds.join(earlier.select("doc_id", F.col("signature").alias("was")), "doc_id", "left").where("was IS NULL OR was <> signature").drop("was")
             chosen = crowds.groupBy("doc_id").agg(F.max(F.struct("m", "signature")).alias("s"), F.first("comp").alias("comp"), F.first("n").alias("n")).select("doc_id", "comp", "n", "s.signature")
             parts = chosen.groupBy("signature").agg(F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("n") / block_shingles)).alias("parts"), F.count("*").alias("c")).where("c > 1").drop("c")
             placed = chosen.join(parts, "signature").withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(round_)), F.col("parts")))
-            blocks = placed.select("signature", "part", "doc_id", "comp").join(sets.select("doc_id", "values"), "doc_id")
+            placed = scratch.write("met", placed.select("signature", "part", "doc_id", "comp"))
+            met.append(placed)
+            blocks = placed.join(sets.select("doc_id", "values"), "doc_id")
             blocks = blocks.repartition("signature", "part").sortWithinPartitions("signature", "part", "doc_id").select("signature", "part", "doc_id", "comp", "values")
             links = blocks.mapInArrow(_links_in_blocks(percent), "a long, b long")
         else:
-            # Each pair once, at the smallest signature that both hold.
-            held = open_.groupBy("doc_id").agg(F.array_sort(F.collect_set("signature")).alias("held"))
-            rows = open_.join(held, "doc_id").select("signature", "doc_id", "comp", "n", "held")
+            # What a block has compared is done. A pair of a crowd comes up once, at the smallest of the
+            # crowded signatures that both hold.
+            crowded = F.col("m") > crowd
+            held = open_.where(crowded).groupBy("doc_id").agg(F.array_sort(F.collect_set("signature")).alias("held"))
+            rows = open_.join(held, "doc_id", "left").withColumn("held", F.when(crowded, F.col("held")))
+            for i, earlier in enumerate(met):
+                rows = rows.join(earlier.select("doc_id", F.xxhash64("signature", "part").alias(f"met{i}")), "doc_id", "left").withColumn(f"met{i}", F.when(crowded, F.col(f"met{i}")))
+            columns = ["doc_id", "comp", "n", "held", *[f"met{i}" for i in range(len(met))]]
+            rows = rows.select("signature", *columns)
             main = open_.groupBy("signature", "comp").count().groupBy("signature").agg(F.max_by("comp", F.struct("count", "comp")).alias("main"))
-            minor = rows.join(main, "signature").where("comp <> main").drop("main").withColumnsRenamed({c: f"x_{c}" for c in ("doc_id", "comp", "n", "held")})
-            fits = F.expr(f"x_comp <> comp AND 100 * least(x_n, n) >= {percent} * greatest(x_n, n) AND signature = array_min(array_intersect(x_held, held))")
+            minor = rows.join(main, "signature").where("comp <> main").select("signature", *[F.col(c).alias(f"x_{c}") for c in columns])
+            once = "(held IS NULL OR signature = array_min(array_intersect(x_held, held)))"
+            fresh = "".join(f" AND NOT coalesce(x_met{i} = met{i}, false)" for i in range(len(met)))
+            fits = F.expr(f"x_comp <> comp AND 100 * least(x_n, n) >= {percent} * greatest(x_n, n){fresh} AND {once}")
             pairs = minor.join(rows, "signature").where(fits).select(F.least("x_doc_id", "doc_id").alias("a"), F.greatest("x_doc_id", "doc_id").alias("b"))
             pairs = scratch.write("pairs", pairs.distinct())
             near = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("ranges").alias("rb")), "b").join(sets.select(F.col("doc_id").alias("a"), F.col("ranges").alias("ra")), "a")
