@@ -53,7 +53,7 @@ _FIRST_FIELDS = ("name", "bucket", "format", "preset", "reduction_pct", "method"
 
 def summarize_cases(
     iters: DataFrame, keys: Sequence[str] = ("case_id",), wall: str = "wall_ms", error: str | None = None,
-    position: str | None = None, plan: str = "auto",
+    position: str | None = None,
 ) -> DataFrame:
     """Robust statistics per case; failed rows do not count.
 
@@ -78,9 +78,9 @@ def summarize_cases(
     carried = [c for c in _FIRST_FIELDS if c in rows.columns and c not in keys]
     if position and carried:
         aggs.append(F.min_by(F.struct(*carried), F.col(position)).alias("__first"))
-    base = quantiles.aggregate(rows, keys, specs, aggs, plan)
+    base = quantiles.aggregate(rows, keys, specs, aggs)
     medians = base.select(*keys, F.col("p50_ms").alias("__median"))
-    spread = quantiles.median_abs_deviation(rows, keys, wall, "mad_ms", plan, medians)
+    spread = quantiles.median_abs_deviation(rows, keys, wall, "mad_ms", medians)
     out = join_on(base, spread, keys, "left")
     if position and carried:
         out = out.select("*", *[F.col(f"__first.{c}").alias(c) for c in carried]).drop("__first")
@@ -128,7 +128,7 @@ def with_total(df: DataFrame, column: str, total: str = "(all)") -> DataFrame:
     return df.select(*others, F.explode(F.array(F.lit(total), F.col(column))).alias(column))
 
 
-def accuracy_summary(df: DataFrame, fmt: str = "format", plan: str = "auto") -> DataFrame:
+def accuracy_summary(df: DataFrame, fmt: str = "format") -> DataFrame:
     """Per format and overall: percentiles of absolute errors and the no-op hit rate.
 
     Expects size_rel_error_pct and reduction_abs_error_pct_abs, and for the hit rate
@@ -155,19 +155,19 @@ def accuracy_summary(df: DataFrame, fmt: str = "format", plan: str = "auto") ->
         ("size_rel_error_p50", "__size", 50), ("size_rel_error_p95", "__size", 95),
         ("reduction_error_p50", "__red", 50), ("reduction_error_p95", "__red", 95),
     ]
-    return quantiles.aggregate(slim, ["format"], specs, aggs, plan)
+    return quantiles.aggregate(slim, ["format"], specs, aggs)
 
 
 # --- timing, trend, detail ------------------------------------------------------------------
 
 
-def format_timing(cases: DataFrame, plan: str = "auto") -> DataFrame:
+def format_timing(cases: DataFrame) -> DataFrame:
     specs = [("p50_ms", "p50_ms", 50), ("p95_ms", "p95_ms", 95), ("median_reduction_pct", "reduction_pct", 50)]
-    return quantiles.aggregate(cases, ["format"], specs, [F.count(F.lit(1)).alias("n")], plan)
+    return quantiles.aggregate(cases, ["format"], specs, [F.count(F.lit(1)).alias("n")])
 
 
 def trend(
-    cases: DataFrame, errors: DataFrame, runs: DataFrame, limit: int = 100, plan: str = "auto", digits: int | None = 3
+    cases: DataFrame, errors: DataFrame, runs: DataFrame, limit: int = 100, digits: int | None = 3
 ) -> DataFrame:
     """Per run and format medians of the newest ``limit`` runs, oldest first, with the change from
     the run before. ``cases`` has run_id, format, p50_ms, p95_ms and peak memory; ``errors`` has
@@ -178,7 +178,7 @@ def trend(
     memory = cases.withColumn("__rss", F.col("parent_peak_rss_p95_kb") + F.col("children_peak_rss_p95_kb"))
     kept = memory.join(F.broadcast(newest.select("run_id")), "run_id", "left_semi")  # at most ``limit`` rows
     specs = [("p50_ms", "p50_ms", 50), ("p95_ms", "p95_ms", 50), ("peak_rss_kb", "__rss", 50)]
-    per_format = quantiles.aggregate(kept, ["run_id", "format"], specs, [F.count(F.lit(1)).alias("n")], plan)
+    per_format = quantiles.aggregate(kept, ["run_id", "format"], specs, [F.count(F.lit(1)).alias("n")])
     n_errors = errors.groupBy("run_id").agg(F.count(F.lit(1)).alias("n_errors"))
     joined = newest.join(per_format, "run_id", "left").join(n_errors, "run_id", "left")
     rnd = (lambda c: c) if digits is None else (lambda c: F.bround(c, digits))

@@ -36,7 +36,7 @@ def only_in(a: DataFrame, b: DataFrame, keys: Sequence[str] = CASE) -> DataFrame
     return a.select(*keys).distinct().join(b.select(*keys).distinct(), list(keys), "left_anti")
 
 
-def _sample(df: DataFrame, keys: Sequence[str], wall: str, error: str | None, tag: str, plan: str) -> DataFrame:
+def _sample(df: DataFrame, keys: Sequence[str], wall: str, error: str | None, tag: str) -> DataFrame:
     rows = (df if error is None else df.where(~failed(error))).select(*keys, wall)
     return quantiles.aggregate(
         rows, keys, [(f"{tag}_median", wall, 50)],
@@ -45,14 +45,13 @@ def _sample(df: DataFrame, keys: Sequence[str], wall: str, error: str | None, ta
             F.avg(wall).alias(f"{tag}_mean"),
             S.sample_std(wall).alias(f"{tag}_std"),
         ],
-        plan,
     )
 
 
 def timing_diff(
     a: DataFrame, b: DataFrame, keys: Sequence[str] = CASE, wall: str = "wall_ms", error: str | None = None,
     threshold_pct: float = 10.0, noise_pct: float = 25.0, noise_min_ms: float = 5.0, alpha: float = 0.05,
-    min_effect: float = 0.5, p_value: bool = False, plan: str = "auto",
+    min_effect: float = 0.5, p_value: bool = False,
 ) -> DataFrame:
     """Median change per common case. Two or more iterations on both sides are tested (Welch and
     Cohen); otherwise only a large change above the noise floor counts. Bounds are inclusive.
@@ -61,7 +60,7 @@ def timing_diff(
     ``p_value`` adds it (a Python UDF over case rows).
     """
     keys = list(keys)
-    both = join_on(_sample(a, keys, wall, error, "baseline", plan), _sample(b, keys, wall, error, "head", plan), keys, nulls=False)
+    both = join_on(_sample(a, keys, wall, error, "baseline"), _sample(b, keys, wall, error, "head"), keys, nulls=False)
     base, head = F.col("baseline_median"), F.col("head_median")
     low_power = F.least("baseline_n", "head_n") < 2
     stats = ("baseline_n", "baseline_mean", "baseline_std", "head_n", "head_mean", "head_std")
@@ -199,7 +198,7 @@ def _with_format(diffs: DataFrame, fmt: Column | None) -> DataFrame:
     return diffs if "format" in diffs.columns else diffs.withColumn("format", extract_format("case_id"))
 
 
-def timing_rollup(diffs: DataFrame, fmt: Column | None = None, plan: str = "auto") -> DataFrame:
+def timing_rollup(diffs: DataFrame, fmt: Column | None = None) -> DataFrame:
     """Per format: median and worst change, regressions, improvements and the worst label."""
     rank = lookup(K.LABEL_SEVERITY, F.col("label"), 0)
     rows = _with_format(diffs, fmt).select("format", "delta_pct", "label", rank.alias("__rank"))
@@ -212,14 +211,13 @@ def timing_rollup(diffs: DataFrame, fmt: Column | None = None, plan: str = "auto
             F.count_if(F.col("label") == "improvement").alias("n_improvements"),
             F.max("__rank").alias("__worst"),
         ],
-        plan,
     )
     status = F.when(F.col("__worst") == 3, "regression").when(F.col("__worst") == 2, "noise").when(
         F.col("__worst") == 0, "improvement").otherwise("neutral")
     return out.withColumn("status", status).drop("__worst")
 
 
-def compression_rollup(diffs: DataFrame, fmt: Column | None = None, plan: str = "auto") -> DataFrame:
+def compression_rollup(diffs: DataFrame, fmt: Column | None = None) -> DataFrame:
     out = quantiles.aggregate(
         _with_format(diffs, fmt), ["format"], [("median_delta_pp", "reduction_delta_pp", 50)],
         [
@@ -230,13 +228,12 @@ def compression_rollup(diffs: DataFrame, fmt: Column | None = None, plan: str =
             F.bool_or("downgraded_to_none").alias("__broken"),
             F.bool_or("threshold_breach").alias("__breach"),
         ],
-        plan,
     )
     status = F.when(F.col("__broken"), "regression").when(F.col("__breach"), "noise").otherwise("neutral")
     return out.withColumn("status", status).drop("__broken", "__breach")
 
 
-def estimation_rollup(diffs: DataFrame, fmt: Column | None = None, plan: str = "auto") -> DataFrame:
+def estimation_rollup(diffs: DataFrame, fmt: Column | None = None) -> DataFrame:
     out = quantiles.aggregate(
         _with_format(diffs, fmt), ["format", "baseline_path"], [("median_delta_pp", "error_delta_pp", 50)],
         [
@@ -245,7 +242,6 @@ def estimation_rollup(diffs: DataFrame, fmt: Column | None = None, plan: str = "
             F.count_if("path_shifted").alias("path_shifts"),
             F.bool_or("error_regressed").alias("__bad"),
         ],
-        plan,
     )
     return out.withColumn("status", F.when(F.col("__bad"), "noise").otherwise("neutral")).drop("__bad")
 

@@ -168,13 +168,13 @@ def fit_ols(
     )
 
 
-def residuals(df: DataFrame, model: LinearModel, target: str, digits: int | None = 6, plan: str = "auto") -> DataFrame:
+def residuals(df: DataFrame, model: LinearModel, target: str, digits: int | None = 6) -> DataFrame:
     """Median, 95th percentile and maximum of the relative error."""
     y = F.col(target).cast("double")
     scored = df.select(F.abs((model.predict() - y) / F.greatest(y, F.lit(1e-9))).alias("rel_err"))
     out = quantiles.aggregate(
         scored, [], [("median_rel_err", "rel_err", 50), ("p95_rel_err", "rel_err", 95)],
-        [F.max("rel_err").alias("max_rel_err")], plan,
+        [F.max("rel_err").alias("max_rel_err")],
     )
     names = ("median_rel_err", "p95_rel_err", "max_rel_err")
     return out.select(*[(F.col(c) if digits is None else F.bround(c, digits)).alias(c) for c in names])

@@ -17,7 +17,7 @@ US_SLOT = 60_000_000
 NS_SLOT = 60_000_000_000
 
 
-def load_case(requests: DataFrame, keys: Sequence[str] = ("case_id",), position: str = "pos", plan: str = "auto") -> DataFrame:
+def load_case(requests: DataFrame, keys: Sequence[str] = ("case_id",), position: str = "pos") -> DataFrame:
     """Counts, throughput, latency and queue-wait percentiles (successes only; 0 without any),
     mean reduction and size, and the most common method (the first seen on ties).
 
@@ -45,7 +45,7 @@ def load_case(requests: DataFrame, keys: Sequence[str] = ("case_id",), position:
         F.avg(F.when(ok, F.col("reduction"))).alias("mean_reduction"),
         F.avg(F.when(ok, F.col("size"))).alias("__size"),
     ]
-    base = quantiles.aggregate(rows, keys, specs, aggs, plan)
+    base = quantiles.aggregate(rows, keys, specs, aggs)
     methods = (
         requests.where(ok)
         .groupBy(*keys, F.coalesce("method", F.lit("")).alias("method"))
@@ -67,7 +67,7 @@ def load_case(requests: DataFrame, keys: Sequence[str] = ("case_id",), position:
     ).drop("__size")
 
 
-def load_rollup(cases: DataFrame, plan: str = "auto") -> DataFrame:
+def load_rollup(cases: DataFrame) -> DataFrame:
     """Totals and medians per format and over all formats."""
     slim = cases.select(
         "format", "n_requests", "n_success", "n_503", "n_error", "throughput_per_sec", "latency_p95_ms", "ok_rate"
@@ -77,7 +77,7 @@ def load_rollup(cases: DataFrame, plan: str = "auto") -> DataFrame:
         ("median_ok_rate", "ok_rate", 50),
     ]
     sums = [F.sum(c).alias(c) for c in ("n_requests", "n_success", "n_503", "n_error")]
-    out = quantiles.aggregate(with_total(slim, "format"), ["format"], specs, [F.count(F.lit(1)).alias("n_cases"), *sums], plan)
+    out = quantiles.aggregate(with_total(slim, "format"), ["format"], specs, [F.count(F.lit(1)).alias("n_cases"), *sums])
     return out.withColumn("ok_rate", F.coalesce(F.try_divide("n_success", "n_requests"), F.lit(0.0)))
 
 

@@ -33,16 +33,16 @@ def ssim_pairs(pairs: DataFrame, reference="ref", distorted="dist", height="heig
     return pairs.withColumn("ssim", F.when(F.size(reference) == F.size(distorted), score))
 
 
-def metric_summary(rows: DataFrame, metrics: Sequence[str] = METRICS, plan: str = "auto") -> DataFrame:
+def metric_summary(rows: DataFrame, metrics: Sequence[str] = METRICS) -> DataFrame:
     """(metric, format or total): n, median and p95 of every non-NULL score."""
     present = [m for m in metrics if m in rows.columns]
     entries = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("score")) for m in present])
     long = rows.select("format", F.inline(entries)).where(F.col("score").isNotNull())
     specs = [("median", "score", 50), ("p95", "score", 95)]
-    return quantiles.aggregate(with_total(long, "format"), ["metric", "format"], specs, [F.count(F.lit(1)).alias("n")], plan)
+    return quantiles.aggregate(with_total(long, "format"), ["metric", "format"], specs, [F.count(F.lit(1)).alias("n")])
 
 
-def quality_summary(iters: DataFrame, position: str = "pos", plan: str = "auto") -> DataFrame:
+def quality_summary(iters: DataFrame, position: str = "pos") -> DataFrame:
     """Per format, one row per case: SSIM p50 and p05, PSNR p50, and how many cases are below the
     floor of their preset. ``iters`` must already exclude failed rows and rows without scores."""
     rows = first_per_case(iters.select("case_id", "format", "preset", "ssim", "psnr_db", position), position=position)
@@ -51,4 +51,4 @@ def quality_summary(iters: DataFrame, position: str = "pos", plan: str = "auto")
         F.count(F.lit(1)).alias("total"),
         F.count_if(F.col("ssim") < ssim_floor("preset")).alias("below_threshold"),
     ]
-    return quantiles.aggregate(rows, ["format"], specs, aggs, plan)
+    return quantiles.aggregate(rows, ["format"], specs, aggs)

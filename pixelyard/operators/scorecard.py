@@ -25,9 +25,9 @@ def _status_name(ordinal: Column) -> Column:
     return lookup(_STATUS, ordinal)
 
 
-def slo_status(cases: DataFrame, plan: str = "auto", digits: int | None = 1) -> DataFrame:
+def slo_status(cases: DataFrame, digits: int | None = 1) -> DataFrame:
     """Per (format, bucket): p95 of the cases' p95 latencies against the objective."""
-    grouped = quantiles.aggregate(cases, ["format", "bucket"], [("p95_ms", "p95_ms", 95)], [F.count(F.lit(1)).alias("n_cases")], plan)
+    grouped = quantiles.aggregate(cases, ["format", "bucket"], [("p95_ms", "p95_ms", 95)], [F.count(F.lit(1)).alias("n_cases")])
     if digits is not None:
         grouped = grouped.withColumn("p95_ms", F.bround("p95_ms", digits))
     slo = latency_slo()
@@ -37,7 +37,7 @@ def slo_status(cases: DataFrame, plan: str = "auto", digits: int | None = 1) ->
     )
 
 
-def _quality(first: DataFrame, plan: str) -> DataFrame:
+def _quality(first: DataFrame) -> DataFrame:
     scored = first.where(F.col("ssim").isNotNull() & ~F.col("format").isin(*K.LOSSLESS_FORMATS))
     scored = scored.withColumn("__floor", ssim_floor("preset"))
     return quantiles.aggregate(
@@ -47,27 +47,26 @@ def _quality(first: DataFrame, plan: str) -> DataFrame:
             F.min("__floor").alias("ssim_threshold"),
             F.count_if(F.col("ssim") < F.col("__floor")).alias("n_below"),
         ],
-        plan,
     )
 
 
-def _accuracy(first: DataFrame, plan: str) -> DataFrame:
+def _accuracy(first: DataFrame) -> DataFrame:
     errors = first.where(F.col("size_rel_error_pct").isNotNull()).select("format", F.abs("size_rel_error_pct").alias("__e"))
-    return quantiles.aggregate(errors, ["format"], [("size_rel_error_p95", "__e", 95)], [], plan)
+    return quantiles.aggregate(errors, ["format"], [("size_rel_error_p95", "__e", 95)], [])
 
 
-def scorecard(cases: DataFrame, iters: DataFrame | None = None, plan: str = "auto", digits: bool = True) -> DataFrame:
+def scorecard(cases: DataFrame, iters: DataFrame | None = None, digits: bool = True) -> DataFrame:
     """One row per format. ``cases`` has format, bucket, p95_ms, reduction_pct; ``iters`` (optional:
     without it quality and accuracy stay NULL) has case_id, format, preset, pos, ssim and
     size_rel_error_pct of rows that did not fail."""
     rnd = (lambda c, d: F.bround(c, d)) if digits else (lambda c, d: F.col(c) if isinstance(c, str) else c)
-    speed = slo_status(cases, plan, 1 if digits else None)
+    speed = slo_status(cases, 1 if digits else None)
     per_speed = speed.groupBy("format").agg(
         F.array_sort(F.collect_list(F.struct("bucket", "p95_ms", "slo_ms", "status"))).alias("speed_by_bucket"),
         F.max(lookup({"ok": 0, "warn": 1, "fail": 2}, F.col("status"))).alias("__speed"),
     )
     base = quantiles.aggregate(
-        cases, ["format"], [("median_reduction_pct", "reduction_pct", 50)], [F.count(F.lit(1)).alias("n_cases")], plan
+        cases, ["format"], [("median_reduction_pct", "reduction_pct", 50)], [F.count(F.lit(1)).alias("n_cases")]
     )
     out = join_on(base, per_speed, ["format"], "left")
     if iters is None:
@@ -78,8 +77,8 @@ def scorecard(cases: DataFrame, iters: DataFrame | None = None, plan: str = "aut
         first = first_per_case(iters.select(*wanted))
         formats = first.select("format").distinct()
         out = join_on(out, formats, ["format"], "full")
-        out = join_on(out, _quality(first, plan), ["format"], "left")
-        out = join_on(out, _accuracy(first, plan), ["format"], "left")
+        out = join_on(out, _quality(first), ["format"], "left")
+        out = join_on(out, _accuracy(first), ["format"], "left")
         if digits:
             out = out.withColumn("size_rel_error_p95", F.bround("size_rel_error_p95", 2))
     out = out.withColumns(

@@ -1,16 +1,10 @@
-"""Exact grouped percentiles with linear interpolation.
-
-Two plans give the same numbers:
-
-* ``single`` - one shuffle on the keys and the built-in ``percentile``. It keeps a
-  value -> count map per group in one task, so it is chosen only when the estimated input
-  is small.
-* ``ranged`` - for inputs of any size and any skew. Equal values are counted first (partial
-  aggregation), every group is cut into value ranges by a bounded quantile sketch, ranks are
-  found from the per-range counts, and only the ranges that hold a wanted rank are sorted.
-  A hot group is spread over all its ranges; no task ever sees a whole group. The sketch
-  only balances the work, the result does not depend on its error. The counted values are
-  written to the scratch folder when the plan is built, so the input is read once.
+"""Exact grouped percentiles with linear interpolation: one lazy plan for every size and any skew.
+
+Equal values are counted first (partial aggregation). Values fall into narrow buckets that keep their
+order, counts of buckets give the one that holds a wanted rank, and only that bucket's values are
+sorted. So no task sees the rows of a group: rows are dealt by group and value, or by group and
+bucket, and what is dealt by group alone are the counts of its buckets, whose number does not grow
+with its rows. Nothing runs before an action.
 """
 
 from __future__ import annotations
@@ -21,7 +15,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pixelyard.plans.scale import broadcast_if_small, fits_one_task, join_on, materialize
+from pixelyard.plans.scale import join_on
+
+#: Buckets to a factor of e, for values above 1 / SMALL; below it they are as wide as there.
+FINE, SMALL = 2048, 1e6
 
 #: (output name, value column, percentile in 0..100)
 Spec = tuple[str, str, float]
@@ -43,154 +40,68 @@ def _by_column(specs: Sequence[Spec]) -> dict[str, list[tuple[str, float]]]:
     return grouped
 
 
-def aggregate(
-    df: DataFrame,
-    keys: Sequence[str],
-    specs: Sequence[Spec],
-    aggs: Sequence[Column] = (),
-    plan: str = "auto",
-    splits: int | None = None,
-) -> DataFrame:
+def aggregate(df: DataFrame, keys: Sequence[str], specs: Sequence[Spec], aggs: Sequence[Column] = ()) -> DataFrame:
     """``groupBy(keys)`` with ordinary aggregates plus exact percentiles.
 
-    ``plan`` is auto, single or ranged; ``splits`` overrides the number of ranges per group. NULL and NaN-free double measures are expected; NULLs
-    are ignored, an all-NULL group yields NULL.
+    NULLs are ignored, an all-NULL group yields NULL; NaN-free double measures are expected.
     """
-    keys = list(keys)
-    if plan == "auto":
-        plan = "single" if fits_one_task(df) else "ranged"
-    if plan == "single":
-        return _single(df, keys, specs, aggs)
-    out = _ranged(df, keys, specs, splits)
+    keys, by_column = list(keys), _by_column(specs)
     base = df.groupBy(*keys).agg(*(list(aggs) or [F.count(F.lit(1)).alias("__rows")]))
-    joined = join_on(base, out, keys, "left")
     names = [c for c in base.columns if c != "__rows"] + [name for name, _, _ in specs]
-    return joined.select(*names)
-
-
-def _splits_for(rows: int) -> int:
-    """Ranges per group, a power of two: a million rows each if all rows were one group."""
-    return min(4096, max(16, 1 << (rows // 1_000_000).bit_length()))
-
-
-def _single(df: DataFrame, keys: list[str], specs: Sequence[Spec], aggs: Sequence[Column]) -> DataFrame:
-    arrays, outputs = [], {}
-    for i, (column, wanted) in enumerate(_by_column(specs).items()):
-        points = F.array(*[F.lit(p / 100.0) for _, p in wanted])
-        arrays.append(F.percentile(F.col(column).cast("double"), points).alias(f"__q{i}"))
-        for j, (name, _) in enumerate(wanted):
-            outputs[name] = F.get(F.col(f"__q{i}"), F.lit(j)).alias(name)
-    frame = df.groupBy(*keys).agg(*aggs, *arrays)
-    plain = [c for c in frame.columns if not c.startswith("__q")]
-    return frame.select(*plain, *[outputs[name] for name, _, _ in specs])
-
-
-def _ranged(df: DataFrame, keys: list[str], specs: Sequence[Spec], splits: int | None) -> DataFrame:
-    if splits is not None and (splits < 2 or splits & (splits - 1)):
-        raise ValueError("splits must be a power of two")
-    group = [*keys, "__measure"]
-    by_column = _by_column(specs)
-
-    measures = F.array(
-        *[
-            F.struct(F.lit(column).alias("__measure"), F.col(column).cast("double").alias("__value"))
-            for column in by_column
-        ]
-    )
-    counted = (
-        df.select(*keys, F.inline(measures))
-        .where(F.col("__value").isNotNull())
-        .groupBy(*group, "__value")
-        .agg(F.count(F.lit(1)).alias("__n"))
-    )
-    counted = materialize(counted, "values")
-    if splits is None:
-        splits = _splits_for(counted.count())  # from the table's footers
-    points = F.expr("array(" + ", ".join(f"{i / splits}D" for i in range(1, splits)) + ")")
-    cuts = counted.groupBy(*group).agg(
-        F.array_distinct(F.percentile_approx("__value", points, F.lit(splits * 10))).alias("__cuts"),
-        F.sum("__n").alias("__total"),
-    )
-
-    # Position of the value among its group's cuts, by binary search in log2(splits) steps.
-    # A step past the end of a short cut list compares with NULL and is not taken.
-    placed = join_on(counted, cuts.select(*group, "__cuts"), group).withColumn("__range", F.lit(0))
-    step = splits // 2
-    while step:
-        probe = F.get(F.col("__cuts"), F.col("__range") + (step - 1))
-        placed = placed.withColumn(
-            "__range", F.col("__range") + F.when(F.col("__value") > probe, step).otherwise(0)
-        )
-        step //= 2
-    placed = placed.drop("__cuts")
-
-    ranges = placed.groupBy(*group, "__range").agg(F.sum("__n").alias("__in_range"))
-    before = W.partitionBy(*group).orderBy("__range").rowsBetween(W.unboundedPreceding, -1)
-    ranges = ranges.withColumn("__offset", F.coalesce(F.sum("__in_range").over(before), F.lit(0)))
-
-    # The one or two ranks each percentile interpolates between.
-    wanted = None
+    return join_on(base, _ranked(df, keys, specs, by_column), keys, "left").select(*names)
+
+
+def _wanted(by_column: dict[str, list[tuple[str, float]]], total: Column) -> Column:
+    """The one or two ranks that each percentile of a measure interpolates between, with their shares."""
+    case = None
     for column, names in by_column.items():
-        here = F.array(*[F.struct(F.lit(n).alias("__name"), F.lit(p / 100.0).alias("__p")) for n, p in names])
-        case = F.when(F.col("__measure") == column, here)
-        wanted = case if wanted is None else wanted.when(F.col("__measure") == column, here)
-    rank = F.col("__p") * (F.col("__total") - 1)
-    targets = (
-        cuts.select(*group, "__total", F.inline(wanted))
-        .withColumn("__low", F.floor(rank))
-        .withColumn("__weight", rank - F.floor(rank))
-        .withColumn("__high", F.ceil(rank))
-        .select(
-            *group,
-            "__name",
-            F.inline(
-                F.array(
-                    F.struct(F.col("__low").alias("__rank"), (1 - F.col("__weight")).alias("__share")),
-                    F.struct(F.col("__high").alias("__rank"), F.col("__weight").alias("__share")),
-                )
-            ),
-        )
-        .where((F.col("__share") > 0))
-    )
-    hits = (
-        join_on(targets, ranges, group)
-        .where(F.col("__rank") >= F.col("__offset"))
-        .where(F.col("__rank") < F.col("__offset") + F.col("__in_range"))
-        .withColumn("__local", F.col("__rank") - F.col("__offset"))
-        .drop("__in_range", "__offset", "__rank")
-    )
-    spot = [*group, "__range"]
-    needed = hits.select(*spot).distinct()
-    running = W.partitionBy(*spot).orderBy("__value").rowsBetween(W.unboundedPreceding, W.currentRow)
-    sorted_ranges = join_on(placed, needed, spot, "left_semi").withColumn(
-        "__upto", F.sum("__n").over(running)
-    )
-    found = join_on(sorted_ranges, broadcast_if_small(hits), spot).where(
-        (F.col("__local") < F.col("__upto")) & (F.col("__local") >= F.col("__upto") - F.col("__n"))
-    )
+        ranks = []
+        for name, p in names:
+            rank = F.lit(p / 100.0) * (total - 1)
+            low, weight = F.floor(rank), rank - F.floor(rank)
+            ranks += [F.struct(F.lit(name).alias("__name"), low.alias("__rank"), (1 - weight).alias("__share")), F.struct(F.lit(name).alias("__name"), F.ceil(rank).alias("__rank"), weight.alias("__share"))]
+        array = F.filter(F.array(*ranks), lambda r: r["__share"] > 0)
+        case = F.when(F.col("__measure") == column, array) if case is None else case.when(F.col("__measure") == column, array)
+    return case
+
+
+def _holding(buckets: DataFrame, within: list[str], bucket: str) -> DataFrame:
+    """Buckets that hold wanted ranks, with those ranks counted from the bucket's start."""
+    so_far = F.sum("__n").over(W.partitionBy(*within).orderBy(bucket).rowsBetween(W.unboundedPreceding, W.currentRow))
+    start = F.col("__upto") - F.col("__n")
+    here = F.filter("__ranks", lambda r: (r["__rank"] >= start) & (r["__rank"] < F.col("__upto")))
+    moved = F.transform(here, lambda r: F.struct(r["__name"].alias("__name"), (r["__rank"] - start).alias("__rank"), r["__share"].alias("__share")))
+    return buckets.withColumn("__upto", so_far).withColumn("__ranks", moved).where(F.size("__ranks") > 0)
+
+
+def _ranked(df: DataFrame, keys: list[str], specs: Sequence[Spec], by_column: dict[str, list[tuple[str, float]]]) -> DataFrame:
+    # One key column, so that joins are plain equi-joins and can use what grouping has dealt out.
+    group = F.struct(*[F.col(k) for k in keys], F.col("__measure")).alias("__group")
+    measures = F.array(*[F.struct(F.lit(c).alias("__measure"), F.col(c).cast("double").alias("__value")) for c in by_column])
+    rows = df.select(*keys, F.inline(measures)).where(F.col("__value").isNotNull()).select(group, "__value")
+    counted = rows.groupBy("__group", "__value").agg(F.count(F.lit(1)).alias("__n"))
+    # Logarithms keep the order of values on both sides of zero.
+    counted = counted.withColumn("__bucket", F.floor(F.signum("__value") * F.log1p(F.abs("__value") * SMALL) * FINE).cast("bigint"))
+
+    buckets = counted.groupBy("__group", "__bucket").agg(F.sum("__n").alias("__n"))
+    total = F.sum("__n").over(W.partitionBy("__group"))
+    buckets = buckets.withColumn("__total", total).withColumn("__measure", F.col("__group.__measure"))
+    buckets = buckets.withColumn("__ranks", _wanted(by_column, F.col("__total")))
+    buckets = _holding(buckets, ["__group"], "__bucket").select("__group", "__bucket", "__ranks")
+    inside = counted.join(buckets, ["__group", "__bucket"])
+    found = _holding(inside, ["__group", "__bucket"], "__value").select(*[F.col(f"__group.{k}").alias(k) for k in keys], "__value", F.inline("__ranks"))
     # Both parts of one interpolation meet here; each percentile has at most two rows.
-    return found.groupBy(*keys).agg(
-        *[
-            F.sum(F.when(F.col("__name") == name, F.col("__value") * F.col("__share"))).alias(name)
-            for name, _, _ in specs
-        ]
-    )
+    return found.groupBy(*keys).agg(*[F.sum(F.when(F.col("__name") == name, F.col("__value") * F.col("__share"))).alias(name) for name, _, _ in specs])
 
 
-def median_abs_deviation(
-    df: DataFrame, keys: Sequence[str], column: str, out: str = "mad", plan: str = "auto", medians: DataFrame | None = None
-) -> DataFrame:
+def median_abs_deviation(df: DataFrame, keys: Sequence[str], column: str, out: str = "mad", medians: DataFrame | None = None) -> DataFrame:
     """Median of absolute deviations from each group's median; one row per group.
 
     ``medians`` (keys, ``__median``) are used where the caller already has them.
     """
     keys = list(keys)
     slim = df.select(*keys, column)
-    if plan == "auto":
-        plan = "single" if fits_one_task(slim) else "ranged"
     if medians is None:
-        medians = aggregate(slim, keys, [("__median", column, 50)], plan=plan)
-    if plan == "ranged":
-        medians = materialize(medians, "medians")  # one row per group
+        medians = aggregate(slim, keys, [("__median", column, 50)])
     dev = join_on(slim, medians, keys).select(*keys, F.abs(F.col(column) - F.col("__median")).alias("__dev"))
-    return aggregate(dev, keys, [(out, "__dev", 50)], plan=plan)
+    return aggregate(dev, keys, [(out, "__dev", 50)])

@@ -14,19 +14,18 @@ from pixelyard.operators.ranking import severity
 from pixelyard.plans.scale import lookup
 
 
-def case_report(iters: DataFrame, keys: Sequence[str], wall: str, slo_ms: float, plan: str = "auto") -> DataFrame:
+def case_report(iters: DataFrame, keys: Sequence[str], wall: str, slo_ms: float) -> DataFrame:
     """Robust statistics per case, status of the p95 against an objective, worst first."""
-    cases = summarize_cases(iters, keys, wall, plan=plan)
+    cases = summarize_cases(iters, keys, wall)
     status = lookup({0: "ok", 1: "warn", 2: "fail"}, ceiling_status(F.col("p95_ms"), F.lit(float(slo_ms)), 1.25))
     return cases.withColumn("status", status).orderBy(severity("status"), *keys)
 
 
 def compare_runs(
-    a: DataFrame, b: DataFrame, keys: Sequence[str] = C.CASE, error: str | None = "error", conditions: tuple | None = None,
-    plan: str = "auto", **thresholds,
+    a: DataFrame, b: DataFrame, keys: Sequence[str] = C.CASE, error: str | None = "error", conditions: tuple | None = None, **thresholds,
 ) -> dict[str, DataFrame]:
     """All axes of a two-run comparison over flattened iteration rows, and the verdict row."""
-    timing = C.timing_diff(a, b, keys, error=error, plan=plan, **thresholds)
+    timing = C.timing_diff(a, b, keys, error=error, **thresholds)
     compression = C.compression_diff(a, b, keys, error)
     out = {"timing": timing, "compression": compression, "pairs": C.pair_cases(a, b, keys)}
     if {"path", "size_rel_error_pct"} <= set(a.columns) & set(b.columns):

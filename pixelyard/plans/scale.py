@@ -1,4 +1,4 @@
-"""Size checks, null-safe joins and the shared scratch folder."""
+"""Null-safe joins, pinned columns and the shared scratch folder."""
 
 from __future__ import annotations
 
@@ -9,39 +9,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Above this estimated input size, single-shuffle plans that keep a whole group in
-#: one task are replaced by plans that split the group.
-ONE_TASK_BYTES = 128 * 1024 * 1024
-#: Rows a plan may hold per row of its inputs (two sides, totals, unpivoted measures).
-LEAF_EXPANSION = 4
-
-
-def estimated_bytes(df: DataFrame) -> int | None:
-    """Catalyst's size estimate for ``df`` (no job is run); None if unavailable.
-
-    Without column statistics a join is estimated as the product of its sides. The joins in this
-    library look rows up by key, so the estimate is bounded by what the leaf relations hold, with
-    room for expansion.
-    """
-    jdf = getattr(df, "_jdf", None)
-    if jdf is None:
-        return None
-    plan = jdf.queryExecution().optimizedPlan()
-    leaves = plan.collectLeaves()
-    read = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
-    return min(int(str(plan.stats().sizeInBytes())), LEAF_EXPANSION * read)
-
-
-def fits_one_task(df: DataFrame, limit: int = ONE_TASK_BYTES) -> bool:
-    size = estimated_bytes(df)
-    return size is not None and size <= limit
-
-
-def broadcast_if_small(df: DataFrame, limit: int = 32 * 1024 * 1024) -> DataFrame:
-    """Broadcast hint only when the estimated size is within ``limit``."""
-    size = estimated_bytes(df)
-    return F.broadcast(df) if size is not None and size <= limit else df
-
 
 def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner", nulls: bool = True) -> DataFrame:
     """Equi-join that also matches NULL keys; the result keeps one copy of each key.
@@ -105,14 +72,6 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared scratch folder and read it back: the plan starts over from a
-    table that survives lost executors and is computed once however often it is used."""
-    path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def epoch_micros(column: str | Column) -> Column:
     """Microseconds since 1970 of a TIMESTAMP_NTZ column, independent of the session zone."""
     gap = F.col(column) if isinstance(column, str) else column

@@ -68,7 +68,7 @@ def report(spark, folder):
 def _(spark, folder):
     """The same numbers by the plan for large or skewed inputs."""
     li = read_table(spark, folder, "lineitem").select("l_returnflag", "l_linestatus", F.col("l_extendedprice").alias("wall_ms"))
-    return C.summarize_cases(li, ["l_returnflag", "l_linestatus"], plan="ranged")
+    return C.summarize_cases(li, ["l_returnflag", "l_linestatus"])
 
 
 _POINTS = (0, 5, 50, 95, 99, 100)
@@ -91,7 +91,7 @@ def _(spark, folder):
 )
 def _(spark, folder):
     orders = read_table(spark, folder, "orders").select("o_totalprice")
-    return quantiles.aggregate(orders, [], [(f"p{p}", "o_totalprice", p) for p in _POINTS], [F.count(F.lit(1)).alias("n")], "ranged")
+    return quantiles.aggregate(orders, [], [(f"p{p}", "o_totalprice", p) for p in _POINTS], [F.count(F.lit(1)).alias("n")])
 
 
 @query("median_abs_deviation", "SELECT o_custkey, mad(o_totalprice) AS mad FROM orders GROUP BY 1", rounded="mad", digits=6)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from pixelyard.plans import quantiles
 from pixelyard.plans.running import with_running_sum
-from pixelyard.plans.scale import fits_one_task, join_on, lookup, pinned
+from pixelyard.plans.scale import join_on, lookup, pinned
 
 
 def _skewed(spark, n=6000, seed=1):
@@ -23,12 +23,11 @@ def _skewed(spark, n=6000, seed=1):
     return rows, spark.createDataFrame(rows, "k string, v double, w double")
 
 
-@pytest.mark.parametrize("plan", ["single", "ranged"])
-def test_percentiles_match_numpy(spark, plan):
+def test_percentiles_match_numpy(spark):
     rows, df = _skewed(spark)
     points = (0, 5, 50, 95, 99, 100)
     specs = [(f"v{p}", "v", p) for p in points] + [("w50", "w", 50)]
-    out = {r["k"]: r for r in quantiles.aggregate(df, ["k"], specs, [F.count(F.lit(1)).alias("n")], plan, 16 if plan == "ranged" else None).collect()}
+    out = {r["k"]: r for r in quantiles.aggregate(df, ["k"], specs, [F.count(F.lit(1)).alias("n")]).collect()}
     for key in {r[0] for r in rows}:
         v = [r[1] for r in rows if r[0] == key]
         w = [r[2] for r in rows if r[0] == key and r[2] is not None]
@@ -38,17 +37,15 @@ def test_percentiles_match_numpy(spark, plan):
         assert out[key]["w50"] == (pytest.approx(np.percentile(w, 50)) if w else None)
 
 
-@pytest.mark.parametrize("plan", ["single", "ranged"])
-def test_global_percentile(spark, plan):
+def test_global_percentile(spark):
     df = spark.createDataFrame([(float(x),) for x in (10, 20, 30, 40, 50)], "v double")
-    row = quantiles.aggregate(df, [], [("p95", "v", 95), ("p50", "v", 50)], [F.max("v").alias("top")], plan).first()
+    row = quantiles.aggregate(df, [], [("p95", "v", 95), ("p50", "v", 50)], [F.max("v").alias("top")]).first()
     assert (row["p95"], row["p50"], row["top"]) == (48.0, 30.0, 50.0)
 
 
-@pytest.mark.parametrize("plan", ["single", "ranged"])
-def test_median_abs_deviation(spark, plan):
+def test_median_abs_deviation(spark):
     rows, df = _skewed(spark, 2000)
-    out = {r["k"]: r["mad"] for r in quantiles.median_abs_deviation(df, ["k"], "v", plan=plan).collect()}
+    out = {r["k"]: r["mad"] for r in quantiles.median_abs_deviation(df, ["k"], "v").collect()}
     for key in {r[0] for r in rows}:
         v = np.array([r[1] for r in rows if r[0] == key])
         assert out[key] == pytest.approx(np.median(np.abs(v - np.median(v))))
@@ -65,10 +62,17 @@ def test_percentile_bounds_are_checked(spark):
         quantiles.aggregate(df, [], [("p", "v", 101)])
 
 
-def test_auto_takes_the_single_plan_for_small_input_only(spark):
-    small = spark.range(100)
-    assert fits_one_task(small)
-    assert not fits_one_task(spark.range(10**10))
+def test_a_hot_group_is_never_dealt_as_a_whole(spark):
+    """A third of all rows in one group: its rows are dealt by value or bucket, and only counts of its
+    buckets, which are far fewer, by the group."""
+    df = spark.range(300_000).selectExpr("CASE WHEN id % 3 = 0 THEN 0 ELSE id END AS k", "CAST(hash(id) AS DOUBLE) AS v")
+    before = spark.sparkContext.statusTracker().getJobIdsForGroup(None)
+    out = quantiles.aggregate(df, ["k"], [("p50", "v", 50)])
+    assert list(spark.sparkContext.statusTracker().getJobIdsForGroup(None)) == list(before)  # lazy
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "percentile" not in plan and "hashpartitioning(__group" in plan
+    hot = [r for r in out.where("k = 0").collect()]
+    assert hot[0]["p50"] == np.percentile([r["v"] for r in df.where("k = 0").collect()], 50)
 
 
 def test_running_sum_with_slots(spark):
