@@ -152,14 +152,14 @@ def _at_most(x: np.ndarray, y: np.ndarray) -> int:
 
 
 def _sets(size: int):
-    """Rows (doc_id, n, values, ranges): a text's sorted shingle hashes as bytes, and their sketch."""
+    """Rows (doc_id, n, values, ranges, crowded): a text's sorted shingle hashes as bytes, and their sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, texts in slices(batch.column(1)):
                 values, begin = shingle_sets(texts, size)
                 each = [values[a:b] for a, b in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(texts)), pa.array(np.diff(begin)), pa.array([x.tobytes() for x in each], pa.binary()), pa.array([sketch(x) for x in each], pa.binary())], names=["doc_id", "n", "values", "ranges"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(texts)), pa.array(np.diff(begin)), pa.array([x.tobytes() for x in each], pa.binary()), pa.array([sketch(x) for x in each], pa.binary()), batch.column(2).slice(first, len(texts))], names=["doc_id", "n", "values", "ranges", "crowded"])
 
     return run
 
@@ -313,9 +313,12 @@ def join_components(docs: DataFrame, size: int = 4, percent: int = 85, id_col: s
     shared = shared.join(leaders.select("d1", F.col("leader").alias("doc_id"), F.col("n").alias("n_")), "d1").where("n = n_").select("signature", "doc_id", "n", "m")
     shared = scratch.write("shared", shared)
     scratch.release("signs", "held")
-    labels = _Labels(shared.select("doc_id").distinct(), scratch)
-    sets = docs.join(labels.table.select("doc_id").hint("shuffle_hash"), "doc_id").mapInArrow(_sets(size), "doc_id long, n long, values binary, ranges binary")
+    nodes = scratch.write("marked", shared.groupBy("doc_id").agg(F.bool_or(F.col("m") > crowd).alias("crowded")))
+    labels = _Labels(nodes, scratch)
+    sets = docs.join(nodes.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "crowded").mapInArrow(_sets(size), "doc_id long, n long, values binary, ranges binary, crowded boolean")
     sets = scratch.write("sets", sets)
+    # Apart, so that the rounds do not shuffle the other sets for their joins.
+    crowded_sets = scratch.write("crowded", sets.where("crowded").select("doc_id", "values"))
 
     met: list[DataFrame] = []  # the block of each set in each round
     for round_ in range(rounds + 1):
@@ -334,7 +337,7 @@ def join_components(docs: DataFrame, size: int = 4, percent: int = 85, id_col: s
             placed = chosen.join(parts, "signature").withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(round_)), F.col("parts")))
             placed = scratch.write("met", placed.select("signature", "part", "doc_id", "comp"))
             met.append(placed)
-            blocks = placed.join(sets.select("doc_id", "values"), "doc_id")
+            blocks = placed.join(crowded_sets, "doc_id")
             blocks = blocks.repartition("signature", "part").sortWithinPartitions("signature", "part", "doc_id").select("signature", "part", "doc_id", "comp", "values")
             links = blocks.mapInArrow(_links_in_blocks(percent), "a long, b long")
         else:
@@ -356,13 +359,15 @@ def join_components(docs: DataFrame, size: int = 4, percent: int = 85, id_col: s
             pairs = scratch.write("pairs", pairs.distinct())
             near = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("ranges").alias("rb")), "b").join(sets.select(F.col("doc_id").alias("a"), F.col("ranges").alias("ra")), "a")
             pairs = scratch.write("pairs", near.select("a", "b", "ra", "rb").mapInArrow(_possible_pairs(percent), "a long, b long").distinct())
-            right = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("values").alias("vb")), "b")
-            full = right.join(sets.select(F.col("doc_id").alias("a"), F.col("values").alias("va")), "a").select("a", "b", "va", "vb")
+            needed = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+            few = scratch.write("few", sets.join(needed, "doc_id").select("doc_id", "values"))
+            right = pairs.join(few.select(F.col("doc_id").alias("b"), F.col("values").alias("vb")), "b")
+            full = right.join(few.select(F.col("doc_id").alias("a"), F.col("values").alias("va")), "a").select("a", "b", "va", "vb")
             links = full.mapInArrow(_linked_pairs(percent), "a long, b long")
         labels.join(scratch.write("found", links))
         if last:
             break
-    scratch.release("sets", "shared")
+    scratch.release("sets", "crowded", "shared")
 
     of_class = leaders.join(labels.table.withColumnRenamed("doc_id", "leader"), "leader", "left").select("n", "d1", "d2", F.coalesce("comp", "leader").alias("comp"))
     same_id = profile.join(repeated, "doc_id").join(of_class, ["n", "d1", "d2"])
