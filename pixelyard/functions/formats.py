@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gzip
 import zlib
 
 import pandas as pd
@@ -52,6 +51,27 @@ def _looks_like_svg(text: bytes) -> bool:
     return head == b"<?xml" or head[:4] == b"<svg"
 
 
+def _unpacked_head(blob: bytes, piece: int = 4096) -> bytes:
+    """The start of a gzip stream, leading blanks cut: no more is unpacked than tells an SVG, however far
+    the stream expands. So damage further on goes unnoticed here."""
+    head, bom = b"", b""
+    while blob:
+        unpack = zlib.decompressobj(31)
+        while not unpack.eof:
+            more = unpack.decompress(blob, piece)
+            blob = unpack.unconsumed_tail
+            if not more and not blob and not unpack.eof:
+                raise EOFError("the stream ends early")
+            head += more
+            if not bom and head[:3] == b"\xef\xbb\xbf":
+                bom, head = head[:3], head[3:]
+            head = head if len(head) < 3 and not bom else head.lstrip()
+            if len(head) >= 5:
+                return bom + head
+        blob = unpack.unused_data
+    return bom + head
+
+
 @F.pandas_udf(T.StringType())
 def _open_ambiguous(blobs: pd.Series) -> pd.Series:
     """apng / png / svgz for the few rows whose magic bytes leave the question open."""
@@ -62,7 +82,7 @@ def _open_ambiguous(blobs: pd.Series) -> pd.Series:
         if blob[:8] == PNG_SIGNATURE:
             return "apng" if png_is_animated(blob) else "png"
         try:
-            return "svgz" if _looks_like_svg(gzip.decompress(blob)) else None
+            return "svgz" if _looks_like_svg(_unpacked_head(blob)) else None
         except (OSError, EOFError, zlib.error):
             return None
 

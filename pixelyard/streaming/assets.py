@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
+from pixelyard import constants as K
 from pixelyard.plans.assets import estimate_assets
 
 
@@ -12,8 +14,15 @@ BINARY_FILE = "path STRING, modificationTime TIMESTAMP, length BIGINT, content B
 
 
 def asset_stream(spark: SparkSession, folder: str, files_per_trigger: int = 1000) -> DataFrame:
-    reader = spark.readStream.format("binaryFile").schema(BINARY_FILE).option("maxFilesPerTrigger", files_per_trigger)
-    return reader.option("recursiveFileLookup", "true").load(folder)
+    """New files; those above the size limit come without their content, which is then never read."""
+
+    def files() -> DataFrame:
+        reader = spark.readStream.format("binaryFile").schema(BINARY_FILE).option("maxFilesPerTrigger", files_per_trigger)
+        return reader.option("recursiveFileLookup", "true").load(folder)
+
+    small = files().where(F.col("length") <= K.MAX_FILE_BYTES)
+    large = files().where(F.col("length") > K.MAX_FILE_BYTES).withColumn("content", F.lit(None).cast("binary"))
+    return small.unionByName(large)
 
 
 def estimate_stream(

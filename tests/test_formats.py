@@ -157,3 +157,19 @@ def test_identify_and_estimate_random_bytes(spark):
     assert (known[60]["format"], known[60]["width"], known[60]["height"], known[60]["mode"]) == ("png", 4, 3, "RGB")
     assert (known[61]["width"], known[62]["width"], known[63]["height"]) == (640, 10, 5)
     assert estimate_assets(df).count() == len(blobs)
+
+
+def test_only_the_head_of_a_gzip_stream_is_unpacked():
+    import gzip
+    import tracemalloc
+
+    from pixelyard.functions.formats import _looks_like_svg, _unpacked_head
+
+    bomb = gzip.compress(b" \n" * 20 + b"<svg>" + b"\0" * 200_000_000, 9)
+    tracemalloc.start()
+    assert _looks_like_svg(_unpacked_head(bomb))
+    assert tracemalloc.get_traced_memory()[1] < 1_000_000
+    tracemalloc.stop()
+    for text in (b"", b"<", b"<sv", b"\xef\xbb\xbf <SVG/>", b"\xef\xbb\xbf", b"<?xml ?>", b"plain text", b" " * 9000 + b"<svg/>"):
+        assert _looks_like_svg(_unpacked_head(gzip.compress(text))) == _looks_like_svg(text)
+        assert _looks_like_svg(_unpacked_head(gzip.compress(text[:2]) + gzip.compress(text[2:]))) == _looks_like_svg(text)
