@@ -165,7 +165,7 @@ def _sets(size: int):
 
 
 def _links_in_blocks(percent: int):
-    """Links (a, b) that join the components of a block's sets: a forest, not all links.
+    """Links (a, b) between the components of a block's sets: a forest, not all links.
 
     The rows of a block come together, sorted by block. A set is compared with those it is not yet
     joined to and whose size can match; all overlaps of one set are counted in one pass.
@@ -177,7 +177,7 @@ def _links_in_blocks(percent: int):
             i = root[i]
         return i
 
-    def solve(ids: np.ndarray, comps: np.ndarray, packed: list) -> list[tuple[int, int]]:
+    def solve(comps: np.ndarray, packed: list) -> list[tuple[int, int]]:
         sets = [np.frombuffer(x, np.uint64) for x in packed]
         n = np.array([len(s) for s in sets])
         begin = np.concatenate([[0], np.cumsum(n)])
@@ -201,18 +201,18 @@ def _links_in_blocks(percent: int):
                 a, b = find(root, i), find(root, j)
                 if a != b:
                     root[b] = a
-                    out.append((int(ids[i]), int(ids[j])))
+                    out.append((int(comps[i]), int(comps[j])))
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, held = None, []
 
         def close() -> pa.RecordBatch | None:
-            links = solve(np.array([h[0] for h in held]), np.array([h[1] for h in held]), [h[2] for h in held]) if len(held) > 1 else []
+            links = solve(np.array([h[0] for h in held]), [h[1] for h in held]) if len(held) > 1 else []
             return pa.RecordBatch.from_arrays([pa.array([a for a, _ in links], pa.int64()), pa.array([b for _, b in links], pa.int64())], names=["a", "b"]) if links else None
 
         for batch in batches:
-            for key, part, *row in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+            for key, part, *row in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 if (key, part) != block:
                     if (done := close()) is not None:
                         yield done
@@ -263,7 +263,13 @@ class _Labels:
     def __init__(self, nodes: DataFrame, scratch: Scratch):
         self.scratch, self.table = scratch, scratch.write("nodes", nodes.select("doc_id", F.col("doc_id").alias("comp")))
 
+    def ends(self, edges: DataFrame) -> DataFrame:
+        """Edges between sets as edges between the components that hold them."""
+        of_a, of_b = (self.table.withColumnsRenamed({"doc_id": c, "comp": f"c{c}"}) for c in "ab")
+        return edges.join(of_a, "a").join(of_b, "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+
     def join(self, edges: DataFrame) -> None:
+        """``edges`` are between components: an end that was joined before is found by its component only."""
         moved = contract(edges, self.scratch)
         if moved is not None:
             joined = self.table.join(moved, self.table["comp"] == moved["node"], "left")
@@ -338,7 +344,7 @@ def join_components(docs: DataFrame, size: int = 4, percent: int = 85, id_col: s
             placed = scratch.write("met", placed.select("signature", "part", "doc_id", "comp"))
             met.append(placed)
             blocks = placed.join(crowded_sets, "doc_id")
-            blocks = blocks.repartition("signature", "part").sortWithinPartitions("signature", "part", "doc_id").select("signature", "part", "doc_id", "comp", "values")
+            blocks = blocks.repartition("signature", "part").sortWithinPartitions("signature", "part", "doc_id").select("signature", "part", "comp", "values")
             links = blocks.mapInArrow(_links_in_blocks(percent), "a long, b long")
         else:
             # What a block has compared is done. A pair of a crowd comes up once, at the smallest of the
@@ -363,7 +369,7 @@ def join_components(docs: DataFrame, size: int = 4, percent: int = 85, id_col: s
             few = scratch.write("few", sets.join(needed, "doc_id").select("doc_id", "values"))
             right = pairs.join(few.select(F.col("doc_id").alias("b"), F.col("values").alias("vb")), "b")
             full = right.join(few.select(F.col("doc_id").alias("a"), F.col("values").alias("va")), "a").select("a", "b", "va", "vb")
-            links = full.mapInArrow(_linked_pairs(percent), "a long, b long")
+            links = labels.ends(scratch.write("linked", full.mapInArrow(_linked_pairs(percent), "a long, b long")))
         labels.join(scratch.write("found", links))
         if last:
             break

@@ -122,6 +122,38 @@ def test_join_finds_all_links(spark, options):
     assert sorted((repr(r.doc_id), r.n_shingles, repr(r.component_id)) for r in got.collect()) == brute_components(rows, 4, 85)
 
 
+def drifting(seed=21):
+    """Chains of revisions in which only neighbours link, and stars whose copies link with their base only; ids are shuffled."""
+    rng, texts, bases = random.Random(seed), [], []
+    for c in range(6):
+        words = prose(300 + c, 120)
+        for k in range(24):
+            texts.append(" ".join(words))
+            words[(7 * k + 3) % 120] = f"rev{c}x{k}"
+            words[(7 * k + 60) % 120] = f"rev{c}y{k}"
+    for c in range(4):
+        words = prose(400 + c, 120)
+        bases.append(len(texts))
+        texts.append(" ".join(words))
+        for k in range(24):
+            copy = list(words)
+            for at in rng.sample(range(0, 120, 5), 2):
+                copy[at] = f"star{c}x{k}x{at}"
+            texts.append(" ".join(copy))
+    ids = rng.sample(range(10 * len(texts)), len(texts))
+    for b in bases:  # a base is in the middle of its copies' ids
+        own = sorted(ids[b : b + 25])
+        ids[b : b + 25] = [own[12], *own[:12], *own[13:]]
+    return [(i, t, None, None, 0) for i, t in zip(ids, texts)]
+
+
+@pytest.mark.parametrize("options", [{"frequent": 3, "block": 8, "crowd": 2}, {"block": 4, "crowd": 3, "rounds": 2}])
+def test_join_keeps_links_of_later_rounds(spark, options):
+    rows = drifting()
+    got = ngramjoin.join_components(spark.createDataFrame(rows, DOC), 4, 85, **options)
+    assert sorted((repr(r.doc_id), r.n_shingles, repr(r.component_id)) for r in got.collect()) == brute_components(rows, 4, 85)
+
+
 def test_join_of_odd_rows(odd, odd_rows):
     got = ngramjoin.join_components(odd, 4, 85)
     assert sorted((repr(r.doc_id), r.n_shingles, repr(r.component_id)) for r in got.collect()) == brute_components(odd_rows, 4, 85)
