@@ -111,6 +111,24 @@ def test_mix(spark, none):
         mixing.mix(docs, {"a": 1}).count()
 
 
+@pytest.mark.parametrize("sizes", [[2000] + [200] * 20, [1500] + [2 + k % 2 for k in range(1500)]])
+def test_mix_follows_the_target_weights(spark, sizes):
+    """Deviation from the exact weights, not from parts of a period; also with more sources than a period has slots."""
+    docs = spark.createDataFrame([(k, f"s{s}") for s, n in enumerate(sizes) for k in range(n)], "doc_id long, source string")
+    got = mixing.mix(docs, exponent=0.9, block=1).collect()
+    assert Counter((r.doc_id, r.source) for r in got) == Counter((r.doc_id, r.source) for r in docs.collect())
+    assert sorted(r.mix_slot for r in got) == list(range(sum(sizes)))
+    own = {f"s{s}": n**0.9 for s, n in enumerate(sizes)}
+    phase = [r for r in got if r.mix_phase == 0]
+    assert sorted(r.mix_slot for r in phase) == list(range(len(phase)))
+    total, ended = sum(own.values()), Counter(r.source for r in phase)
+    for r in phase:
+        share = own[r.source] / total
+        assert r.mix_release <= r.mix_slot < r.mix_deadline
+        assert abs(r.mix_block - share * r.mix_slot) < 1 and abs(r.mix_block + 1 - share * (r.mix_slot + 1)) < 1
+    assert all(abs(ended[s] - w / total * len(phase)) < 1 for s, w in own.items())
+
+
 def test_trees_pairs_and_calibration():
     rng = np.random.default_rng(4)
     x = rng.normal(size=(3000, 5))
