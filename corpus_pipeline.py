@@ -36,9 +36,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix in which a source of n documents weighs n ** 0.9, as long as every source lasts, in the
-    order of its slots. What a source has beyond its weight is not part of the mix."""
-    mixed = mixing.mix(docs, exponent=0.9, block=8, until="first")
+    """All documents in the order of the mix in which a source of n documents weighs n ** 0.9; where a source
+    has run out, the others go on in its further phases."""
+    mixed = mixing.mix(docs, exponent=0.9, block=8, until="all")
     # In as many ranges as the shuffle has partitions, each sorted: the files follow the schedule.
     ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
     return mixed.repartitionByRange(ranges, "mix_slot", "mix_place").sortWithinPartitions("mix_slot", "mix_place").select(*docs.columns)

@@ -271,6 +271,13 @@ def test_neighbours_of_odd_vectors(spark):
     assert neighbours.search(frame.limit(0), F.col("vec_id") == 0).count() == 0
 
 
+def test_mixing_stage_keeps_every_document(spark):
+    """A source of one document ends the first phase early; the others' documents follow."""
+    rows = [(k, f"text {k}", "en", "large" if k < 3000 else "small" if k < 3040 else None, 9) for k in range(3041)]
+    got = corpus_pipeline.mix_sources(spark, spark.createDataFrame(rows, DOC), "").collect()
+    assert sorted(tuple(r) for r in got) == sorted(rows, key=lambda r: r[0])
+
+
 def test_pipeline_stages(spark):
     """Each stage on its own input: what goes and what stays."""
     folder, docs, before = "/root/testdata/sf0.001", None, None
