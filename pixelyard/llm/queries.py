@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelyard.llm import exactdedup, linededup, mixing, neighbours, ngramjoin, packing, quality, secrets, toxicity, warc
+from pixelyard.llm import contamination, exactdedup, lexical, linededup, mixing, neighbours, ngramjoin, packing, quality, secrets, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -95,3 +95,21 @@ def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
 def op3_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     """Every candidate secret of every document, with the forest's score."""
     return secrets.scan_corpus(table(spark, folder, "documents").select("doc_id", "text"))
+
+
+@query
+def op11_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
+    """The ten best documents of every benchmark item."""
+    return lexical.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"), k=10)
+
+
+ORACLES["op11_lexical_search"] = lexical.QUERY_SQL
+
+
+@query
+def op13_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    """Words of every document inside ten-word windows of benchmark items, and which items they are."""
+    return contamination.digests(contamination.scan(table(spark, folder, "documents"), table(spark, folder, "benchmark"), size=10))
+
+
+ORACLES["op13_decontamination"] = contamination.QUERY_SQL

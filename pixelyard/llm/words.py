@@ -21,6 +21,10 @@ def _kind_table() -> np.ndarray:
 
 _KIND = _kind_table()
 
+#: Bytes of the words ``[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+``: ASCII letters and digits, and all of a character beyond ASCII.
+TERM = np.zeros(256, bool)
+TERM[48:58] = TERM[65:91] = TERM[97:123] = TERM[128:] = True
+
 
 def mix64(x: np.ndarray) -> np.ndarray:
     """A finalizer: every bit of the result depends on every bit of ``x``."""
@@ -30,9 +34,9 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 
 class Texts:
-    """Texts of one Arrow string array (null: empty). Words are the runs of ``[^\\x20\\x09-\\x0D]``."""
+    """Texts of one Arrow string array (null: empty). Words are the runs of ``[^\\x20\\x09-\\x0D]``, or of the bytes that ``alphabet`` marks."""
 
-    def __init__(self, texts: pa.Array, lower: bool = True):
+    def __init__(self, texts: pa.Array, lower: bool = True, alphabet: np.ndarray | None = None):
         if isinstance(texts, pa.ChunkedArray):
             texts = texts.combine_chunks()
         if texts.null_count:
@@ -45,7 +49,7 @@ class Texts:
         self.data = self.raw
         if lower:
             self.data = self.raw + ((self.raw >= 65) & (self.raw <= 90)).astype(np.uint8) * np.uint8(32)
-        ink = ~((self.raw == 32) | ((self.raw >= 9) & (self.raw <= 13)))
+        ink = ~((self.raw == 32) | ((self.raw >= 9) & (self.raw <= 13))) if alphabet is None else alphabet[self.raw]
         self.ink = ink
         edge = np.zeros(size + 1, bool)
         edge[self.bounds] = True  # words end with their text
@@ -77,12 +81,15 @@ class Texts:
         place = np.arange(len(packed)) - np.repeat(begin, lengths)
         return mix64(np.add.reduceat(packed * power[place], begin))
 
-    def distinct(self) -> tuple[list[str], np.ndarray]:
-        """The distinct words, and the number of each word among them."""
+    def words(self) -> pa.Array:
+        """All words, one after another."""
         edges = np.concatenate([[0], np.cumsum(self.ends - self.starts)])
         packed = self.data[self.ink]
-        array = pa.Array.from_buffers(pa.large_string(), len(self.starts), [None, pa.py_buffer(edges.astype(np.int64)), pa.py_buffer(packed)])
-        coded = array.dictionary_encode()
+        return pa.Array.from_buffers(pa.large_string(), len(self.starts), [None, pa.py_buffer(edges.astype(np.int64)), pa.py_buffer(packed)])
+
+    def distinct(self) -> tuple[list[str], np.ndarray]:
+        """The distinct words, and the number of each word among them."""
+        coded = self.words().dictionary_encode()
         return coded.dictionary.to_pylist(), coded.indices.to_numpy()
 
     def kinds(self) -> np.ndarray:
