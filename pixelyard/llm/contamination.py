@@ -225,7 +225,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, remove: str = "spans", shar
         raise ValueError("remove is 'spans' or 'documents'")
     docs = docs.select(*docs.columns)
     shared = [c for c in docs.columns if c in ("n_words", "n_hit", "spans", "items")]
-    aside = {c: f"__{c}" for c in shared}
+    aside = {c: f"__kept_{c}" for c in shared}
     inner = without(docs.withColumns({aside[c]: F.col(c) for c in shared}), *shared)
     found = scan(inner, items, id_col=id_col, text_col=text_col, keep=tuple(c for c in inner.columns if c != id_col), **options)
     back = [F.col(aside.get(c, c)).alias(c) for c in docs.columns]

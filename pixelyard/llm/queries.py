@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelyard.llm import contamination, exactdedup, lexical, linededup, mixing, neighbours, ngramjoin, packing, quality, secrets, toxicity, warc
+from pixelyard.llm import contamination, exactdedup, lexical, linededup, mixing, neighbours, ngramjoin, packing, periodic, quality, secrets, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -113,3 +113,10 @@ def op13_decontamination(spark: SparkSession, folder: str) -> DataFrame:
 
 
 ORACLES["op13_decontamination"] = contamination.QUERY_SQL
+
+
+@query
+def op12_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """Runs of repeated words in every document, of which every tenth is made periodic, and what is left without them."""
+    found = periodic.collapse_runs(table(spark, folder, "documents"), least=24, order=periodic.planted)
+    return periodic.digests(found)
