@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pixelyard.llm.common import Scratch
-from pixelyard.llm.tokens import BatchEncoder, slices
+from pixelyard.llm.tokens import BatchEncoder, give_back, slices
 
 PIECE = "doc_id: bigint, piece: int, start: bigint, length: bigint, ids_crc32: bigint"
 
@@ -21,7 +21,7 @@ def tokenize(docs: DataFrame, vocabulary: str, width: int, end_id: int = 0, id_c
     into pieces of ``width``, of which the first may be shorter. Null text counts as empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = BatchEncoder.shared(vocabulary)
+        encoder = BatchEncoder(vocabulary)
         for batch in batches:
             names = batch.column(0)
             for first, texts in slices(batch.column(1)):
@@ -38,6 +38,8 @@ def tokenize(docs: DataFrame, vocabulary: str, width: int, end_id: int = 0, id_c
                 data, at = memoryview(whole).cast("B"), begin[owner] + start
                 sums = np.fromiter((zlib.crc32(data[4 * a : 4 * (a + n)]) for a, n in zip(at.tolist(), length.tolist(), strict=True)), np.int64, len(at))
                 yield pa.RecordBatch.from_arrays([names.take(pa.array(owner + first)).cast(pa.int64()), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(sums)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+        del encoder
+        give_back()
 
     return docs.select(id_col, text_col).mapInArrow(run, PIECE)
 

@@ -10,9 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pixelyard.llm.boosting import GradientBoosting, Isotonic, _sigmoid
-from pixelyard.llm.common import without
+from pixelyard.llm.common import Scratch, without
 from pixelyard.llm.labelled import held_out, training_rows
-from pixelyard.llm.tokens import slices
+from pixelyard.llm.tokens import give_back, slices
 from pixelyard.llm.words import KINDS, Texts
 
 # General insults, and second-person words of four languages.
@@ -39,7 +39,7 @@ def _undisguised(word: str) -> str:
     return "".join(c for c in word.translate(_DISGUISE) if c.isalpha())
 
 
-def learn_lexicon(rows: DataFrame, folds: tuple[int, ...] = (0, 1), most: int = 400, support: int = 4) -> list[dict[str, float]]:
+def learn_lexicon(rows: DataFrame, scratch: Scratch, folds: tuple[int, ...] = (0, 1), most: int = 400, support: int = 4) -> list[dict[str, float]]:
     """For each fold the terms that tell its toxic texts from its others, then those of all folds.
 
     Terms are words, and word beginnings of 4 to 6 letters (written with a trailing ``*``). A term's
@@ -72,6 +72,8 @@ def learn_lexicon(rows: DataFrame, folds: tuple[int, ...] = (0, 1), most: int =
                 yield pa.RecordBatch.from_arrays([pa.array(list(table), pa.string()), *(pa.array(counts[:, i]) for i in range(4))], names=["term", "c00", "c01", "c10", "c11"])
 
     counts = rows.mapInArrow(run, "term string, c00 long, c01 long, c10 long, c11 long").groupBy("term").agg(*[F.sum(c).alias(c) for c in ("c00", "c01", "c10", "c11")])
+    # Written once for the three choices of folds: terms that enough toxic documents hold.
+    counts = scratch.write("terms", counts.where(F.col("c01") + F.col("c11") >= support))
     totals = {(r["fold"], r["label"]): r["n"] for r in rows.groupBy("fold", "label").agg(F.count("*").alias("n")).collect()}
     out = []
     for chosen in [*((f,) for f in folds), folds]:
@@ -160,8 +162,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = 20
     fold, and the calibration sees margins of trees that never saw the row. If the sample holds one
     class only, or none, every score is its base rate.
     """
-    rows = training_rows(docs, labels, label, most)
-    lexicons = learn_lexicon(rows)
+    scratch = Scratch(docs.sparkSession, "toxicity")
+    rows = scratch.write("sample", training_rows(docs, labels, label, most))
+    lexicons = learn_lexicon(rows, scratch)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         views = [Features(lexicons[1]), Features(lexicons[0])]
@@ -173,6 +176,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = 20
                 yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * (x.shape[1] + 2)), flat)], names=["x"])
 
     sample = np.array([r[0] for r in rows.mapInArrow(run, "x array<double>").collect()], float).reshape(-1, len(FEATURES) + 2)
+    scratch.release("sample", "terms")
     sample = sample[np.lexsort(sample.T)]  # the same model whatever the order of the rows
     x, y, fold = sample[:, :-2], sample[:, -2], sample[:, -1]
     if len(y) == 0 or y.min() == y.max():
@@ -188,19 +192,23 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = 20
 
 
 def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text", output: str = "score", keep: tuple[str, ...] = ()) -> DataFrame:
-    """``id_col``, the columns of ``keep`` and the score in [0, 1] of each row's whole text (null: empty)."""
+    """``id_col``, the columns of ``keep`` and the score in [0, 1] of each row's whole text (null: empty).
+    The text goes to Python once, also where ``keep`` names it."""
     kept = [id_col, *keep]
+    sent = kept if text_col in kept else [*kept, text_col]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in (docs.schema[c] for c in kept)) + f", `{output}` double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Features(model.lexicon)
         for batch in batches:
-            for first, texts in slices(batch.column(len(kept))):
+            for first, texts in slices(batch.column(sent.index(text_col))):
                 got = pa.array(model.score(features(texts)))
                 columns = [batch.column(i).slice(first, len(texts)) for i in range(len(kept))]
                 yield pa.RecordBatch.from_arrays([*columns, got], names=[*kept, output])
+        del features
+        give_back()
 
-    return docs.select(*kept, F.coalesce(F.col(text_col), F.lit("")).alias("__text")).mapInArrow(run, schema)
+    return docs.select(*sent).mapInArrow(run, schema)
 
 
 def scored(docs: DataFrame, model: ToxicityModel, threshold: float = 0.7) -> DataFrame:

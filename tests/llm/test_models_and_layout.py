@@ -25,17 +25,32 @@ VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 LABEL = "doc_id long, quality int, toxic int"
 
 
-def test_encoder_is_the_tokenizer():
+@pytest.mark.parametrize("memo", [0, 60_000, 32 << 20])
+def test_encoder_is_the_tokenizer(memo):
     rng, t = random.Random(1), Tokenizer.from_file(VOCABULARY)
     signs = [" ", "  ", "\n", "\n\n", "\t", "a", "é", "日", "’", " ", " ", "　", "'s", "1", "!", "<|endoftext|>", "🙂", "word", "The", "\r\n", ".", ",", "\x85", "\x1c", "т"]
     texts = ["".join(rng.choice(signs) for _ in range(rng.randint(0, 40))) for _ in range(4000)] + [None, ""]
-    encoder = BatchEncoder(VOCABULARY, memo=500)
+    encoder = BatchEncoder(VOCABULARY, memo=memo)
     for first, part in slices(pa.array(texts), 20_000):
         ids, begin = encoder.encode(part)
         for k in range(len(part)):
             assert ids[begin[k] : begin[k + 1]].tolist() == t.encode(texts[first + k] or "", add_special_tokens=False).ids
 
 
+def test_memo_is_bounded_by_bytes():
+    """Long unbroken stretches are never remembered, short ones until the bound; results do not depend on it."""
+    rng, t = random.Random(2), Tokenizer.from_file(VOCABULARY)
+    texts = ["".join(rng.choice("日本語文字列漢字") for _ in range(1000)) for _ in range(40)] + [f"w{k} x{k}" for k in range(3000)]
+    encoder = BatchEncoder(VOCABULARY, memo=100_000)
+    for _ in range(2):
+        for first, part in slices(pa.array(texts), 50_000):
+            ids, begin = encoder.encode(part)
+            for k in range(len(part)):
+                assert ids[begin[k] : begin[k + 1]].tolist() == t.encode(texts[first + k], add_special_tokens=False).ids
+        assert max(map(len, encoder.known)) <= 64 and 300 < len(encoder.known) < 600 and encoder.held < 101_000
+    assert len(encoder.ids) < 1 << 18
+
+
 def check_packing(rows, packed, width):
     t, want = Tokenizer.from_file(VOCABULARY), Counter()
     for i, text, *_ in rows:
