@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,43 +32,72 @@ def psnr(mse: str | Column, digits: int | None = 4) -> Column:
     return db if digits is None else F.bround(db, digits)
 
 
-def ssim_of(ref: np.ndarray, dist: np.ndarray, window: int = 11) -> float | None:
-    """Mean SSIM with a flat window, channels averaged, alpha ignored."""
-    if ref.shape != dist.shape:
-        return None
-    c1, c2, half = 0.01**2, 0.03**2, window // 2
-
-    def smooth(plane: np.ndarray) -> np.ndarray:
-        # The first window of each axis is not part of the map.
-        for axis in (0, 1):
-            plane = np.lib.stride_tricks.sliding_window_view(plane, window, axis=axis).mean(-1)
-        return plane[1:, 1:]
-
-    scores = []
-    for a, b in zip(np.moveaxis(ref[..., :3], -1, 0), np.moveaxis(dist[..., :3], -1, 0)):
-        a, b = (np.pad(p.astype(float), half, mode="reflect") for p in (a, b))
-        ma, mb = smooth(a), smooth(b)
-        va, vb, cov = smooth(a * a) - ma * ma, smooth(b * b) - mb * mb, smooth(a * b) - ma * mb
-        top = (2 * ma * mb + c1) * (2 * cov + c2)
-        low = (ma * ma + mb * mb + c1) * (va + vb + c2)
-        scores.append(float(np.divide(top, low, out=np.ones_like(top), where=low > 0).mean()))
-    return float(np.mean(scores))
-
+def _box_means(stack: np.ndarray, window: int) -> np.ndarray:
+    """Means of all ``window`` x ``window`` squares of (N, H, W, C) images. Summed areas give each
+    with four look-ups, whatever the window. The first window of each axis is not part of the map."""
+    n, h, w, c = stack.shape
+    area = np.zeros((n, h + 1, w + 1, c))
+    area[:, 1:, 1:] = stack.cumsum(1).cumsum(2)
+    squares = area[:, window:, window:] - area[:, :-window, window:] - area[:, window:, :-window] + area[:, :-window, :-window]
+    return squares[:, 1:, 1:] / (window * window)
 
-def make_ssim(height: int | None = None, width: int | None = None):
-    """UDF over (ref, dist, height, width, channels) with flattened row-major arrays."""
 
-    @F.pandas_udf(T.DoubleType())
-    def ssim(ref: pd.Series, dist: pd.Series, h: pd.Series, w: pd.Series, c: pd.Series) -> pd.Series:
-        def one(a, b, h, w, c):
-            if a is None or b is None or len(a) != len(b) or len(a) != h * w * c:
-                return None
-            shape = (int(h), int(w), int(c))
-            return ssim_of(np.asarray(a).reshape(shape), np.asarray(b).reshape(shape))
+def ssim_stack(ref: np.ndarray, dist: np.ndarray, window: int = 11) -> np.ndarray:
+    """Mean SSIM of each pair of (N, H, W, C) images with a flat window: channels averaged, alpha
+    ignored, borders reflected."""
+    c1, c2, half = 0.01**2, 0.03**2, window // 2
+    a, b = (np.pad(x[..., :3].astype(float), ((0, 0), (half, half), (half, half), (0, 0)), mode="reflect") for x in (ref, dist))
+    ma, mb = _box_means(a, window), _box_means(b, window)
+    va, vb, cov = _box_means(a * a, window) - ma * ma, _box_means(b * b, window) - mb * mb, _box_means(a * b, window) - ma * mb
+    top = (2 * ma * mb + c1) * (2 * cov + c2)
+    low = (ma * ma + mb * mb + c1) * (va + vb + c2)
+    return np.divide(top, low, out=np.ones_like(top), where=low > 0).mean((1, 2, 3))
 
-        return pd.Series([one(*row) for row in zip(ref, dist, h, w, c)], dtype="float64")
 
-    return ssim
+def ssim_of(ref: np.ndarray, dist: np.ndarray, window: int = 11) -> float | None:
+    """The same for one pair of (H, W, C) images; None where their shapes differ."""
+    return float(ssim_stack(ref[None], dist[None], window)[0]) if ref.shape == dist.shape else None
+
+
+#: Values in one stack of images.
+STACK = 1 << 22
+
+
+def stacks(shape: list[pa.Array], *columns: pa.Array) -> Iterator[tuple[np.ndarray, tuple[int, int, int], list[np.ndarray]]]:
+    """Images of equal shape together: row numbers, (height, width, channels), and an (N, H, W, C) array
+    for each column of lists or bytes. Rows with nulls or of another length are left out."""
+    sides = np.column_stack([s.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) for s in shape])
+    size, flat, begins = sides.prod(1), [], []
+    ok = (sides > 0).all(1)
+    for c in columns:
+        wide = pa.types.is_large_binary(c.type) or pa.types.is_large_list(c.type)
+        if pa.types.is_binary(c.type) or pa.types.is_large_binary(c.type):
+            bounds = np.frombuffer(c.buffers()[1], np.int64 if wide else np.int32)[c.offset : c.offset + len(c) + 1].astype(np.int64)
+            flat.append(np.frombuffer(c.buffers()[2] or b"", np.uint8))
+        else:
+            bounds = c.offsets.to_numpy().astype(np.int64)
+            values = c.values
+            ok &= values.null_count == 0 or np.array([not x.values.null_count if x.is_valid else False for x in c])
+            flat.append(values.fill_null(0).to_numpy(zero_copy_only=False))
+        ok &= np.asarray(c.is_valid().to_numpy(zero_copy_only=False)) & (np.diff(bounds) == size)
+        begins.append(bounds[:-1])
+    rows = np.flatnonzero(ok)
+    shapes, number = np.unique(sides[rows], axis=0, return_inverse=True)
+    for k, (h, w, n) in enumerate(shapes.tolist()):
+        same = rows[number.ravel() == k]
+        step = max(1, STACK // (h * w * n))
+        for at in range(0, len(same), step):
+            part = same[at : at + step]
+            yield part, (h, w, n), [f[b[part][:, None] + np.arange(h * w * n)].reshape(-1, h, w, n) for f, b in zip(flat, begins, strict=True)]
+
+
+@F.arrow_udf(T.DoubleType())
+def ssim(ref: pa.Array, dist: pa.Array, height: pa.Array, width: pa.Array, channels: pa.Array) -> pa.Array:
+    """SSIM of flattened row-major arrays; NULL where one is missing or of another size."""
+    out, known = np.zeros(len(ref)), np.zeros(len(ref), bool)
+    for rows, _, (a, b) in stacks([height, width, channels], ref, dist):
+        out[rows], known[rows] = ssim_stack(a, b), True
+    return pa.array(out, mask=~known | np.isnan(out))
 
 
 def _lanczos(size: int, target: int = THUMB) -> np.ndarray:
@@ -79,19 +110,26 @@ def _lanczos(size: int, target: int = THUMB) -> np.ndarray:
     return weights / weights.sum(1, keepdims=True)
 
 
+def thumbnails(stack: np.ndarray) -> np.ndarray:
+    """(N, 64, 64, C) uint8 thumbnails of (N, H, W, C) uint8 images."""
+    rows, cols = _lanczos(stack.shape[1]), _lanczos(stack.shape[2])
+    small = np.einsum("ih,nhwc->niwc", rows, stack.astype(float), optimize=True)
+    small = np.einsum("jw,niwc->nijc", cols, small, optimize=True)
+    return np.clip(np.rint(small), 0, 255).astype(np.uint8)
+
+
 def thumbnail(pixels: np.ndarray) -> np.ndarray:
     """(64, 64, C) uint8 thumbnail of an (H, W, C) uint8 image."""
-    rows, cols = _lanczos(pixels.shape[0]), _lanczos(pixels.shape[1])
-    small = np.einsum("ih,hwc,jw->ijc", rows, pixels.astype(float), cols, optimize=True)
-    return np.clip(np.rint(small), 0, 255).astype(np.uint8)
+    return thumbnails(pixels[None])[0]
 
 
 def gradient(gray: np.ndarray) -> np.ndarray:
-    """Sobel magnitude, borders mirrored."""
-    p = np.pad(gray.astype(np.float32), 1, mode="symmetric")
-    smooth_rows = p[:-2] + 2 * p[1:-1] + p[2:]
-    smooth_cols = p[:, :-2] + 2 * p[:, 1:-1] + p[:, 2:]
-    return np.hypot(smooth_rows[:, 2:] - smooth_rows[:, :-2], smooth_cols[2:] - smooth_cols[:-2])
+    """Sobel magnitude of (..., H, W) planes, borders mirrored."""
+    edge = [(0, 0)] * (gray.ndim - 2) + [(1, 1), (1, 1)]
+    p = np.pad(gray.astype(float), edge, mode="symmetric")
+    smooth_rows = p[..., :-2, :] + 2 * p[..., 1:-1, :] + p[..., 2:, :]
+    smooth_cols = p[..., :, :-2] + 2 * p[..., :, 1:-1] + p[..., :, 2:]
+    return np.hypot(smooth_rows[..., :, 2:] - smooth_rows[..., :, :-2], smooth_cols[..., 2:, :] - smooth_cols[..., :-2, :])
 
 
 THUMB_FEATURES = T.StructType(
@@ -103,27 +141,31 @@ THUMB_FEATURES = T.StructType(
 )
 
 
-def features_of(pixels: np.ndarray) -> tuple[float, float, float]:
-    """Features of an image whose channels are in RGB(A) order."""
-    small = thumbnail(pixels)
-    colors = len(np.unique(small.reshape(-1, small.shape[2]), axis=0))
-    rgb = small[..., :3].astype(float)
-    gray = rgb[..., 0] if small.shape[2] < 3 else np.rint(rgb @ np.array([0.299, 0.587, 0.114]))
+def features_stack(stack: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Features of (N, H, W, C) images whose channels are in RGB(A) order: log10 of the thumbnail's
+    distinct colours, mean gradient, and share of pixels whose gradient is above 32."""
+    small = thumbnails(stack)
+    n, channels = len(small), small.shape[3]
+    packed = sum(small[..., c].astype(np.int64) << (8 * c) for c in range(channels)).reshape(n, -1)
+    colors = 1 + (np.diff(np.sort(packed, 1), axis=1) != 0).sum(1)
+    # Luma in 16-bit fixed point.
+    gray = small[..., 0].astype(np.int64) if channels < 3 else (small[..., :3].astype(np.int64) @ np.array([19595, 38470, 7471]) + 32768) >> 16
     edges = gradient(gray)
-    return float(np.log10(max(colors, 1))), float(edges.mean()), float((edges > 32.0).mean())
-
+    return np.log10(colors), edges.mean((1, 2), dtype=float), (edges > 32.0).mean((1, 2))
 
-@F.pandas_udf(THUMB_FEATURES)
-def thumbnail_features(height: pd.Series, width: pd.Series, channels: pd.Series, data: pd.Series) -> pd.DataFrame:
-    """Colour and edge features of images from Spark's image source (BGR(A) bytes)."""
 
-    def one(h, w, c, blob):
-        if blob is None or h * w * c != len(blob) or c not in (1, 3, 4):
-            return None, None, None
-        pixels = np.frombuffer(blob, np.uint8).reshape(int(h), int(w), int(c))
-        if c >= 3:
-            pixels = np.concatenate([pixels[..., 2::-1], pixels[..., 3:]], axis=2)
-        return features_of(pixels)
-
-    rows = [one(*r) for r in zip(height, width, channels, data)]
-    return pd.DataFrame(rows, columns=THUMB_FEATURES.fieldNames(), dtype=object)
+def features_of(pixels: np.ndarray) -> tuple[float, float, float]:
+    """Features of one (H, W, C) image."""
+    return tuple(float(x[0]) for x in features_stack(pixels[None]))
+
+
+@F.arrow_udf(THUMB_FEATURES)
+def thumbnail_features(height: pa.Array, width: pa.Array, channels: pa.Array, data: pa.Array) -> pa.Array:
+    """Colour and edge features of images from Spark's image source (BGR(A) bytes, one, three or four
+    channels); NULL for others."""
+    out, known = np.zeros((3, len(data))), np.zeros(len(data), bool)
+    for rows, (_, _, c), (images,) in stacks([height, width, channels], data):
+        if c in (1, 3, 4):
+            rgb = images if c == 1 else images[..., [2, 1, 0, *range(3, c)]]
+            out[:, rows], known[rows] = features_stack(rgb), True
+    return pa.StructArray.from_arrays([pa.array(x, mask=~known) for x in out], names=THUMB_FEATURES.fieldNames())

@@ -76,14 +76,11 @@ def summarize_cases(
         F.max(wall).alias("max_ms"),
     ]
     carried = [c for c in _FIRST_FIELDS if c in rows.columns and c not in keys]
+    out = quantiles.aggregate(rows, keys, specs, aggs, deviations=[("mad_ms", wall)])
     if position and carried:
-        aggs.append(F.min_by(F.struct(*carried), F.col(position)).alias("__first"))
-    base = quantiles.aggregate(rows, keys, specs, aggs)
-    medians = base.select(*keys, F.col("p50_ms").alias("__median"))
-    spread = quantiles.median_abs_deviation(rows, keys, wall, "mad_ms", medians)
-    out = join_on(base, spread, keys, "left")
-    if position and carried:
-        out = out.select("*", *[F.col(f"__first.{c}").alias(c) for c in carried]).drop("__first")
+        # Apart from the counts: a row of strings as an aggregate would make Spark sort what it counts.
+        first = first_per_case(rows.select(*keys, *carried, position), keys, position).select(*keys, *carried)
+        out = join_on(out, first, keys, "left")
     return out.withColumn("median_ms", F.col("p50_ms")).withColumns({c: F.col(c).cast("bigint") for c in whole})
 
 

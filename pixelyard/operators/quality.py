@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pixelyard.functions.pixels import make_ssim, mean_squared_error, psnr
+from pixelyard.functions.pixels import mean_squared_error, psnr, ssim
 from pixelyard.operators.cases import with_total
 from pixelyard.operators.ranking import first_per_case, ssim_floor
 from pixelyard.plans import quantiles
@@ -29,8 +29,8 @@ def psnr_pixels(pixels: DataFrame, keys: Sequence[str], reference="ref", distort
 
 
 def ssim_pairs(pairs: DataFrame, reference="ref", distorted="dist", height="height", width="width", channels="channels") -> DataFrame:
-    score = make_ssim()(reference, distorted, height, width, channels)
-    return pairs.withColumn("ssim", F.when(F.size(reference) == F.size(distorted), score))
+    """Adds ``ssim`` of flattened row-major images; NULL where a pair's sizes differ from its shape."""
+    return pairs.withColumn("ssim", ssim(reference, distorted, height, width, channels))
 
 
 def metric_summary(rows: DataFrame, metrics: Sequence[str] = METRICS) -> DataFrame:

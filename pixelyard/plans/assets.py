@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pixelyard import constants as K
 from pixelyard.functions.formats import detect_format, png_header, settle, uint_be
 from pixelyard.functions.jpeg import raw_header
 from pixelyard.operators import estimate as E
@@ -70,7 +71,7 @@ def header_estimates(identified: DataFrame, quality: int, progressive: bool = Tr
 
 def estimate_assets(
     assets: DataFrame, quality: int = 60, fitted: bool = True, samples: DataFrame | None = None, size: str = "length",
-    key: str = "path", frames: DataFrame | None = None, deep: bool = True,
+    key: str = "path", frames: DataFrame | None = None, deep: bool = True, max_file_bytes: int = K.MAX_FILE_BYTES,
 ) -> DataFrame:
     """Admission, identification, strategy, header model and result row for every asset.
 
@@ -83,7 +84,7 @@ def estimate_assets(
         found = found.join(frames.select(key, "frames"), key, "left")
     else:
         found = found.withColumn("frames", F.lit(1))
-    found = admission(found, size=size)
+    found = admission(found, size=size, max_file_bytes=max_file_bytes)
     pixels = F.col("width").cast("bigint") * F.col("height").cast("bigint")
     scored = header_estimates(found, quality, size=size).withColumn("pixels", pixels)
     scored = scored.withColumns(

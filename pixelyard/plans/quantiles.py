@@ -1,10 +1,15 @@
 """Exact grouped percentiles with linear interpolation: one lazy plan for every size and any skew.
 
-Equal values are counted first (partial aggregation). Values fall into narrow buckets that keep their
-order, counts of buckets give the one that holds a wanted rank, and only that bucket's values are
-sorted. So no task sees the rows of a group: rows are dealt by group and value, or by group and
-bucket, and what is dealt by group alone are the counts of its buckets, whose number does not grow
-with its rows. Nothing runs before an action.
+The input is read once. Each row is dealt out as its group's plain aggregates and as one value for
+each measure; equal values are counted first (partial aggregation), and everything else is
+derived from those counts. Values fall into narrow buckets that keep their order, counts of buckets give
+the one that holds a wanted rank, and only that bucket's values are sorted. Deviations from a median
+come from the same counts. So no task sees the rows of a group: rows are dealt by group and value,
+or by group and bucket, and what is dealt by group alone are the counts of its buckets, whose number
+does not grow with its rows. Nothing runs before an action.
+
+Two readers of one result share its shuffle only if both ask for the same rows and columns. ``_whole``
+puts all columns through a generator, which the optimizer prunes and filters nothing through.
 """
 
 from __future__ import annotations
@@ -40,28 +45,115 @@ def _by_column(specs: Sequence[Spec]) -> dict[str, list[tuple[str, float]]]:
     return grouped
 
 
-def aggregate(df: DataFrame, keys: Sequence[str], specs: Sequence[Spec], aggs: Sequence[Column] = ()) -> DataFrame:
+def _whole(df: DataFrame) -> DataFrame:
+    """The same rows; whatever reads them needs all of their columns."""
+    return df.select(F.inline(F.array(F.struct(*[F.col(f"`{c}`") for c in df.columns]))))
+
+
+def aggregate(
+    df: DataFrame, keys: Sequence[str], specs: Sequence[Spec], aggs: Sequence[Column] = (), deviations: Sequence[tuple[str, str]] = (),
+    approx: int | None = None,
+) -> DataFrame:
     """``groupBy(keys)`` with ordinary aggregates plus exact percentiles.
 
-    NULLs are ignored, an all-NULL group yields NULL; NaN-free double measures are expected.
+    With ``approx`` (a sketch size of 8 to 65535) percentiles come from mergeable sketches instead:
+    one pass, one small row per group and task, and values whose rank is off by at most
+    ``rank_error(approx)`` of the group with 99 % confidence. They are values of the input, not interpolated.
+
+    ``deviations`` are (output name, value column): the median of absolute deviations from the
+    group's median. NULLs are ignored, an all-NULL group yields NULL; NaN-free double measures are
+    expected. The whole result is one branch of a plan however many columns and readers it has.
     """
     keys, by_column = list(keys), _by_column(specs)
-    base = df.groupBy(*keys).agg(*(list(aggs) or [F.count(F.lit(1)).alias("__rows")]))
-    names = [c for c in base.columns if c != "__rows"] + [name for name, _, _ in specs]
-    return join_on(base, _ranked(df, keys, specs, by_column), keys, "left").select(*names)
-
-
-def _wanted(by_column: dict[str, list[tuple[str, float]]], total: Column) -> Column:
+    if approx is not None:
+        return _sketched(df, keys, specs, aggs, deviations, approx)
+    medians = {}
+    for out, column in deviations:
+        medians[column] = f"__median_{out}"
+        by_column.setdefault(column, []).append((medians[column], 50))
+    measures = list(by_column)
+    # Number 0 carries the plain aggregates of a group, the others one value of a measure each.
+    entries = [F.struct(F.lit(0).alias("__measure"), F.lit(None).cast("double").alias("__value"))]
+    entries += [F.struct(F.lit(i + 1).alias("__measure"), F.col(c).cast("double").alias("__value")) for i, c in enumerate(measures)]
+    rest = [c for c in df.columns if c not in keys]
+    rows = df.select(*keys, *rest, F.inline(F.array(*entries)))
+    rows = rows.where((F.col("__measure") == 0) | F.col("__value").isNotNull())
+    rows = rows.select(*keys, "__measure", "__value", *[F.when(F.col("__measure") == 0, F.col(c)).alias(c) for c in rest])
+    group = F.struct(*[F.col(k) for k in keys], F.col("__measure")).alias("__group")
+    counted = _whole(rows.groupBy(group, "__value").agg(F.count(F.lit(1)).alias("__n"), *aggs))
+    plain = [c for c in counted.columns if c not in ("__group", "__value", "__n")]
+
+    # Filters on a sum that the generator hides stay where they are written.
+    values = counted.select("__group", "__value", "__n").where(F.col("__group.__measure") > 0)
+    found = _ranked(values, {i + 1: by_column[c] for i, c in enumerate(measures)})
+    parts = [counted.where(F.col("__group.__measure") == 0).select(*[F.col(f"__group.{k}").alias(k) for k in keys], *plain), _by_name(found, keys)]
+    if deviations:
+        found = _whole(found)
+        parts[1] = _by_name(found, keys)
+        by_number = {measures.index(c) + 1: [(out, 50.0)] for out, c in deviations}
+        centre = found.where(F.col("__name").isin(*medians.values())).groupBy("__group").agg(F.sum("__part").alias("__median"))
+        apart = values.join(centre, "__group").select("__group", F.abs(F.col("__value") - F.col("__median")).alias("__value"), "__n")
+        parts.append(_by_name(_ranked(apart, by_number), keys))
+    united = parts[0].withColumns({"__name": F.lit(None).cast("string"), "__part": F.lit(None).cast("double")})
+    for part in parts[1:]:
+        united = united.unionByName(part, allowMissingColumns=True)
+    names = [name for name, _, _ in specs] + [out for out, _ in deviations]
+    # A group has one row of plain aggregates, and a percentile at most two parts.
+    merged = united.groupBy(*keys).agg(*[F.first(c, ignorenulls=True).alias(c) for c in plain], *[F.sum(F.when(F.col("__name") == name, F.col("__part"))).alias(name) for name in names])
+    if not keys and aggs:
+        # Over no rows a global aggregate still has its row, with counts of zero.
+        empty = df.agg(*aggs)
+        merged = merged.crossJoin(F.broadcast(empty.select(*[F.col(c).alias(f"__empty_{c}") for c in plain])))
+        merged = merged.select(*[F.coalesce(F.col(c), F.col(f"__empty_{c}")).alias(c) for c in plain], *names)
+    return _whole(merged.select(*keys, *plain, *names))
+
+
+def rank_error(size: int) -> float:
+    """Share of a group by which the rank of a sketch's percentile can be off (99 % confidence)."""
+    return 2.296 / size**0.9021
+
+
+def sketch(column: Column | str, size: int) -> Column:
+    """Aggregate: a mergeable sketch of a column's values (NULLs ignored; NULL without any)."""
+    value = (F.col(column) if isinstance(column, str) else column).cast("double")
+    return F.when(F.count(value) > 0, F.kll_sketch_agg_double(value, size))
+
+
+def from_sketch(column: Column | str, p: float) -> Column:
+    return F.kll_sketch_get_quantile_double(column, F.lit(p / 100.0))
+
+
+def _sketched(df: DataFrame, keys: list[str], specs: Sequence[Spec], aggs: Sequence[Column], deviations: Sequence[tuple[str, str]], size: int) -> DataFrame:
+    columns = list(dict.fromkeys([c for _, c, _ in specs] + [c for _, c in deviations]))
+    held = {c: f"__sketch_{i}" for i, c in enumerate(columns)}
+    base = df.groupBy(*keys).agg(*aggs, *[sketch(c, size).alias(h) for c, h in held.items()])
+    plain = [c for c in base.columns if c not in keys and c not in held.values()]
+    out = base.select(*keys, *plain, *[from_sketch(held[c], p).alias(name) for name, c, p in specs], *[from_sketch(held[c], 50).alias(f"__median_{name}") for name, c in deviations])
+    if deviations:
+        centre = out.select(*keys, *[f"__median_{name}" for name, _ in deviations])
+        apart = join_on(df.select(*keys, *{c for _, c in deviations}), centre, keys)
+        apart = apart.select(*keys, *[F.abs(F.col(c).cast("double") - F.col(f"__median_{name}")).alias(name) for name, c in deviations])
+        spread = apart.groupBy(*keys).agg(*[sketch(name, size).alias(name) for name, _ in deviations]).select(*keys, *[from_sketch(name, 50).alias(name) for name, _ in deviations])
+        out = join_on(out.drop(*[f"__median_{name}" for name, _ in deviations]), spread, keys, "left")
+    return out
+
+
+def _by_name(found: DataFrame, keys: list[str]) -> DataFrame:
+    return found.select(*[F.col(f"__group.{k}").alias(k) for k in keys], "__name", "__part")
+
+
+def _wanted(by_number: dict[int, list[tuple[str, float]]], total: Column) -> Column:
     """The one or two ranks that each percentile of a measure interpolates between, with their shares."""
     case = None
-    for column, names in by_column.items():
+    for number, names in by_number.items():
         ranks = []
         for name, p in names:
             rank = F.lit(p / 100.0) * (total - 1)
             low, weight = F.floor(rank), rank - F.floor(rank)
             ranks += [F.struct(F.lit(name).alias("__name"), low.alias("__rank"), (1 - weight).alias("__share")), F.struct(F.lit(name).alias("__name"), F.ceil(rank).alias("__rank"), weight.alias("__share"))]
         array = F.filter(F.array(*ranks), lambda r: r["__share"] > 0)
-        case = F.when(F.col("__measure") == column, array) if case is None else case.when(F.col("__measure") == column, array)
+        here = F.col("__group.__measure") == number
+        case = F.when(here, array) if case is None else case.when(here, array)
     return case
 
 
@@ -74,34 +166,20 @@ def _holding(buckets: DataFrame, within: list[str], bucket: str) -> DataFrame:
     return buckets.withColumn("__upto", so_far).withColumn("__ranks", moved).where(F.size("__ranks") > 0)
 
 
-def _ranked(df: DataFrame, keys: list[str], specs: Sequence[Spec], by_column: dict[str, list[tuple[str, float]]]) -> DataFrame:
-    # One key column, so that joins are plain equi-joins and can use what grouping has dealt out.
-    group = F.struct(*[F.col(k) for k in keys], F.col("__measure")).alias("__group")
-    measures = F.array(*[F.struct(F.lit(c).alias("__measure"), F.col(c).cast("double").alias("__value")) for c in by_column])
-    rows = df.select(*keys, F.inline(measures)).where(F.col("__value").isNotNull()).select(group, "__value")
-    counted = rows.groupBy("__group", "__value").agg(F.count(F.lit(1)).alias("__n"))
+def _ranked(values: DataFrame, by_number: dict[int, list[tuple[str, float]]]) -> DataFrame:
+    """(group, name, part) of the wanted percentiles of counted values: parts of a name add up to it."""
     # Logarithms keep the order of values on both sides of zero.
-    counted = counted.withColumn("__bucket", F.floor(F.signum("__value") * F.log1p(F.abs("__value") * SMALL) * FINE).cast("bigint"))
-
-    buckets = counted.groupBy("__group", "__bucket").agg(F.sum("__n").alias("__n"))
+    bucket = F.floor(F.signum("__value") * F.log1p(F.abs("__value") * SMALL) * FINE).cast("bigint")
+    values = values.withColumn("__bucket", F.coalesce(bucket, F.lit(0)))
+    buckets = values.groupBy("__group", "__bucket").agg(F.sum("__n").alias("__n"))
     total = F.sum("__n").over(W.partitionBy("__group"))
-    buckets = buckets.withColumn("__total", total).withColumn("__measure", F.col("__group.__measure"))
-    buckets = buckets.withColumn("__ranks", _wanted(by_column, F.col("__total")))
+    buckets = buckets.withColumn("__total", total).withColumn("__ranks", _wanted(by_number, F.col("__total")))
     buckets = _holding(buckets, ["__group"], "__bucket").select("__group", "__bucket", "__ranks")
-    inside = counted.join(buckets, ["__group", "__bucket"])
-    found = _holding(inside, ["__group", "__bucket"], "__value").select(*[F.col(f"__group.{k}").alias(k) for k in keys], "__value", F.inline("__ranks"))
-    # Both parts of one interpolation meet here; each percentile has at most two rows.
-    return found.groupBy(*keys).agg(*[F.sum(F.when(F.col("__name") == name, F.col("__value") * F.col("__share"))).alias(name) for name, _, _ in specs])
+    inside = values.join(buckets, ["__group", "__bucket"])
+    found = _holding(inside, ["__group", "__bucket"], "__value").select("__group", "__value", F.inline("__ranks"))
+    return found.select("__group", "__name", (F.col("__value") * F.col("__share")).alias("__part"))
 
 
-def median_abs_deviation(df: DataFrame, keys: Sequence[str], column: str, out: str = "mad", medians: DataFrame | None = None) -> DataFrame:
-    """Median of absolute deviations from each group's median; one row per group.
-
-    ``medians`` (keys, ``__median``) are used where the caller already has them.
-    """
-    keys = list(keys)
-    slim = df.select(*keys, column)
-    if medians is None:
-        medians = aggregate(slim, keys, [("__median", column, 50)])
-    dev = join_on(slim, medians, keys).select(*keys, F.abs(F.col(column) - F.col("__median")).alias("__dev"))
-    return aggregate(dev, keys, [(out, "__dev", 50)])
+def median_abs_deviation(df: DataFrame, keys: Sequence[str], column: str, out: str = "mad") -> DataFrame:
+    """Median of absolute deviations from each group's median; one row per group."""
+    return aggregate(df.select(*keys, column), keys, [], deviations=[(out, column)])

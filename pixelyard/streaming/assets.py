@@ -13,21 +13,23 @@ from pixelyard.plans.assets import estimate_assets
 BINARY_FILE = "path STRING, modificationTime TIMESTAMP, length BIGINT, content BINARY"
 
 
-def asset_stream(spark: SparkSession, folder: str, files_per_trigger: int = 1000) -> DataFrame:
+def asset_stream(spark: SparkSession, folder: str, files_per_trigger: int = 1000, max_file_bytes: int = K.MAX_FILE_BYTES) -> DataFrame:
     """New files; those above the size limit come without their content, which is then never read."""
 
     def files() -> DataFrame:
         reader = spark.readStream.format("binaryFile").schema(BINARY_FILE).option("maxFilesPerTrigger", files_per_trigger)
         return reader.option("recursiveFileLookup", "true").load(folder)
 
-    small = files().where(F.col("length") <= K.MAX_FILE_BYTES)
-    large = files().where(F.col("length") > K.MAX_FILE_BYTES).withColumn("content", F.lit(None).cast("binary"))
+    small = files().where(F.col("length") <= max_file_bytes)
+    large = files().where(F.col("length") > max_file_bytes).withColumn("content", F.lit(None).cast("binary"))
     return small.unionByName(large)
 
 
 def estimate_stream(
-    spark: SparkSession, folder: str, out: str, checkpoint: str, quality: int = 60, files_per_trigger: int = 1000
+    spark: SparkSession, folder: str, out: str, checkpoint: str, quality: int = 60, files_per_trigger: int = 1000,
+    max_file_bytes: int = K.MAX_FILE_BYTES,
 ) -> DataStreamWriter:
     """The batch plan on a file stream; oversized files get an error row like any other."""
-    rows = estimate_assets(asset_stream(spark, folder, files_per_trigger), quality)
+    files = asset_stream(spark, folder, files_per_trigger, max_file_bytes)
+    rows = estimate_assets(files, quality, max_file_bytes=max_file_bytes)
     return rows.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint)

@@ -596,7 +596,7 @@ _EST = f"""WITH b AS (SELECT *, valid AS is_png FROM ({_EST_PNG})),
   FROM (SELECT *, CASE color_type WHEN 0 THEN 1 WHEN 2 THEN 3 WHEN 3 THEN 1 WHEN 4 THEN 2 ELSE 4 END AS bytes FROM c)),
  e AS (SELECT *, CASE WHEN served THEN least(CAST(floor(raw * (width * height) / 8.0) AS BIGINT), length) END AS est FROM d)
  SELECT p_partkey, length AS original_size, est AS estimated_optimized_size, CASE WHEN served THEN greatest(0, (length - est) / length * 100) END AS red,
- CASE WHEN valid AND served THEN 'png_header_only' WHEN valid THEN plain ELSE plain_invalid END AS path, CASE WHEN first = 'png_header_only' AND NOT served THEN fallback_reason END AS reason
+ CASE WHEN valid AND served THEN 'png_header_only' WHEN valid THEN plain ELSE plain_invalid END AS path, CASE WHEN first = 'png_header_only' AND NOT served THEN fallback_reason END AS reason, valid
  FROM (SELECT *, 'direct_encode_sample' AS plain_invalid FROM e)"""
 
 
@@ -609,12 +609,47 @@ def _(spark, folder):
     return _estimates(spark, folder).select("p_partkey", "original_size", "estimated_optimized_size", "path")
 
 
+#: Documents as PNG files: a head whose fields follow from the id, then the text; larger ones than 12,000 bytes are refused.
+_DOC_PNG = """SELECT doc_id AS p_partkey, 33 + octet_length(encode(coalesce(text, ''))) AS length, 60 AS quality, doc_id % 300 + 1 AS width, (doc_id % 37 + 1) * 10 AS height,
+ ([0,2,3,4,6,1])[doc_id % 6 + 1] AS color_type, doc_id % 6 <> 5 AS valid FROM documents"""
+_DOC_EST = _EST.replace(W.PNG.replace("([40,60,75])[p_partkey % 3 + 1] AS quality", "60 AS quality"), _DOC_PNG).replace("length > 33554432", "length > 12000")
+
+
+@query(
+    "asset_stream",
+    f"""SELECT 'doc-' || p_partkey || '.png' AS name, original_size, estimated_optimized_size, CASE WHEN original_size <= 12000 THEN path END AS path,
+ CASE WHEN original_size <= 12000 THEN reason END AS fallback_reason, CASE WHEN original_size > 12000 THEN 'file_too_large' END AS error_code
+ FROM ({_DOC_EST})""",
+)
+def _(spark, folder):
+    """Files that arrive in two lots while the stream is stopped and started again, in at least three batches."""
+    from pixelyard.plans.scale import scratch_path
+    from pixelyard.sources.files import append_files
+    from pixelyard.streaming.assets import estimate_stream
+
+    d = read_table(spark, folder, "documents")
+    k = F.col("doc_id")
+    color = W.pick(W.COLOR_TYPES, k % 6)
+    head = F.concat(F.lit("89504E470D0A1A0A0000000D49484452"), W.hex_be(k % 300 + 1, 4), W.hex_be((k % 37 + 1) * 10, 4), F.lit("08"), W.hex_be(color, 1), F.lit("00000000000000"))
+    content = F.concat(F.unhex(head), F.coalesce(F.col("text"), F.lit("")).cast("binary"))
+    rows = d.select(k, F.concat(F.lit("doc-"), k, F.lit(".png")).alias("name"), content.alias("content"))
+    base = scratch_path(spark, "assets")
+    per_batch = max(1, -(-d.count() // 5))
+    for lot in (0, 1):
+        append_files(rows.where(k % 2 == lot), f"{base}/in")
+        run = estimate_stream(spark, f"{base}/in", f"{base}/out", f"{base}/checkpoint", files_per_trigger=per_batch, max_file_bytes=12_000).trigger(availableNow=True).start()
+        run.awaitTermination()
+    out = spark.read.parquet(f"{base}/out")
+    return out.select(F.regexp_extract("asset", r"([^/]+)$", 1).alias("name"), "original_size", "estimated_optimized_size", "path", "fallback_reason", "error_code")
+
+
 @query(
     "fallback_rollup",
-    f"SELECT 'png' AS original_format, path, reason AS fallback_reason, count(*) AS n FROM ({_EST}) GROUP BY ALL",
+    f"SELECT 'png' AS original_format, path, reason AS fallback_reason, count(*) AS n, avg(round_even(red, 1)) AS mean_reduction FROM ({_EST}) GROUP BY ALL",
+    rounded={"mean_reduction": 4},
 )
 def _(spark, folder):
-    return estimate.fallback_rollup(_estimates(spark, folder)).drop("mean_reduction")
+    return estimate.fallback_rollup(_estimates(spark, folder))
 
 
 @query(

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from pixelyard.functions.formats import detect_format
 from pixelyard.operators import corpus as C
 from pixelyard.plans.scale import scratch_path
-from pixelyard.sources import assets, manifests, runs, tables
+from pixelyard.sources import assets, files, manifests, runs, tables
+from pixelyard.sources.publish import sweep
 from pixelyard.sources.tables import read_table
 from pixelyard.workload import frames as W
 from pixelyard.workload.registry import query
@@ -130,25 +131,45 @@ def _(spark, folder):
 # --- sources and sinks ------------------------------------------------------------------------------
 
 
-@query("scan_assets")
+#: What stands before the text of a document made a file (hex), and the format that it makes of it.
+_HEADS = [("FFD8FFE0", "jpeg"), ("474946383961", "gif"), ("524946460000000057454250", "webp"), ("424D", "bmp"), ("49492A00", "tiff"), ("FF0A", "jxl"), ("25504446", None)]
+_HEX = "([" + ",".join(f"'{h}'" for h, _ in _HEADS) + f"])[doc_id % {len(_HEADS)} + 1]"
+_FILES = f"SELECT doc_id, doc_id % 10 || '/doc-' || doc_id || '.bin' AS name, unhex({_HEX}) || encode(coalesce(text, '')) AS content FROM documents"
+
+
+def _document_files(spark, folder):
+    """Every document written as a file of its own, in ten folders."""
+    d = read_table(spark, folder, "documents")
+    head = F.unhex(W.pick([h for h, _ in _HEADS], F.col("doc_id") % len(_HEADS)))
+    name = F.concat((F.col("doc_id") % 10).cast("string"), F.lit("/doc-"), F.col("doc_id"), F.lit(".bin"))
+    rows = d.select(name.alias("name"), F.concat(head, F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("content"))
+    return files.write_files(rows, scratch_path(spark, "files"))
+
+
+def _named(df, *columns):
+    return df.select(F.regexp_extract("path", r"(\d/doc-\d+\.bin)$", 1).alias("name"), *columns)
+
+
+@query("scan_assets", f"SELECT name, octet_length(content) AS length, sha256(content) AS sha256 FROM ({_FILES}) WHERE octet_length(content) <= 3000")
 def _(spark, folder):
-    """The table folder itself as an asset folder: its files up to the size limit."""
-    return assets.scan_assets(spark, folder).select(F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), "length")
+    """Documents as files, scanned with a limit of 3000 bytes: names, sizes and digests."""
+    return _named(assets.scan_assets(spark, _document_files(spark, folder), max_bytes=3000), "length", F.sha2("content", 256).alias("sha256"))
 
 
-@query("rejected_assets")
+@query("rejected_assets", f"SELECT name, octet_length(content) AS length, 'file_too_large' AS error_code, 413 AS status FROM ({_FILES}) WHERE octet_length(content) > 3000")
 def _(spark, folder):
-    out = assets.rejected_assets(spark, folder, max_bytes=100_000)
-    return out.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), "length", "error_code", "status")
+    """The larger ones, which are listed and never opened."""
+    return _named(assets.rejected_assets(spark, _document_files(spark, folder), max_bytes=3000), "length", "error_code", "status")
+
 
+_FORMATS = "([" + ",".join(f"'{f}'" if f else "NULL" for _, f in _HEADS) + f"])[doc_id % {len(_HEADS)} + 1]"
 
-@query("asset_heads")
+
+@query("asset_heads", f"SELECT name, octet_length(content) AS total_size, sha256(content[1:100]) AS sha256, {_FORMATS} AS format FROM ({_FILES})")
 def _(spark, folder):
-    heads = assets.asset_heads(assets.scan_assets(spark, folder), 100)
-    return heads.select(
-        F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), "total_size", F.length("head").alias("n"),
-        F.decode(F.substring("head", 1, 4), "ISO-8859-1").alias("magic"), detect_format("head", deep=False).alias("format"),
-    )
+    """The first hundred bytes and the format they tell."""
+    heads = assets.asset_heads(assets.scan_assets(spark, _document_files(spark, folder)), 100)
+    return _named(heads, "total_size", F.sha2("head", 256).alias("sha256"), detect_format("head", deep=False).alias("format"))
 
 
 def _written(spark, folder):
@@ -218,8 +239,20 @@ def _(spark, folder):
     f"SELECT bucket, format, count(*) AS n, CAST(sum(optimized_size) AS BIGINT) AS bytes FROM ({W.ITERATIONS}) GROUP BY ALL",
 )
 def _(spark, folder):
-    """Written by bucket and format, read back with partition pruning available."""
+    """Published by bucket and format: first another table, then one whose write fails midway, then this one again.
+    Readers see the whole of the last write that was finished."""
     path = scratch_path(spark, "table")
-    tables.write_table(W.iterations(spark, folder).select("case_id", "optimized_size", "bucket", "format"), path)
-    back = spark.read.parquet(path)
+    rows = W.iterations(spark, folder).select("case_id", "optimized_size", "bucket", "format")
+    tables.publish_table(rows.where("bucket = 'tiny'"), path)
+    broken = rows.withColumn("optimized_size", F.when(F.col("bucket") == "xlarge", F.raise_error(F.lit("stopped midway")).cast("bigint")).otherwise(F.col("optimized_size")))
+    try:
+        tables.publish_table(broken, path)
+    except Exception as problem:  # the failure is part of what is shown
+        if "stopped midway" not in str(problem):
+            raise
+    else:
+        raise AssertionError("the broken write was published")
+    tables.publish_table(rows, path)
+    sweep(spark, path)
+    back = tables.read_published(spark, path)
     return back.groupBy("bucket", "format").agg(F.count(F.lit(1)).alias("n"), F.sum("optimized_size").alias("bytes"))

@@ -94,6 +94,18 @@ def _(spark, folder):
     return quantiles.aggregate(orders, [], [(f"p{p}", "o_totalprice", p) for p in _POINTS], [F.count(F.lit(1)).alias("n")])
 
 
+@query("percentiles_approx", f"SELECT o_orderpriority, p, count(*) AS n, TRUE AS within FROM orders, (SELECT unnest({list(_POINTS)}) AS p) GROUP BY ALL")
+def _(spark, folder):
+    """The opt-in sketch: of every percentile whether its exact rank is within the stated error."""
+    size = 2048
+    orders = read_table(spark, folder, "orders").select("o_orderpriority", "o_totalprice")
+    found = quantiles.aggregate(orders, ["o_orderpriority"], [(f"p{p}", "o_totalprice", p) for p in _POINTS], [F.count(F.lit(1)).alias("n")], approx=size)
+    points = found.select("o_orderpriority", "n", F.inline(F.array(*[F.struct(F.lit(p).alias("p"), F.col(f"p{p}").alias("at")) for p in _POINTS])))
+    x, at, bound = F.col("o_totalprice"), F.col("at"), quantiles.rank_error(size)
+    ranks = orders.join(points, "o_orderpriority").groupBy("o_orderpriority", "p", "n").agg(F.avg((x < at).cast("double")).alias("below"), F.avg((x <= at).cast("double")).alias("upto"))
+    return ranks.select("o_orderpriority", "p", "n", ((F.col("below") - bound <= F.col("p") / 100) & (F.col("upto") + bound >= F.col("p") / 100)).alias("within"))
+
+
 @query("median_abs_deviation", "SELECT o_custkey, mad(o_totalprice) AS mad FROM orders GROUP BY 1", rounded="mad", digits=6)
 def _(spark, folder):
     return quantiles.median_abs_deviation(read_table(spark, folder, "orders"), ["o_custkey"], "o_totalprice")
@@ -254,12 +266,6 @@ def _(spark, folder):
     return Q.psnr_pixels(pixels, ["label"], digits=None)
 
 
-@query("ssim_pairs", rounded="ssim")
-def _(spark, folder):
-    pairs = _patches(spark, folder).withColumns({"height": F.lit(8), "width": F.lit(8), "channels": F.lit(1)})
-    return Q.ssim_pairs(pairs).select("vec_id", "ssim")
-
-
 _GOOD = f"SELECT * FROM ({W.ITERATIONS}) WHERE error IS NULL"
 _FLOOR = "CASE preset WHEN 'high' THEN 0.95 WHEN 'medium' THEN 0.97 WHEN 'low' THEN 0.99 ELSE 0.97 END"
 _FIRST = f"SELECT * FROM ({_GOOD}) QUALIFY row_number() OVER (PARTITION BY case_id ORDER BY pos) = 1"
@@ -375,25 +381,6 @@ def _(spark, folder):
     return L.gate_peaks(W.requests(spark, folder), ["format"])
 
 
-@query(
-    "load_windows",
-    """SELECT epoch_us(time_bucket(INTERVAL '1 day', ts)) // 1000000 AS window_start, count(*) AS n_requests,
- count(*) FILTER (WHERE event_type NOT IN ('error', 'signup')) AS n_success, count(*) FILTER (WHERE event_type = 'signup') AS n_503,
- count(*) FILTER (WHERE event_type = 'error') AS n_error,
- count(*) FILTER (WHERE event_type NOT IN ('error', 'signup')) / count(*) AS ok_rate FROM events GROUP BY 1""",
-    rounded="ok_rate",
-)
-def _(spark, folder):
-    from pixelyard.streaming.windows import load_windows
-
-    r = W.requests(spark, folder).select(
-        F.timestamp_micros(F.floor(F.col("start_ns") / 1000).cast("bigint")).alias("ts"), "status",
-        ((F.col("release_ns") - F.col("start_ns")) / 1e6).alias("latency_ms"),
-    )
-    out = load_windows(r, "ts", "1 day").drop("latency_p95_ms")
-    return out.withColumn("window_start", F.unix_seconds("window_start"))
-
-
 # --- scorecard --------------------------------------------------------------------------------
 
 CASES = f"""SELECT case_id, any_value(format) AS format, any_value(preset) AS preset, any_value(bucket) AS bucket, count(*) AS iterations,

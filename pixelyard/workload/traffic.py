@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pixelyard.operators import limits as L
-from pixelyard.plans.scale import epoch_micros, scratch_path
+from pixelyard.plans.quantiles import rank_error
+from pixelyard.plans.scale import scratch_path
 from pixelyard.sources.tables import read_table
 from pixelyard.streaming.limits import rate_limit_stream
-from pixelyard.streaming.windows import window_counts
+from pixelyard.streaming.windows import end_marker, load_windows, window_counts
 from pixelyard.workload import frames as W
 from pixelyard.workload.registry import query
 
@@ -36,9 +37,17 @@ def _events(spark, folder):
     return W.events(spark, folder).select("event_id", "user_id", "us", "event_type")
 
 
-def _event_stream(spark, folder):
-    schema = read_table(spark, folder, "events").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(folder)
+def _in_lots(spark, rows, base, start, lots=4):
+    """Writes ``rows`` (with ``us``) to a folder in lots of equal time, one after the other. After each lot
+    ``start`` gets the stream of the folder, runs until it has read all, and is stopped: counters go
+    on from batch to batch and from run to run. Returns the schema that the stream has."""
+    first, last = rows.agg(F.min("us"), F.max("us")).first()
+    if first is None:
+        first = last = 0
+    lot = F.floor((F.col("us") - first) * lots / (last - first + 1))
+    for i in range(lots):
+        rows.where(lot == i).write.mode("append").parquet(f"{base}/in")
+        start(spark.readStream.schema(rows.schema).parquet(f"{base}/in")).trigger(availableNow=True).start().awaitTermination()
 
 
 def _audit(spark, folder, window_s, limit, burst_s, burst, **kw):
@@ -97,15 +106,13 @@ def _(spark, folder):
 
 @query("rate_limit_stream", audit_sql(DAY, 4, HOUR, 1) + f" SELECT {', '.join(_COLUMNS)} FROM verdicts", rounded="weighted")
 def _(spark, folder):
-    """The audit on a file stream of the events table; the verdict table equals the batch result."""
-    stream = _event_stream(spark, folder)
-    rows = stream.withColumn("us", epoch_micros("ts")).select("event_id", "user_id", "us")
+    """The audit on a stream of the events in four lots, with a restart after each; the verdict table equals the batch result."""
     base = scratch_path(spark, "limits")
-    writer = rate_limit_stream(
-        rows, "user_id", "us", "event_id", f"{base}/verdicts", f"{base}/state", f"{base}/checkpoint", DAY, HOUR, limit=4, burst_limit=1
-    )
-    run = writer.trigger(availableNow=True).start()
-    run.awaitTermination()
+
+    def start(stream):
+        return rate_limit_stream(stream, "user_id", "us", "event_id", f"{base}/verdicts", f"{base}/state", f"{base}/checkpoint", DAY, HOUR, limit=4, burst_limit=1)
+
+    _in_lots(spark, _events(spark, folder).select("event_id", "user_id", "us"), base, start)
     return spark.read.parquet(f"{base}/verdicts").select(*_COLUMNS)
 
 
@@ -132,19 +139,59 @@ def _(spark, folder):
     return _seconds(window_counts(_timed(spark, folder), "ts", "12 hours", "6 hours", ["event_type"]))
 
 
-@query(
-    "window_counts_stream",
-    f"SELECT * FROM ({_TUMBLING}) WHERE window_start * 1000000 + 3600000000 <= (SELECT max(epoch_us(ts)) - 120000000 FROM events)",
-)
+def _closed(spark, rows, base, window, size):
+    """Runs ``window`` on a stream of ``rows`` in four lots, sends the end marker, and reads what was written."""
+
+    def start(stream):
+        return window(stream).writeStream.format("parquet").outputMode("append").option("path", f"{base}/out").option("checkpointLocation", f"{base}/checkpoint")
+
+    _in_lots(spark, rows, base, start)
+    end_marker(rows, "ts", size).write.mode("append").parquet(f"{base}/in")
+    start(spark.readStream.schema(rows.schema).parquet(f"{base}/in")).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{base}/out")
+
+
+@query("window_counts_stream", _TUMBLING)
 def _(spark, folder):
-    """Append mode: windows that the watermark has passed."""
-    stream = _event_stream(spark, folder)
-    rows = stream.select("event_type", F.timestamp_micros(epoch_micros("ts")).alias("ts"))
-    base = scratch_path(spark, "windows")
-    counts = window_counts(rows, "ts", "1 hour", keys=["event_type"], delay="2 minutes")
-    run = (
-        counts.writeStream.format("parquet").outputMode("append").option("path", f"{base}/out")
-        .option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
+    """Append mode in four lots with restarts; the end marker closes the last windows."""
+    rows = _events(spark, folder).select("us", "event_type", F.timestamp_micros("us").alias("ts"))
+    out = _closed(spark, rows, scratch_path(spark, "windows"), lambda s: window_counts(s, "ts", "1 hour", keys=["event_type"], delay="2 minutes"), "1 hour")
+    return _seconds(out)
+
+
+_LOAD = f"""SELECT epoch_us(time_bucket(INTERVAL '1 day', make_timestamp(start_ns // 1000))) // 1000000 AS window_start, count(*) AS n_requests,
+ count(*) FILTER (WHERE status = 'success') AS n_success, count(*) FILTER (WHERE status = '503_queue') AS n_503, count(*) FILTER (WHERE status = 'error') AS n_error,
+ count(*) FILTER (WHERE status = 'success') / count(*) AS ok_rate, TRUE AS p95_within FROM ({W.REQUESTS}) GROUP BY 1"""
+_SKETCH = 4096
+
+
+def _load_rows(spark, folder):
+    return W.requests(spark, folder).select(
+        F.floor(F.col("start_ns") / 1000).cast("bigint").alias("us"), F.timestamp_micros(F.floor(F.col("start_ns") / 1000).cast("bigint")).alias("ts"),
+        "status", ((F.col("release_ns") - F.col("start_ns")) / 1e6).alias("latency_ms"),
     )
-    run.awaitTermination()
-    return _seconds(spark.read.parquet(f"{base}/out"))
+
+
+def _within(rows, windows):
+    """Whether each window's p95 has a rank that is off by no more than its sketch allows."""
+    at = windows.select("window_start", "latency_p95_ms")
+    ok = rows.where("status = 'success'").select(F.window("ts", "1 day")["start"].alias("window_start"), "latency_ms").join(at, "window_start")
+    below, upto = F.avg((F.col("latency_ms") < F.col("latency_p95_ms")).cast("double")), F.avg((F.col("latency_ms") <= F.col("latency_p95_ms")).cast("double"))
+    bound = rank_error(_SKETCH)
+    ranks = ok.groupBy("window_start").agg(((below - bound <= 0.95) & (upto + bound >= 0.95)).alias("p95_within"))
+    out = windows.join(ranks, "window_start", "left").drop("latency_p95_ms")
+    return out.withColumn("p95_within", F.coalesce("p95_within", F.col("n_success") == 0)).withColumn("window_start", F.unix_seconds("window_start"))
+
+
+@query("load_windows", _LOAD, rounded="ok_rate")
+def _(spark, folder):
+    """Load statistics per day; the sketched p95 is held against exact ranks."""
+    rows = _load_rows(spark, folder)
+    return _within(rows, load_windows(rows, "ts", "1 day", accuracy=_SKETCH))
+
+
+@query("load_stream", _LOAD, rounded="ok_rate")
+def _(spark, folder):
+    """The same on a stream in four lots with restarts, closed by an end marker."""
+    rows = _load_rows(spark, folder)
+    return _within(rows, _closed(spark, rows, scratch_path(spark, "load"), lambda s: load_windows(s, "ts", "1 day", accuracy=_SKETCH), "1 day"))
