@@ -24,7 +24,7 @@ def tokenize(docs: DataFrame, vocabulary: str, width: int, end_id: int = 0, id_c
         encoder = BatchEncoder(vocabulary)
         for batch in batches:
             names = batch.column(0)
-            for first, texts in slices(batch.column(1)):
+            for first, texts in slices(batch.column(1), 4 << 20):
                 ids, bounds = encoder.encode(texts)
                 sizes = np.diff(bounds) + 1
                 whole = np.insert(ids, bounds[1:], end_id).astype("<u4")

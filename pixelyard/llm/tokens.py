@@ -54,7 +54,7 @@ class BatchEncoder:
     #: What a remembered stretch takes beside its characters and ids: a string, two numbers, a slot of a table.
     _ENTRY = 200
 
-    def __init__(self, path: str, memo: int = 32 << 20, longest: int = 64):
+    def __init__(self, path: str, memo: int = 64 << 20, longest: int = 64):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the cores belong to Spark's tasks
         from tokenizers import Tokenizer
 
