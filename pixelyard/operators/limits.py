@@ -1,62 +1,44 @@
 """Rate-limit audit of request events.
 
 The sliding limit weighs the previous window's total by the part of it still in view and adds the
-running count of this window. Rejected requests still count. Running counts are taken inside time
-slots, so that one client holding a third of all events is spread over its slots.
+running count of this window. Rejected requests still count. Running counts are taken inside parts of
+a window, so that one client holding a third of all events is spread over many tasks.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from pixelyard.plans.running import with_running_sum
+
 _US = 1_000_000
+#: Slots of a window.
+SLOTS = 20
 
 
 def _floor_div(value: Column, width: int) -> Column:
     return F.floor(value / F.lit(width)).cast("bigint")
 
 
-def _slot_counts(df: DataFrame, client: str, flag: Column, slot_us: int, window_us: int) -> DataFrame:
-    """(client, slot, window, n): the flagged events of every slot, pre-aggregated."""
-    per_slot = _floor_div(F.col("__us"), slot_us)
-    return (
-        df.where(flag)
-        .groupBy(F.col(client).alias("__client"), per_slot.alias("__slot"))
-        .agg(F.count(F.lit(1)).alias("__n"))
-        .withColumn("__window", _floor_div(F.col("__slot"), window_us // slot_us))
-    )
-
-
-def _with_slot_offsets(df: DataFrame, client: str, flag: Column, slot_us: int, window_us: int,
-                       previous: bool, carried: DataFrame | None) -> DataFrame:
-    """Adds ``__before`` (flagged events of earlier slots of the window) and, if asked,
-    ``__previous`` (all flagged events of the window before)."""
-    slots = _slot_counts(df, client, flag, slot_us, window_us)
-    totals = slots.groupBy("__client", "__window").agg(F.sum("__n").alias("__total"))
-    if carried is not None:
-        old = carried.select(F.col("client").alias("__client"), F.col("window").alias("__window"), F.col("n").alias("__total"))
-        carry = old.withColumnRenamed("__total", "__carried")
-        totals = totals.unionByName(old).groupBy("__client", "__window").agg(F.sum("__total").alias("__total"))
-    earlier = W.partitionBy("__client", "__window").orderBy("__slot").rowsBetween(W.unboundedPreceding, -1)
-    offsets = slots.withColumn("__before", F.coalesce(F.sum("__n").over(earlier), F.lit(0)))
-    if carried is not None:
-        offsets = offsets.join(carry, ["__client", "__window"], "left").withColumn(
-            "__before", F.col("__before") + F.coalesce("__carried", F.lit(0))
-        )
+def _counted(df: DataFrame, client: str, tie: str, flag: Column, window_us: int, slot_us: int, out: str, carried: DataFrame | None, previous: bool = False) -> DataFrame:
+    """Adds ``out``, the running number of flagged events of the client in the window, and, if asked,
+    ``__previous``, all flagged events of the window before."""
+    df = df.withColumn("__window", _floor_div(F.col("__us"), window_us))
+    amount = flag.cast("bigint")
+    counted = with_running_sum(df, [client, "__window"], "__us", [tie], amount, slot_us, out)
+    keys = [client, "__window"]
     if previous:
-        shifted = totals.select("__client", (F.col("__window") + 1).alias("__window"), F.col("__total").alias("__previous"))
-        offsets = offsets.join(shifted, ["__client", "__window"], "left")
-    keep = ["__before", *(["__previous"] if previous else [])]
-    offsets = offsets.select(
-        F.col("__client").alias("__oc"), F.col("__slot").alias("__os"), *[F.coalesce(c, F.lit(0)).alias(c) for c in keep]
-    )
-    return df.withColumn("__slot", _floor_div(F.col("__us"), slot_us)).join(
-        offsets, (F.col(client) == F.col("__oc")) & (F.col("__slot") == F.col("__os")), "left"
-    ).drop("__oc", "__os")
+        totals = df.groupBy(*keys).agg(F.sum(amount).alias("__previous"))
+        if carried is not None:
+            old = carried.select(F.col("client").alias(client), F.col("window").alias("__window"), F.col("n").alias("__previous"))
+            totals = totals.unionByName(old).groupBy(*keys).agg(F.sum("__previous").alias("__previous"))
+        counted = counted.join(totals.withColumn("__window", F.col("__window") + 1), keys, "left")
+        counted = counted.withColumn("__previous", F.coalesce("__previous", F.lit(0)))
+    if carried is not None:
+        old = carried.groupBy(F.col("client").alias(client), F.col("window").alias("__window")).agg(F.sum("n").alias("__carried"))
+        counted = counted.join(old, keys, "left").withColumn(out, F.col(out) + F.coalesce("__carried", F.lit(0))).drop("__carried")
+    return counted.drop("__window")
 
 
 def rate_limit_audit(
@@ -80,34 +62,31 @@ def rate_limit_audit(
     burst counter. A limit of 0 switches a check off. Clients must not be NULL.
 
     ``carried_window`` / ``carried_burst`` (client, window, n) are counts of earlier
-    micro-batches. When the burst window divides the sliding one, both counters live in the same
-    (client, slot) partitions and the events are shuffled once.
+    micro-batches. Counts run over slots of a ``SLOTS``-th of each window, and crowded slots are cut
+    further (``plans/running.py``), so a client's busiest second is many tasks' work.
     """
     window_us, burst_us = window_s * _US, burst_s * _US
-    slot_us = burst_us if window_us % burst_us == 0 else math.gcd(window_us, burst_us)
     public = F.lit(True) if authenticated is None else ~authenticated
     own_limit = F.when(public, F.lit(limit)).otherwise(F.lit(auth_limit if auth_enabled else 0))
     names = list(events.columns)
     df = events.withColumns({"__us": F.col(time_us), "__limit": own_limit, "__public": public})
     df = df.withColumn("__counted", F.col("__limit") > 0)
 
-    df = _with_slot_offsets(df, client, F.col("__counted"), slot_us, window_us, True, carried_window)
-    inside = W.partitionBy(client, "__slot").orderBy("__us", tie).rowsBetween(W.unboundedPreceding, W.currentRow)
-    count = F.col("__before") + F.sum(F.col("__counted").cast("bigint")).over(inside)
-    df = df.withColumn("window_count", F.when(F.col("__counted"), count))
+    df = _counted(df, client, tie, F.col("__counted"), window_us, max(1, window_us // SLOTS), "__count", carried_window, previous=True)
+    df = df.withColumn("window_count", F.when(F.col("__counted"), F.col("__count")))
     elapsed = F.pmod(F.col("__us"), F.lit(window_us)) / F.lit(float(window_us))
     df = df.withColumn("weighted", F.col("__previous") * (1.0 - elapsed) + F.col("window_count"))
-    df = df.withColumn("__rejected", F.coalesce(F.col("weighted") > F.col("__limit"), F.lit(False))).drop("__before", "__previous")
+    df = df.withColumn("__rejected", F.coalesce(F.col("weighted") > F.col("__limit"), F.lit(False))).drop("__count", "__previous")
 
     in_burst = ~F.col("__rejected") & F.lit(burst_limit > 0)
     if burst_public_only:
         in_burst = in_burst & F.col("__public")
     df = df.withColumn("__in_burst", in_burst)
-    within = F.sum(F.col("__in_burst").cast("bigint")).over(inside)
-    if burst_limit > 0 and (slot_us != burst_us or carried_burst is not None):
-        df = _with_slot_offsets(df.drop("__slot"), client, F.col("__in_burst"), slot_us, burst_us, False, carried_burst)
-        within = within + F.col("__before")
-    df = df.withColumn("burst_count", F.when(F.col("__in_burst"), within))
+    if burst_limit > 0:
+        df = _counted(df, client, tie, F.col("__in_burst"), burst_us, max(1, burst_us // SLOTS), "__count", carried_burst)
+    else:
+        df = df.withColumn("__count", F.lit(0).cast("bigint"))
+    df = df.withColumn("burst_count", F.when(F.col("__in_burst"), F.col("__count")))
     burst_rejected = F.coalesce(F.col("burst_count") > burst_limit, F.lit(False))
 
     def wait(width_us: int) -> Column:

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pixelyard.plans import quantiles
+from pixelyard.plans import quantiles, running
 from pixelyard.plans.running import with_running_sum
 from pixelyard.plans.scale import join_on, lookup, pinned
 
@@ -75,15 +75,31 @@ def test_a_hot_group_is_never_dealt_as_a_whole(spark):
     assert hot[0]["p50"] == np.percentile([r["v"] for r in df.where("k = 0").collect()], 50)
 
 
-def test_running_sum_with_slots(spark):
+@pytest.mark.parametrize("options", [{"width": 50}, {"width": 1000, "rows": 20}])
+def test_running_sum_with_slots(spark, options):
     rng = random.Random(4)
-    rows = [("hot" if rng.random() < 0.5 else f"k{rng.randrange(5)}" if rng.random() < 0.9 else None, rng.randrange(-1000, 5000), i, rng.randrange(5)) for i in range(3000)]
+    rows = [("hot" if rng.random() < 0.5 else f"k{rng.randrange(5)}" if rng.random() < 0.9 else None, rng.randrange(-1000, 5000) if i % 3 else 77, i, rng.randrange(5)) for i in range(3000)]
     df = spark.createDataFrame(rows, "k string, t bigint, id bigint, a bigint")
-    out = {r["id"]: r["running"] for r in with_running_sum(df, ["k"], "t", ["id"], F.col("a"), 50).collect()}
+    sums = with_running_sum(df, ["k"], "t", ["id"], F.col("a"), out="running", total="total", **options).collect()
+    out, whole = {r["id"]: r["running"] for r in sums}, {r["k"]: r["total"] for r in sums}
     totals: dict = {}
     for k, t, i, a in sorted(rows, key=lambda r: (r[0] or "", r[1], r[2])):
         totals[k] = totals.get(k, 0) + a
         assert out[i] == totals[k]
+    assert whole == totals and len(sums) == len(rows)
+
+
+def test_one_busy_second_and_one_global_group_are_spread(spark):
+    """One group: half of its rows are in one second, or on one instant. No sort gets more than a bounded share."""
+    for busy, width in ((F.lit(5_000_000) + F.col("id") * 25, 1_000_000), (F.lit(5_000_000), 1)):
+        df = spark.range(20_000).select(F.when(F.col("id") % 2 == 0, busy).otherwise(F.col("id") * 1_000).alias("t"), "id")
+        slots = running.slot_totals(df, [], "t", ["id"], F.lit(1), width)
+        part = running._part("t", running._numeric_tie(df, ["id"]), 500)
+        most = running.keyed(df, [], "t", width).join(slots, "__slot").groupBy("__slot", part.alias("p")).count().agg(F.max("count")).first()[0]
+        block = F.floor(F.col("__slot.__n") / running.SPAN)
+        assert most <= 1_000 and slots.groupBy(block).count().agg(F.max("count")).first()[0] <= running.SPAN
+        got = {r["id"]: r["running"] for r in with_running_sum(df, [], "t", ["id"], F.lit(1), width, rows=500).collect()}
+        assert got == {r["id"]: n + 1 for n, r in enumerate(sorted(df.collect(), key=lambda r: (r["t"], r["id"])))}
 
 
 def test_join_on_matches_nulls_and_full(spark):
