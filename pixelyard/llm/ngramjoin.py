@@ -17,7 +17,7 @@ from pixelyard.llm.words import Texts, mix64
 
 #: Counters of the frequency table; its size does not depend on the corpus.
 COUNTERS = 1 << 20
-_ODD = np.uint64(0xD6E8FEB86659FD93)
+_ODD, _BASE = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
 
 
 def shingle_sets(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -97,6 +97,62 @@ def _widen(packed: bytes) -> np.ndarray:
     return np.frombuffer(raw, np.uint32 if len(raw) == 4 * COUNTERS else np.uint64).astype(np.uint64)
 
 
+#: Bits of a filter of ids at most; its size is bounded whatever the corpus, and what it lets through grows instead.
+FILTER_BITS = 1 << 28
+
+
+def _filter_places(values: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    x, mask = values.astype(np.int64).view(np.uint64), np.uint64(bits - 1)
+    return (mix64(x + _ODD) & mask).astype(np.int64), (mix64(x ^ _BASE) & mask).astype(np.int64)
+
+
+class IdFilter:
+    """A Bloom filter of a table's whole numbers, built in tasks and broadcast: two bits of sixteen for
+    each number up to ``FILTER_BITS``. It lets every number of the table through and few others,
+    so that a join shuffles little more than what it keeps. Results never depend on it."""
+
+    def __init__(self, ids: DataFrame, most_bits: int = FILTER_BITS, fan_in: int = 64):
+        self.bits = bits = min(most_bits, 1 << max(10, (16 * ids.count()).bit_length()))
+
+        def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            table = np.zeros(bits, bool)
+            for batch in batches:
+                for places in _filter_places(batch.column(0).to_numpy(), bits):
+                    table[places] = True
+            if table.any():
+                yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(np.packbits(table).tobytes(), 1)], pa.binary())], names=["bits"])
+
+        def unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(bits // 8, np.uint8)
+            for batch in batches:
+                for x in batch.column(0):
+                    total |= np.frombuffer(zlib.decompress(x.as_buffer()), np.uint8)
+            yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())], names=["bits"])
+
+        parts, n = ids.mapInArrow(fill, "bits binary"), ids.rdd.getNumPartitions()
+        while n > 1:
+            n = -(-n // fan_in)
+            parts = parts.repartition(n).mapInArrow(unite, "bits binary")
+        rows = parts.collect()  # one filter of bounded size
+        packed = np.frombuffer(zlib.decompress(rows[0][0]), np.uint8) if rows else np.zeros(bits // 8, np.uint8)
+        self.table = ids.sparkSession.sparkContext.broadcast(packed)
+
+    def __call__(self, values: np.ndarray) -> np.ndarray:
+        table, hit = self.table.value, np.ones(len(values), bool)
+        for places in _filter_places(values, self.bits):
+            hit &= (table[places >> 3] >> (7 - (places & 7)).astype(np.uint8)) & 1 > 0
+        return hit
+
+    def of(self, rows: DataFrame) -> DataFrame:
+        """The rows whose first column may be in the table."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield batch.filter(pa.array(self(batch.column(0).to_numpy())))
+
+        return rows.mapInArrow(run, rows.schema)
+
+
 def _signatures(size: int, percent: int, table, frequent: int, pairs_to: int):
     """Rows (signature, d1, n) of each text's prefix; d1 is half of the set's digest.
 
@@ -151,15 +207,18 @@ def _at_most(x: np.ndarray, y: np.ndarray) -> int:
     return int(np.minimum(x, y).sum())
 
 
-def _sets(size: int):
-    """Rows (doc_id, n, values, ranges, crowded): a text's sorted shingle hashes as bytes, and their sketch."""
+def _sets(size: int, marked: IdFilter, crowded: IdFilter):
+    """Rows (doc_id, n, values, ranges, crowded) of the texts whose ids may be marked: a text's sorted
+    shingle hashes as bytes, their sketch, and whether the id may be in a crowd."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            batch = batch.filter(pa.array(marked(batch.column(0).to_numpy())))
             for first, texts in slices(batch.column(1)):
                 values, begin = shingle_sets(texts, size)
                 each = [values[a:b] for a, b in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(texts)), pa.array(np.diff(begin)), pa.array([x.tobytes() for x in each], pa.binary()), pa.array([sketch(x) for x in each], pa.binary()), batch.column(2).slice(first, len(texts))], names=["doc_id", "n", "values", "ranges", "crowded"])
+                ids = batch.column(0).slice(first, len(texts))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(np.diff(begin)), pa.array([x.tobytes() for x in each], pa.binary()), pa.array([sketch(x) for x in each], pa.binary()), pa.array(crowded(ids.to_numpy()))], names=["doc_id", "n", "values", "ranges", "crowded"])
 
     return run
 
@@ -315,16 +374,18 @@ def join_components(docs: DataFrame, size: int = 4, percent: int = 85, id_col: s
     # Signatures that different sets hold; of just two rows, only where their sizes can match.
     held = signs.groupBy("signature").agg(F.count("*").alias("m"), F.min("d1").alias("low"), F.max("d1").alias("high"), F.min("n").alias("least"), F.max("n").alias("most"))
     held = held.where(f"low <> high AND (m > 2 OR 100 * least >= {percent} * most)").select("signature", "m")
-    shared = signs.join(scratch.write("held", held), "signature").distinct()
+    held = scratch.write("held", held)
+    shared = IdFilter(held.select("signature")).of(signs).join(held, "signature").distinct()
     shared = shared.join(leaders.select("d1", F.col("leader").alias("doc_id"), F.col("n").alias("n_")), "d1").where("n = n_").select("signature", "doc_id", "n", "m")
     shared = scratch.write("shared", shared)
     scratch.release("signs", "held")
     nodes = scratch.write("marked", shared.groupBy("doc_id").agg(F.bool_or(F.col("m") > crowd).alias("crowded")))
     labels = _Labels(nodes, scratch)
-    sets = docs.join(nodes.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "crowded").mapInArrow(_sets(size), "doc_id long, n long, values binary, ranges binary, crowded boolean")
+    # Texts are not shuffled: the scan itself leaves out what shares no signature.
+    marked, crowd_ids = IdFilter(nodes.select("doc_id")), IdFilter(nodes.where("crowded").select("doc_id"))
+    sets = docs.where("doc_id IS NOT NULL").mapInArrow(_sets(size, marked, crowd_ids), "doc_id long, n long, values binary, ranges binary, crowded boolean")
     sets = scratch.write("sets", sets)
-    # Apart, so that the rounds do not shuffle the other sets for their joins.
-    crowded_sets = scratch.write("crowded", sets.where("crowded").select("doc_id", "values"))
+    crowded_sets = sets.where("crowded").select("doc_id", "values")
 
     met: list[DataFrame] = []  # the block of each set in each round
     for round_ in range(rounds + 1):
@@ -363,17 +424,19 @@ def join_components(docs: DataFrame, size: int = 4, percent: int = 85, id_col: s
             fits = F.expr(f"x_comp <> comp AND 100 * least(x_n, n) >= {percent} * greatest(x_n, n){fresh} AND {once}")
             pairs = minor.join(rows, "signature").where(fits).select(F.least("x_doc_id", "doc_id").alias("a"), F.greatest("x_doc_id", "doc_id").alias("b"))
             pairs = scratch.write("pairs", pairs.distinct())
-            near = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("ranges").alias("rb")), "b").join(sets.select(F.col("doc_id").alias("a"), F.col("ranges").alias("ra")), "a")
+            ends = lambda p: p.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+            ranges = IdFilter(scratch.write("ends", ends(pairs))).of(sets.select("doc_id", "ranges"))
+            near = pairs.join(ranges.select(F.col("doc_id").alias("b"), F.col("ranges").alias("rb")), "b").join(ranges.select(F.col("doc_id").alias("a"), F.col("ranges").alias("ra")), "a")
             pairs = scratch.write("pairs", near.select("a", "b", "ra", "rb").mapInArrow(_possible_pairs(percent), "a long, b long").distinct())
-            needed = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-            few = scratch.write("few", sets.join(needed, "doc_id").select("doc_id", "values"))
+            needed = scratch.write("ends", ends(pairs))
+            few = scratch.write("few", IdFilter(needed).of(sets.select("doc_id", "values")).join(needed, "doc_id").select("doc_id", "values"))
             right = pairs.join(few.select(F.col("doc_id").alias("b"), F.col("values").alias("vb")), "b")
             full = right.join(few.select(F.col("doc_id").alias("a"), F.col("values").alias("va")), "a").select("a", "b", "va", "vb")
             links = labels.ends(scratch.write("linked", full.mapInArrow(_linked_pairs(percent), "a long, b long")))
         labels.join(scratch.write("found", links))
         if last:
             break
-    scratch.release("sets", "crowded", "shared")
+    scratch.release("sets", "shared")
 
     of_class = leaders.join(labels.table.withColumnRenamed("doc_id", "leader"), "leader", "left").select("n", "d1", "d2", F.coalesce("comp", "leader").alias("comp"))
     same_id = profile.join(repeated, "doc_id").join(of_class, ["n", "d1", "d2"])
