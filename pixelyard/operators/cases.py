@@ -249,15 +249,15 @@ def case_detail(iters: DataFrame, cases: DataFrame, keys: Sequence[str] = ("case
 
 def error_text(error="error") -> Column:
     """Readable text of a polymorphic error given as JSON or plain text: the string itself, or
-    ``[phase] message`` of an object."""
+    ``[phase] message`` of an object. Anything else (arrays, numbers, broken JSON) stays as it is."""
     e = _c(error)
-    is_object = F.startswith(F.ltrim(e), F.lit("{"))
-    phase = F.coalesce(F.get_json_object(e, "$.phase"), F.lit("?"))
-    message = F.coalesce(F.get_json_object(e, "$.message"), F.lit("unknown error"))
-    plain = F.when(
-        F.startswith(e, F.lit('"')), F.coalesce(F.from_json(F.concat(F.lit('{"e":'), e, F.lit("}")), "e string")["e"], e)
+    value = F.try_parse_json(e)
+    kind = F.schema_of_variant(value)
+    phase = F.coalesce(F.try_variant_get(value, "$.phase", "string"), F.lit("?"))
+    message = F.coalesce(F.try_variant_get(value, "$.message", "string"), F.lit("unknown error"))
+    return F.when(F.startswith(kind, F.lit("OBJECT")), F.concat(F.lit("["), phase, F.lit("] "), message)).when(
+        kind == "STRING", F.try_variant_get(value, "$", "string")
     ).otherwise(e)
-    return F.when(is_object, F.concat(F.lit("["), phase, F.lit("] "), message)).otherwise(plain)
 
 
 def failures(iters: DataFrame, error: str = "error") -> DataFrame:

@@ -57,7 +57,7 @@ def timing_diff(
     Cohen); otherwise only a large change above the noise floor counts. Bounds are inclusive.
 
     Each run is reduced to one row per case before the join. The significance gate needs no p;
-    ``p_value`` adds it (a Python UDF over case rows).
+    ``p_value`` adds it.
     """
     keys = list(keys)
     both = join_on(_sample(a, keys, wall, error, "baseline"), _sample(b, keys, wall, error, "head"), keys, nulls=False)

@@ -455,10 +455,43 @@ def _(spark, folder):
 
 @query("sql_container_segments", "SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 6 ELSE 5 END AS n_segments, CAST(p_size + 12 AS BIGINT) AS text_bytes FROM part")
 def _(spark, folder):
+    """The table function, which gets batches of rows."""
     register.register_all(spark)
     _png_chunks(spark, folder).createOrReplaceTempView("__blobs")
-    return spark.sql("""SELECT p_partkey, count(*) AS n_segments, sum(if(kind = 'tEXt', length, 0)) AS text_bytes
- FROM __blobs, LATERAL container_segments(content) GROUP BY p_partkey""")
+    return spark.sql("""SELECT CAST(key AS BIGINT) AS p_partkey, count(*) AS n_segments, sum(if(kind = 'tEXt', length, 0)) AS text_bytes
+ FROM container_segments(TABLE(SELECT p_partkey AS key, content FROM __blobs)) GROUP BY key""")
+
+
+@query("sql_png_header", f"SELECT p_partkey, CASE WHEN valid THEN width END AS width, CASE WHEN valid THEN height END AS height, CASE WHEN valid THEN color_type END AS color_type, CASE WHEN valid THEN color_type IN (4, 6) END AS has_alpha FROM ({W.PNG})")
+def _(spark, folder):
+    register.register_all(spark)
+    W.png_assets(spark, folder).createOrReplaceTempView("__heads")
+    return spark.sql("SELECT p_partkey, h.width, h.height, h.color_type, h.has_alpha FROM (SELECT p_partkey, png_header(content) AS h FROM __heads)")
+
+
+@query("sql_mad", "SELECT o_orderpriority AS grp, mad(o_totalprice) AS mad FROM orders GROUP BY 1", rounded="mad")
+def _(spark, folder):
+    """MAD by its SQL name over a view."""
+    read_table(spark, folder, "orders").selectExpr("o_orderpriority AS grp", "o_totalprice AS value").createOrReplaceTempView("__samples")
+    register.register_statistics(spark, "__samples")
+    return spark.sql("SELECT grp, mad FROM mad()")
+
+
+_PAIR = """(SELECT count(*) FILTER (WHERE s = 'O') AS na, count(*) FILTER (WHERE s = 'F') AS nb, avg(v) FILTER (WHERE s = 'O') AS ma, avg(v) FILTER (WHERE s = 'F') AS mb,
+ var_samp(v) FILTER (WHERE s = 'O') AS va, var_samp(v) FILTER (WHERE s = 'F') AS vb FROM (SELECT o_orderstatus AS s, o_totalprice AS v FROM orders))"""
+
+
+@query(
+    "sql_welch",
+    f"""SELECT (ma - mb) / sqrt(va / na + vb / nb) AS t, pow(va / na + vb / nb, 2) / (pow(va / na, 2) / (na - 1) + pow(vb / nb, 2) / (nb - 1)) AS df,
+ (ma - mb) / sqrt(((na - 1) * va + (nb - 1) * vb) / (na + nb - 2)) AS d FROM {_PAIR}""",
+    rounded="t df d",
+)
+def _(spark, folder):
+    """Welch's t and Cohen's d by their SQL names."""
+    read_table(spark, folder, "orders").selectExpr("o_orderstatus AS grp", "o_totalprice AS value").createOrReplaceTempView("__samples")
+    register.register_statistics(spark, "__samples")
+    return spark.sql("SELECT t, df, d FROM welch('O', 'F'), cohens_d('O', 'F')")
 
 
 # --- estimates -------------------------------------------------------------------------------------

@@ -513,12 +513,21 @@ def _(spark, folder):
     return C.case_detail(iters, cases_of(spark, folder))
 
 
+#: Errors of five kinds by the order's number: an object, a string, an array, JSON that is cut, plain text.
+_KINDS = """CASE pos // 10 % 5 WHEN 0 THEN '[' || json_extract_string(error, '$.phase') || '] ' || json_extract_string(error, '$.message') WHEN 1 THEN 'said "' || pos || '"'
+ WHEN 2 THEN '["a",' || pos || ']' WHEN 3 THEN '{"phase":"x","message":"' || pos ELSE 'ValueError: ' || pos END"""
+
+
 @query(
     "failure_summary",
-    f"""WITH bad AS (SELECT format, pos, case_id, '[' || json_extract_string(error, '$.phase') || '] ' || json_extract_string(error, '$.message') AS failure
-  FROM ({W.ITERATIONS}) WHERE error IS NOT NULL)
+    f"""WITH bad AS (SELECT format, pos, case_id, {_KINDS} AS failure FROM ({W.ITERATIONS}) WHERE error IS NOT NULL)
  SELECT format, row_number() OVER w AS rank, case_id, failure, count(*) OVER (PARTITION BY format) AS n_failures FROM bad
  WINDOW w AS (PARTITION BY format ORDER BY pos, case_id) QUALIFY rank <= 10""",
 )
 def _(spark, folder):
-    return C.failure_summary(W.iterations(spark, folder), ["format"])
+    """Objects, strings, arrays, broken JSON and plain text as errors."""
+    pos, kind = F.col("pos"), F.floor(F.col("pos") / 10) % 5
+    text = F.when(kind == 0, F.col("error")).when(kind == 1, F.concat(F.lit('"said \\"'), pos, F.lit('\\""'))).when(kind == 2, F.concat(F.lit('["a",'), pos, F.lit("]")))
+    text = text.when(kind == 3, F.concat(F.lit('{"phase":"x","message":"'), pos)).otherwise(F.concat(F.lit("ValueError: "), pos))
+    iters = W.iterations(spark, folder).withColumn("error", F.when(F.col("error").isNotNull(), text))
+    return C.failure_summary(iters, ["format"])
