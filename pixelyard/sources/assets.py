@@ -10,7 +10,7 @@ from pixelyard import constants as K
 
 def scan_assets(spark: SparkSession, path: str, max_bytes: int = K.MAX_FILE_BYTES, recursive: bool = True) -> DataFrame:
     """(path, modificationTime, length, content) of files up to ``max_bytes``. The size filter is
-    pushed to the source: larger files are listed but never opened."""
+    pushed to the source: larger files are listed but never opened. Files without bytes are left out by the source."""
     return _files(spark, path, recursive).where(F.col("length") <= max_bytes)
 
 
