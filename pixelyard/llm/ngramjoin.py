@@ -107,18 +107,19 @@ def _filter_places(values: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarra
 
 
 class IdFilter:
-    """A Bloom filter of a table's whole numbers, built in tasks and broadcast: two bits of sixteen for
+    """A Bloom filter of the whole numbers in a table's columns, built in tasks and broadcast: two bits of sixteen for
     each number up to ``FILTER_BITS``. It lets every number of the table through and few others,
     so that a join shuffles little more than what it keeps. Results never depend on it."""
 
     def __init__(self, ids: DataFrame, most_bits: int = FILTER_BITS, fan_in: int = 64):
-        self.bits = bits = min(most_bits, 1 << max(10, (16 * ids.count()).bit_length()))
+        self.bits = bits = min(most_bits, 1 << max(10, (16 * len(ids.columns) * ids.count()).bit_length()))
 
         def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             table = np.zeros(bits, bool)
             for batch in batches:
-                for places in _filter_places(batch.column(0).to_numpy(), bits):
-                    table[places] = True
+                for column in batch.columns:
+                    for places in _filter_places(column.to_numpy(), bits):
+                        table[places] = True
             if table.any():
                 yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(np.packbits(table).tobytes(), 1)], pa.binary())], names=["bits"])
 
@@ -424,12 +425,10 @@ def join_components(docs: DataFrame, size: int = 4, percent: int = 85, id_col: s
             fits = F.expr(f"x_comp <> comp AND 100 * least(x_n, n) >= {percent} * greatest(x_n, n){fresh} AND {once}")
             pairs = minor.join(rows, "signature").where(fits).select(F.least("x_doc_id", "doc_id").alias("a"), F.greatest("x_doc_id", "doc_id").alias("b"))
             pairs = scratch.write("pairs", pairs.distinct())
-            ends = lambda p: p.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-            ranges = IdFilter(scratch.write("ends", ends(pairs))).of(sets.select("doc_id", "ranges"))
+            ranges = IdFilter(pairs).of(sets.select("doc_id", "ranges"))
             near = pairs.join(ranges.select(F.col("doc_id").alias("b"), F.col("ranges").alias("rb")), "b").join(ranges.select(F.col("doc_id").alias("a"), F.col("ranges").alias("ra")), "a")
             pairs = scratch.write("pairs", near.select("a", "b", "ra", "rb").mapInArrow(_possible_pairs(percent), "a long, b long").distinct())
-            needed = scratch.write("ends", ends(pairs))
-            few = scratch.write("few", IdFilter(needed).of(sets.select("doc_id", "values")).join(needed, "doc_id").select("doc_id", "values"))
+            few = scratch.write("few", IdFilter(pairs).of(sets.select("doc_id", "values")))
             right = pairs.join(few.select(F.col("doc_id").alias("b"), F.col("values").alias("vb")), "b")
             full = right.join(few.select(F.col("doc_id").alias("a"), F.col("values").alias("va")), "a").select("a", "b", "va", "vb")
             links = labels.ends(scratch.write("linked", full.mapInArrow(_linked_pairs(percent), "a long, b long")))
