@@ -168,7 +168,8 @@ def mix(docs: DataFrame, weights: Mapping[str | None, float] | None = None, expo
     sizes = rows.groupBy("__s", "__bucket").count()
     before = sizes.withColumn("__before", F.expr("sum(count) OVER (PARTITION BY __s ORDER BY __bucket)") - F.col("count"))
     held = before.select("__s", "__bucket", "__before", F.explode(F.expr(f"sequence(__before div {block}, (__before + count - 1) div {block})")).alias("mix_block"))
-    held = held.join(slots, ["__s", "mix_block"], "left" if until == "all" else "inner")
+    # A row for each block: Spark takes what comes from a one-row range for tiny, so the join is told not to broadcast it.
+    held = held.join(slots.hint("merge"), ["__s", "mix_block"], "left" if until == "all" else "inner")
     held = held.groupBy("__s", "__bucket").agg(F.first("__before").alias("__before"), F.collect_list(F.struct("mix_block", "mix_phase", "mix_slot", "mix_release", "mix_deadline")).alias("__slots"))
     held = held.select("__s", "__bucket", "__before", F.array_sort("__slots").alias("__slots"))
     # Dealt and sorted by bucket for the window, the rows stay where they are for the join.

@@ -79,20 +79,20 @@ class Tree:
                     waiting += kids
         return np.array([self.leaf_of[int(n)] for n in node], np.int64) if len(x) else np.empty(0, np.int64)
 
-    def visits(self, query: np.ndarray, most: int) -> list[int]:
-        """Leaves in the order of a best-bin-first walk: the nearest open branch of the whole tree comes next."""
+    def visits(self, query: np.ndarray) -> Iterator[int]:
+        """All leaves in the order of a best-bin-first walk: the nearest open branch of the whole tree comes
+        next. The walk goes on only as far as leaves are taken from it."""
         q = np.append(query, 0.0)
-        queue, out = [(0.0, 0)], []
-        while queue and len(out) < most:
+        queue = [(0.0, 0)]
+        while queue:
             _, node = heapq.heappop(queue)
             kids = self.children[node]
             if not kids:
-                out.append(self.leaf_of[node])
+                yield self.leaf_of[node]
                 continue
             gaps = self.centres[kids] - q
             for d, kid in zip(np.einsum("ij,ij->i", gaps, gaps).tolist(), kids, strict=True):
                 heapq.heappush(queue, (d, kid))
-        return out
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -164,7 +164,8 @@ def search(rows: DataFrame, is_query, k: int = 20, vector_col: str = "embedding"
 
     Nearness is the inner product in double precision; ties go to the smaller vec_id; a query is no
     candidate of its own. Vectors that are null, zero, or hold a null or non-finite component take no
-    part; the others must be of one length. Fewer than ``k`` candidates: all of them. Rows that repeat
+    part, and neither do vectors of another length than most have (of two lengths that are as frequent,
+    the longer). Fewer than ``k`` candidates: all of them. Rows that repeat
     an id and vector count once for each row. An empty input gives no rows.
 
     1. Equal vectors are one class (with its ``k + 1`` smallest ids, which is all a result can need), so
@@ -183,6 +184,8 @@ def search(rows: DataFrame, is_query, k: int = 20, vector_col: str = "embedding"
     plain = usable(rows, vector_col).select(F.col("vec_id").cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("vector"), is_query.alias("asks"))
     # -0.0 equals 0.0.
     plain = plain.withColumn("vector", F.transform("vector", lambda x: x + F.lit(0.0)))
+    lengths = plain.groupBy(F.size("vector").alias("size")).count().orderBy(F.desc("count"), F.desc("size")).first()
+    plain = plain.where(F.size("vector") == (lengths["size"] if lengths else 0))
     plain = scratch.write("vectors", plain.withColumns({"h1": F.xxhash64("vector"), "h2": F.xxhash64("vector", F.lit(1))}))
     salted = Window.partitionBy("h1", "h2", "salt").orderBy("vec_id")
     whole = Window.partitionBy("h1", "h2").orderBy("vec_id")
@@ -225,7 +228,7 @@ def search(rows: DataFrame, is_query, k: int = 20, vector_col: str = "embedding"
     asked = {r["id"]: np.array(r["vector"]) for r in trial.collect()}
     ranks = []
     for q, found in truth.items():
-        order = {leaf: i for i, leaf in enumerate(tree.visits(asked[q], tree.leaves))}
+        order = {leaf: i for i, leaf in enumerate(tree.visits(asked[q]))}
         ranks.append([order[leaf] for leaf in found])
     visits = 1
     while visits < tree.leaves and np.mean([np.mean(np.array(r) < visits) for r in ranks] or [1.0]) < recall:
@@ -236,7 +239,7 @@ def search(rows: DataFrame, is_query, k: int = 20, vector_col: str = "embedding"
             vectors, row, leaf = _matrix(batch.column(1)), [], []
             for i in range(len(vectors)):
                 held = 0
-                for n, to in enumerate(sent.value.visits(vectors[i], sent.value.leaves if total <= 50 * (k + 1) else 4 * visits)):
+                for n, to in enumerate(sent.value.visits(vectors[i])):
                     if n >= visits and held > k:
                         break
                     held += sizes.get(to, 0)

@@ -305,6 +305,8 @@ def round_trip(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     folder = Scratch(spark, "warc").root
     records(pages, min_bytes=min_bytes).write.format("warc").mode("append").save(folder)
     back = spark.read.format("warc").load(folder)
+    # By record type, which the source takes as a predicate: revisits are told by their headers alone.
+    responses, revisits = (back.where(F.col("record_type") == kind) for kind in ("response", "revisit"))
 
     def digests(batches):
         import pyarrow as pa
@@ -314,6 +316,8 @@ def round_trip(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
             found = [f"sha1:{base64.b32encode(hashlib.sha1(x).digest()).decode()}" if x is not None else s for s, x in zip(said, read, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(found, pa.string()), batch.column(4)], names=["record_id", "record_type", "refers_to", "payload_digest", "payload_bytes"])
 
-    out = back.select("record_id", "record_type", "refers_to", "payload_digest", "payload_bytes", "payload").mapInArrow(digests, "record_id string, record_type string, refers_to string, payload_digest string, payload_bytes long")
+    names = ["record_id", "record_type", "refers_to", "payload_digest", "payload_bytes"]
+    out = responses.select(*names, "payload").mapInArrow(digests, "record_id string, record_type string, refers_to string, payload_digest string, payload_bytes long")
+    out = out.unionByName(revisits.select(*names))
     return out.select(page_of("record_id").alias("page_id"), "payload_bytes", F.regexp_replace("payload_digest", "^sha1:", "").alias("payload_digest"), "record_type", page_of("refers_to").alias("refers_to"))
 

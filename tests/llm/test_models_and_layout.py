@@ -313,3 +313,42 @@ def test_pipeline_stages(spark):
     assert names == ["toxicity", "line_dedup", "ngram_jaccard_join", "mix_sources", "best_fit_packing"]
     whole = corpus_pipeline.run(spark, folder)
     assert Counter((r.doc_id, r.piece, r.length, r.ids_crc32) for r in whole.collect()) == Counter((r.doc_id, r.piece, r.length, r.ids_crc32) for r in new)
+
+
+def test_stages_take_odd_rows_and_none(spark, odd, none):
+    """Nulls, empty and very long texts, repeats and clashing columns: filtering stages keep the columns and lose no clean row."""
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, odd, "/root/testdata/sf0.001")
+        assert kept.columns == odd.columns, name
+        ids = Counter(r.doc_id for r in kept.select("doc_id").collect())
+        assert name == "toxicity" or set(ids) >= {None, 1, 4, 5, 7, 9, 14}, name
+        assert stage(spark, none, "/root/testdata/sf0.001").count() == 0, name
+    name, pack = corpus_pipeline.STAGES[-1]
+    pieces = pack(spark, odd, "/root/testdata/sf0.001").collect()
+    assert {r.doc_id for r in pieces} == {r.doc_id for r in odd.select("doc_id").collect()}
+    assert pack(spark, none, "/root/testdata/sf0.001").count() == 0
+
+
+def test_vectors_of_another_length_take_no_part(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, rng.normal(size=8).tolist()) for i in range(60)] + [(100 + i, rng.normal(size=5).tolist()) for i in range(20)]
+    got = neighbours.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0, k=5)
+    found = got.collect()
+    assert {r.query_id for r in found} == {0, 20, 40} and all(r.vec_id < 100 for r in found) and len(found) == 15
+
+
+def test_archives_are_read_through_pushed_record_types(spark):
+    pages = spark.createDataFrame([(1, "u", "same"), (2, "u", "same"), (3, "v", None)], "page_id long, url string, html string")
+    out = warc.round_trip(pages)
+    assert {(r.page_id, r.record_type, r.refers_to) for r in out.collect()} == {(1, "revisit", 2), (2, "response", None), (3, "response", None)}
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "record_type" not in "".join(line for line in plan.splitlines() if "Filter" in line and "PushedFilters" not in line), plan
+
+
+def test_the_schedule_is_never_broadcast(spark):
+    docs = spark.createDataFrame([(i, "ab"[i % 3 == 0]) for i in range(400)], "doc_id long, source string")
+    out = mixing.mix(docs, block=8)
+    assert out.count() == 400
+    plan = out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    joins = [line for line in plan.splitlines() if "Join" in line and "mix_block" in line]
+    assert joins and not any("Broadcast" in line for line in joins)

@@ -8,6 +8,7 @@ from collections import defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from pixelyard.llm import exactdedup, linededup, ngramjoin, secrets
 from pixelyard.llm.components import contract
@@ -177,6 +178,16 @@ def test_one_of_each(odd, odd_rows):
     assert sorted(-1 if r.doc_id is None else r.doc_id for r in kept.collect()) == [-1, *want]
 
 
+@pytest.mark.parametrize("bits", [1 << 10, 1 << 20])
+def test_filters_let_all_ids_through(spark, bits):
+    """However small it is, a filter loses none of its numbers; with room it lets few others through."""
+    ids = spark.range(0, 6000, 3, 4)
+    found = ngramjoin.IdFilter(ids, most_bits=bits)
+    left = {r.id for r in found.of(spark.range(6000).select("id", F.lit("x").alias("y"))).collect()}
+    assert left >= set(range(0, 6000, 3)) and (bits == 1 << 10 or len(left) < 2200)
+    assert ngramjoin.IdFilter(ids.where("id < 0")).of(ids).count() == 0
+
+
 def test_sketch_bounds_what_is_shared():
     rng = np.random.default_rng(3)
     for n, m in ((10, 12), (200, 180), (5000, 300), (70, 70)):
