@@ -19,25 +19,31 @@ ORACLE_SQL = None
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose calibrated toxicity is at least 0.7 go. The model learns from the labelled
-    documents of the input; scores never read labels."""
+    documents of the input; scores never read labels. Null and empty texts are scored like others, rows that repeat
+    alike; without labels nothing is dropped. Extra columns pass through, whatever their names; no rows give none."""
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir.rstrip('/')}/labels.parquet"), most=20_000)
     return toxicity.without_toxic(docs, model, threshold=0.7)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines of 20 characters or more that three documents share stay in the largest doc_id only; n_chars follows the text."""
+    """Lines of 20 characters or more that three documents share stay in the largest doc_id only; n_chars (a
+    column of documents, which must be there) follows the text. A null text becomes ''; a row with a null id counts as no
+    document; repeated rows are reduced alike. Extra columns pass through; no rows give none."""
     out = linededup.dedup_lines(docs, min_chars=20, min_docs=3)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by five-word shingles at a similarity of 0.8 or more, the smallest doc_id stays."""
+    """Of documents linked by five-word shingles at a similarity of 0.8 or more, the smallest doc_id stays. Null and
+    empty texts link with nothing; rows with a null id stay; of rows that repeat an id one stays. Extra columns pass
+    through; no rows give none."""
     return ngramjoin.one_of_each(docs, size=5, percent=80)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents in the order of the mix in which a source of n documents weighs n ** 0.9; where a source
-    has run out, the others go on in its further phases."""
+    has run out, the others go on in its further phases. A null source is a source of its own; null texts and repeated
+    rows keep their places. Extra columns pass through; no rows give none."""
     mixed = mixing.mix(docs, exponent=0.9, block=8, until="all")
     # In as many ranges as the shuffle has partitions, each sorted: the files follow the schedule.
     ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -45,7 +51,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All tokens of the mix in sequences of at most 2048."""
+    """All tokens of the mix in sequences of at most 2048. A null text counts as empty, which is one end token; repeated
+    rows are packed each by itself; other columns are left out; no rows give none."""
     import public_tokenizers
 
     return packing.pack(packing.tokenize(docs, public_tokenizers.path("byte_bpe_50k.json"), width=2048), width=2048)
