@@ -304,9 +304,9 @@ def round_trip(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     register(spark)
     folder = Scratch(spark, "warc").root
     records(pages, min_bytes=min_bytes).write.format("warc").mode("append").save(folder)
-    back = spark.read.format("warc").load(folder)
-    # By record type, which the source takes as a predicate: revisits are told by their headers alone.
-    responses, revisits = (back.where(F.col("record_type") == kind) for kind in ("response", "revisit"))
+    # By record type, which the source takes as a predicate: revisits are told by their headers alone. Each
+    # is a reading of its own, because a source keeps what was pushed to it.
+    responses, revisits = (spark.read.format("warc").load(folder).where(F.col("record_type") == kind) for kind in ("response", "revisit"))
 
     def digests(batches):
         import pyarrow as pa
