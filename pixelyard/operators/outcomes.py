@@ -54,11 +54,13 @@ def best_candidate(
 def cap_reduction(
     ladder: DataFrame, keys: Sequence[str], target, original="original_size", size="size", quality="quality"
 ) -> DataFrame:
-    """Lowest quality whose reduction stays within ``target`` percent; NULL if none does."""
+    """Lowest quality whose reduction stays within ``target`` percent, and the smallest size at it; NULL if
+    none does."""
     target = F.lit(float(target)) if isinstance(target, (int, float)) else _c(target)
     within = reduction_pct(original, size, None) <= target
     at = F.when(within, _c(quality))
-    return ladder.groupBy(*keys).agg(F.min(at).alias("quality"), F.min_by(_c(size), at).alias("size"))
+    order = F.when(at.isNotNull(), F.struct(at.alias("quality"), _c(size).alias("size")))
+    return ladder.groupBy(*keys).agg(F.min(at).alias("quality"), F.min_by(_c(size), order).alias("size"))
 
 
 def outcome_summary(
