@@ -228,7 +228,7 @@ def _(spark, folder):
 @query(
     "manifest_rejects",
     f"""SELECT problem, count(*) AS n FROM (SELECT 'missing name' AS problem FROM ({ENTRIES}) WHERE p_partkey % 17 = 0 AND p_partkey // 500 % 3 <> 2
- UNION ALL SELECT DISTINCT 'unsupported_version' || substr('', p_partkey // 500) FROM part WHERE p_partkey // 500 % 3 = 2) GROUP BY 1""",
+ UNION ALL SELECT 'unsupported_version' FROM (SELECT DISTINCT p_partkey // 500 FROM part WHERE p_partkey // 500 % 3 = 2)) GROUP BY 1""",
 )
 def _(spark, folder):
     return manifests.rejected_entries(spark, _manifests(spark, folder)).groupBy("problem").agg(F.count(F.lit(1)).alias("n"))

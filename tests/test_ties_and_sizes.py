@@ -33,3 +33,11 @@ def test_cap_reduction_agrees_with_its_sql_on_ties(spark, tmp_path):
     spark.createDataFrame(rows, LINE).coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
     ours, theirs = both(spark, tmp_path, "cap_reduction")
     assert ours == theirs and all(size == 70_000 for _, _, size in ours)
+
+
+def test_every_refused_manifest_is_counted(spark, tmp_path):
+    """Of 4,000 parts in eight documents, the third, sixth and no other are refused; none of fewer than 1,000."""
+    part = spark.range(4000).select(F.col("id").alias("p_partkey"), F.lit("n").alias("p_name"), F.lit("b").alias("p_brand"), F.lit("t").alias("p_type"), F.lit(1).alias("p_size"))
+    part.coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    ours, theirs = both(spark, tmp_path, "manifest_rejects")
+    assert ours == theirs and dict(ours)["unsupported_version"] == 2
