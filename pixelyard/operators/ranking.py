@@ -19,17 +19,28 @@ def _c(x) -> Column:
 def first_per_case(
     iters: DataFrame, keys: Sequence[str] = ("case_id",), position="pos", ok: Column | None = None
 ) -> DataFrame:
-    """First row by position of every key, among rows where ``ok`` holds.
+    """First row by position of every key, among rows where ``ok`` holds; rows of one position go by
+    their other columns in order, NULL first.
 
-    An aggregate (min_by on a struct), so each partition sends one row per key whatever the
+    An aggregate (the smallest struct), so each partition sends one row per key whatever the
     skew; a ranking window would send every row of a hot key to one task.
     """
     rows = iters if ok is None else iters.where(ok)
     rest = [c for c in iters.columns if c not in keys]
-    best = rows.groupBy(*keys).agg(F.min_by(F.struct(*rest), _c(position)).alias("__first"))
+    best = rows.groupBy(*keys).agg(first_row(iters, rest, position).alias("__first"))
     return best.select(*[F.col(k) if k in keys else F.col(f"__first.{k}").alias(k) for k in iters.columns])
 
 
+def first_row(df: DataFrame, columns: Sequence[str], position="pos") -> Column:
+    """Aggregate: a struct of ``columns`` in the first row by position, then by those of the columns that have an
+    order (maps have none). Rows without a position take no part."""
+    ordered = [c for c in columns if not any(kind in df.schema[c].dataType.simpleString() for kind in ("map<", "variant"))]
+    placed = _c(position).isNotNull()
+    if len(ordered) == len(columns):
+        return F.min(F.when(placed, F.struct(_c(position).alias("__at"), *columns)))
+    return F.min_by(F.struct(*columns), F.when(placed, F.struct(_c(position).alias("__at"), *ordered)))
+
+
 def ssim_floor(preset) -> Column:
     return lookup(K.SSIM_FLOOR, F.lower(_c(preset)), K.SSIM_FLOOR_DEFAULT)
 

@@ -503,7 +503,8 @@ def _(spark, folder):
 @query(
     "case_detail",
     f"""SELECT f.case_id, f.format, f.preset, f.pos, f.method, f.reduction_pct, f.ssim, f.psnr_db, f.size_rel_error_pct, f.error, c.iterations, c.p50_ms, c.p95_ms
- FROM (SELECT * FROM ({W.ITERATIONS}) QUALIFY row_number() OVER (PARTITION BY case_id ORDER BY pos) = 1) f LEFT JOIN ({CASES}) c USING (case_id)""",
+ FROM (SELECT * FROM ({W.ITERATIONS}) 
+ QUALIFY row_number() OVER (PARTITION BY case_id ORDER BY pos, reduction_pct NULLS FIRST, ssim NULLS FIRST, psnr_db NULLS FIRST, size_rel_error_pct NULLS FIRST, error NULLS FIRST) = 1) f LEFT JOIN ({CASES}) c USING (case_id)""",
     rounded="reduction_pct ssim psnr_db size_rel_error_pct p50_ms p95_ms", digits=8,
 )
 def _(spark, folder):

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from pixelyard.operators import outcomes as O
+from pixelyard.operators.ranking import first_per_case
 
 
 def both(spark, folder, name):
@@ -41,3 +42,17 @@ def test_every_refused_manifest_is_counted(spark, tmp_path):
     part.coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
     ours, theirs = both(spark, tmp_path, "manifest_rejects")
     assert ours == theirs and dict(ours)["unsupported_version"] == 2
+
+
+def test_case_detail_orders_rows_of_one_position(spark, tmp_path):
+    """Rows of a case at one position, in both orders: the first is told by the other columns."""
+    rows = [(k, k, 1, 2, 1.0 + i, 1000.0 * (i + 1), 0.01 * (i if k % 2 else 9 - i), 0.0, "A") for k in range(40) for i in range(10)]
+    spark.createDataFrame(rows, LINE).coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    ours, theirs = both(spark, tmp_path, "case_detail")
+    assert ours == theirs and {r[5] for r in ours} == {0.0}
+
+
+def test_first_row_without_an_order_of_maps(spark):
+    df = spark.createDataFrame([("a", 1, "y", {"m": 1}), ("a", 1, "x", {"m": 2}), ("a", None, "w", {}), ("b", None, "w", {})], "case_id string, pos int, s string, m map<string,int>")
+    got = {r["case_id"]: (r["pos"], r["s"], r["m"]) for r in first_per_case(df).collect()}
+    assert got == {"a": (1, "x", {"m": 2}), "b": (None, None, None)}
