@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -59,13 +59,14 @@ def ssim_of(ref: np.ndarray, dist: np.ndarray, window: int = 11) -> float | None
     return float(ssim_stack(ref[None], dist[None], window)[0]) if ref.shape == dist.shape else None
 
 
-#: Values in one stack of images.
-STACK = 1 << 22
+#: Values that one stack of images is worked on with: a few MB in each intermediate array.
+STACK = 1 << 18
 
 
-def stacks(shape: list[pa.Array], *columns: pa.Array) -> Iterator[tuple[np.ndarray, tuple[int, int, int], list[np.ndarray]]]:
+def stacks(shape: list[pa.Array], *columns: pa.Array, work: Callable[[int, int, int], int]) -> Iterator[tuple[np.ndarray, tuple[int, int, int], list[np.ndarray]]]:
     """Images of equal shape together: row numbers, (height, width, channels), and an (N, H, W, C) array
-    for each column of lists or bytes. Rows with nulls or of another length are left out."""
+    for each column of lists or bytes. Rows with nulls or of another length are left out. ``work`` is the number of
+    values that an image of a shape becomes on the way; a stack holds ``STACK`` of them, or one image."""
     sides = np.column_stack([s.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) for s in shape])
     size, flat, begins = sides.prod(1), [], []
     ok = (sides > 0).all(1)
@@ -85,7 +86,7 @@ def stacks(shape: list[pa.Array], *columns: pa.Array) -> Iterator[tuple[np.ndarr
     shapes, number = np.unique(sides[rows], axis=0, return_inverse=True)
     for k, (h, w, n) in enumerate(shapes.tolist()):
         same = rows[number.ravel() == k]
-        step = max(1, STACK // (h * w * n))
+        step = max(1, STACK // max(h * w * n, work(h, w, n)))
         for at in range(0, len(same), step):
             part = same[at : at + step]
             yield part, (h, w, n), [f[b[part][:, None] + np.arange(h * w * n)].reshape(-1, h, w, n) for f, b in zip(flat, begins, strict=True)]
@@ -95,7 +96,7 @@ def stacks(shape: list[pa.Array], *columns: pa.Array) -> Iterator[tuple[np.ndarr
 def ssim(ref: pa.Array, dist: pa.Array, height: pa.Array, width: pa.Array, channels: pa.Array) -> pa.Array:
     """SSIM of flattened row-major arrays; NULL where one is missing or of another size."""
     out, known = np.zeros(len(ref)), np.zeros(len(ref), bool)
-    for rows, _, (a, b) in stacks([height, width, channels], ref, dist):
+    for rows, _, (a, b) in stacks([height, width, channels], ref, dist, work=lambda h, w, c: (h + 10) * (w + 10) * c):
         out[rows], known[rows] = ssim_stack(a, b), True
     return pa.array(out, mask=~known | np.isnan(out))
 
@@ -164,7 +165,7 @@ def thumbnail_features(height: pa.Array, width: pa.Array, channels: pa.Array, da
     """Colour and edge features of images from Spark's image source (BGR(A) bytes, one, three or four
     channels); NULL for others."""
     out, known = np.zeros((3, len(data))), np.zeros(len(data), bool)
-    for rows, (_, _, c), (images,) in stacks([height, width, channels], data):
+    for rows, (_, _, c), (images,) in stacks([height, width, channels], data, work=lambda h, w, c: THUMB * max(THUMB, w) * c):
         if c in (1, 3, 4):
             rgb = images if c == 1 else images[..., [2, 1, 0, *range(3, c)]]
             out[:, rows], known[rows] = features_stack(rgb), True

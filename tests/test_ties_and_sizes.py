@@ -1,10 +1,13 @@
 """Ties have one answer, and SQL holds for tables of any size."""
 
 import duckdb
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from pixelyard.functions import pixels
 from pixelyard.operators import outcomes as O
 from pixelyard.operators.ranking import first_per_case
 
@@ -56,3 +59,16 @@ def test_first_row_without_an_order_of_maps(spark):
     df = spark.createDataFrame([("a", 1, "y", {"m": 1}), ("a", 1, "x", {"m": 2}), ("a", None, "w", {}), ("b", None, "w", {})], "case_id string, pos int, s string, m map<string,int>")
     got = {r["case_id"]: (r["pos"], r["s"], r["m"]) for r in first_per_case(df).collect()}
     assert got == {"a": (1, "x", {"m": 2}), "b": (None, None, None)}
+
+
+def test_small_images_are_worked_on_in_bounded_stacks(monkeypatch):
+    """A batch of 8x8 images grows to 64x64 thumbnails and padded planes: no stack of them exceeds the bound."""
+    n, seen = 10_000, []
+    shape = [pa.array(np.full(n, s, np.int32)) for s in (8, 8, 1)]
+    data = pa.array([bytes([i % 251] * 64) for i in range(n)], pa.binary())
+    planes = pa.array(np.random.default_rng(1).random((n, 64)).tolist())
+    for name, side in (("features_stack", 64), ("ssim_stack", 18)):
+        whole = getattr(pixels, name)
+        monkeypatch.setattr(pixels, name, lambda x, *rest, whole=whole, side=side: seen.append(len(x) * side * side) or whole(x, *rest))
+    features, scores = pixels.thumbnail_features.func(*shape, data), pixels.ssim.func(planes, planes, *shape)
+    assert max(seen) <= pixels.STACK and features.null_count == 0 and scores.to_pylist() == [1.0] * n
