@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pixelyard.functions.stats import sample_std
-from pixelyard.operators.ranking import first_per_case, last_n, top_k
+from pixelyard.operators.ranking import first_per_case, first_row, last_n, top_k
 from pixelyard.plans import quantiles
 from pixelyard.plans.running import with_running_sum
 from pixelyard.plans.scale import join_on
@@ -53,35 +53,44 @@ _FIRST_FIELDS = ("name", "bucket", "format", "preset", "reduction_pct", "method"
 
 def summarize_cases(
     iters: DataFrame, keys: Sequence[str] = ("case_id",), wall: str = "wall_ms", error: str | None = None,
-    position: str | None = None,
+    position: str | None = None, wanted: Sequence[str] | None = None, first: Sequence[str] = (), few: bool = False, reread: bool = False,
 ) -> DataFrame:
     """Robust statistics per case; failed rows do not count.
 
     Measures that are not in the input are left out. Metadata and the memory curve come from the
-    first row by ``position``. The ordered raw values of a case stay rows (``case_values``): a
-    list per case would put an unbounded group into one row.
+    first row by ``position``, as do further columns named by ``first``. The ordered raw values of a
+    case stay rows (``case_values``): a list per case would put an unbounded group into one row.
+
+    ``wanted`` names the statistics and metadata to compute beside ``iterations`` (default all); ``few`` and
+    ``reread`` are those of ``quantiles.aggregate``.
     """
     rows = iters if error is None else iters.where(~failed(error))
-    specs, whole = [], []
-    for column, wanted in _CASE_PERCENTILES.items():
+    asked = lambda name: wanted is None or name in wanted
+    specs, integers = [], []
+    for column, percentiles in _CASE_PERCENTILES.items():
         source = wall if column == "wall_ms" else column
         if source in rows.columns:
-            specs += [(name, source, p) for name, p, _ in wanted]
-            whole += [name for name, _, truncated in wanted if truncated]
-    aggs = [
-        F.count(F.lit(1)).alias("iterations"),
-        F.avg(wall).alias("mean_ms"),
-        sample_std(wall).alias("stdev_ms"),
-        F.min(wall).alias("min_ms"),
-        F.max(wall).alias("max_ms"),
-    ]
-    carried = [c for c in _FIRST_FIELDS if c in rows.columns and c not in keys]
-    out = quantiles.aggregate(rows, keys, specs, aggs, deviations=[("mad_ms", wall)])
-    if position and carried:
-        # Apart from the counts: a row of strings as an aggregate would make Spark sort what it counts.
-        first = first_per_case(rows.select(*keys, *carried, position), keys, position).select(*keys, *carried)
-        out = join_on(out, first, keys, "left")
-    return out.withColumn("median_ms", F.col("p50_ms")).withColumns({c: F.col(c).cast("bigint") for c in whole})
+            specs += [(name, source, p) for name, p, _ in percentiles if asked(name) or (name == "p50_ms" and asked("median_ms"))]
+            integers += [name for name, _, truncated in percentiles if truncated and asked(name)]
+    plain = {"mean_ms": F.avg(wall), "stdev_ms": sample_std(wall), "min_ms": F.min(wall), "max_ms": F.max(wall)}
+    aggs = [F.count(F.lit(1)).alias("iterations"), *[c.alias(name) for name, c in plain.items() if asked(name)]]
+    deviations = [("mad_ms", wall)] if asked("mad_ms") else []
+    carried = [c for c in _FIRST_FIELDS if c in rows.columns and c not in keys and asked(c)] if position else []
+    carried += [c for c in first if c not in carried and c not in keys]
+    measures = [*([wall] if deviations or any(asked(name) for name in plain) else []), *[c for _, c, _ in specs]]
+    slim = rows.select(*dict.fromkeys([*keys, *measures, *([position] if carried else []), *carried]))
+    if carried and not few:
+        aggs.append(first_row(slim, carried, position).alias("__first"))
+    out = quantiles.aggregate(slim, keys, specs, aggs, deviations, few=few, reread=reread)
+    if carried and few:
+        # Apart from the values: a row of strings as an aggregate would make Spark sort what it counts.
+        apart = first_per_case(slim.select(*keys, *carried, position), keys, position).select(*keys, *carried)
+        out = join_on(out, apart, keys, "left")
+    elif carried:
+        out = out.select(*[c for c in out.columns if c != "__first"], *[F.col(f"__first.{c}").alias(c) for c in carried])
+    if asked("median_ms"):
+        out = out.withColumn("median_ms", F.col("p50_ms"))
+    return out.withColumns({c: F.col(c).cast("bigint") for c in integers})
 
 
 def case_values(iters: DataFrame, wall: str = "wall_ms", position: str = "pos", error: str | None = None) -> DataFrame:
@@ -152,7 +161,7 @@ def accuracy_summary(df: DataFrame, fmt: str = "format") -> DataFrame:
         ("size_rel_error_p50", "__size", 50), ("size_rel_error_p95", "__size", 95),
         ("reduction_error_p50", "__red", 50), ("reduction_error_p95", "__red", 95),
     ]
-    return quantiles.aggregate(slim, ["format"], specs, aggs)
+    return quantiles.aggregate(slim, ["format"], specs, aggs, few=True)
 
 
 # --- timing, trend, detail ------------------------------------------------------------------
@@ -160,7 +169,7 @@ def accuracy_summary(df: DataFrame, fmt: str = "format") -> DataFrame:
 
 def format_timing(cases: DataFrame) -> DataFrame:
     specs = [("p50_ms", "p50_ms", 50), ("p95_ms", "p95_ms", 95), ("median_reduction_pct", "reduction_pct", 50)]
-    return quantiles.aggregate(cases, ["format"], specs, [F.count(F.lit(1)).alias("n")])
+    return quantiles.aggregate(cases, ["format"], specs, [F.count(F.lit(1)).alias("n")], few=True)
 
 
 def trend(
@@ -175,7 +184,7 @@ def trend(
     memory = cases.withColumn("__rss", F.col("parent_peak_rss_p95_kb") + F.col("children_peak_rss_p95_kb"))
     kept = memory.join(F.broadcast(newest.select("run_id")), "run_id", "left_semi")  # at most ``limit`` rows
     specs = [("p50_ms", "p50_ms", 50), ("p95_ms", "p95_ms", 50), ("peak_rss_kb", "__rss", 50)]
-    per_format = quantiles.aggregate(kept, ["run_id", "format"], specs, [F.count(F.lit(1)).alias("n")])
+    per_format = quantiles.aggregate(kept, ["run_id", "format"], specs, [F.count(F.lit(1)).alias("n")], few=True)
     n_errors = errors.groupBy("run_id").agg(F.count(F.lit(1)).alias("n_errors"))
     joined = newest.join(per_format, "run_id", "left").join(n_errors, "run_id", "left")
     rnd = (lambda c: c) if digits is None else (lambda c: F.bround(c, digits))
@@ -238,7 +247,8 @@ def memory_table(cases: DataFrame, k: int) -> DataFrame:
 
 
 def case_detail(iters: DataFrame, cases: DataFrame, keys: Sequence[str] = ("case_id",)) -> DataFrame:
-    """First row of every case beside its statistics, quality and accuracy (NULL where absent)."""
+    """First row of every case beside its statistics, quality and accuracy (NULL where absent). Rows of one
+    position go by their other columns in order, NULL first."""
     first = first_per_case(iters, keys)
     stats = cases.select(*keys, "iterations", "p50_ms", "p95_ms")
     return join_on(first, stats, keys, "left")

@@ -211,6 +211,7 @@ def timing_rollup(diffs: DataFrame, fmt: Column | None = None) -> DataFrame:
             F.count_if(F.col("label") == "improvement").alias("n_improvements"),
             F.max("__rank").alias("__worst"),
         ],
+        few=True,
     )
     status = F.when(F.col("__worst") == 3, "regression").when(F.col("__worst") == 2, "noise").when(
         F.col("__worst") == 0, "improvement").otherwise("neutral")
@@ -228,6 +229,7 @@ def compression_rollup(diffs: DataFrame, fmt: Column | None = None) -> DataFrame
             F.bool_or("downgraded_to_none").alias("__broken"),
             F.bool_or("threshold_breach").alias("__breach"),
         ],
+        few=True,
     )
     status = F.when(F.col("__broken"), "regression").when(F.col("__breach"), "noise").otherwise("neutral")
     return out.withColumn("status", status).drop("__broken", "__breach")
@@ -242,6 +244,7 @@ def estimation_rollup(diffs: DataFrame, fmt: Column | None = None) -> DataFrame:
             F.count_if("path_shifted").alias("path_shifts"),
             F.bool_or("error_regressed").alias("__bad"),
         ],
+        few=True,
     )
     return out.withColumn("status", F.when(F.col("__bad"), "noise").otherwise("neutral")).drop("__bad")
 

@@ -45,7 +45,8 @@ def load_case(requests: DataFrame, keys: Sequence[str] = ("case_id",), position:
         F.avg(F.when(ok, F.col("reduction"))).alias("mean_reduction"),
         F.avg(F.when(ok, F.col("size"))).alias("__size"),
     ]
-    base = quantiles.aggregate(rows, keys, specs, aggs)
+    needed = dict.fromkeys([*keys, "__latency", "__wait", "status", "start_ns", "release_ns", "reduction", "size"])
+    base = quantiles.aggregate(rows.select(*needed), keys, specs, aggs)
     methods = (
         requests.where(ok)
         .groupBy(*keys, F.coalesce("method", F.lit("")).alias("method"))
@@ -77,7 +78,7 @@ def load_rollup(cases: DataFrame) -> DataFrame:
         ("median_ok_rate", "ok_rate", 50),
     ]
     sums = [F.sum(c).alias(c) for c in ("n_requests", "n_success", "n_503", "n_error")]
-    out = quantiles.aggregate(with_total(slim, "format"), ["format"], specs, [F.count(F.lit(1)).alias("n_cases"), *sums])
+    out = quantiles.aggregate(with_total(slim, "format"), ["format"], specs, [F.count(F.lit(1)).alias("n_cases"), *sums], few=True)
     return out.withColumn("ok_rate", F.coalesce(F.try_divide("n_success", "n_requests"), F.lit(0.0)))
 
 

@@ -39,7 +39,7 @@ def metric_summary(rows: DataFrame, metrics: Sequence[str] = METRICS) -> DataFra
     entries = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("score")) for m in present])
     long = rows.select("format", F.inline(entries)).where(F.col("score").isNotNull())
     specs = [("median", "score", 50), ("p95", "score", 95)]
-    return quantiles.aggregate(with_total(long, "format"), ["metric", "format"], specs, [F.count(F.lit(1)).alias("n")])
+    return quantiles.aggregate(with_total(long, "format"), ["metric", "format"], specs, [F.count(F.lit(1)).alias("n")], few=True)
 
 
 def quality_summary(iters: DataFrame, position: str = "pos") -> DataFrame:
@@ -51,4 +51,4 @@ def quality_summary(iters: DataFrame, position: str = "pos") -> DataFrame:
         F.count(F.lit(1)).alias("total"),
         F.count_if(F.col("ssim") < ssim_floor("preset")).alias("below_threshold"),
     ]
-    return quantiles.aggregate(rows, ["format"], specs, aggs)
+    return quantiles.aggregate(rows, ["format"], specs, aggs, few=True)

@@ -27,7 +27,7 @@ def _status_name(ordinal: Column) -> Column:
 
 def slo_status(cases: DataFrame, digits: int | None = 1) -> DataFrame:
     """Per (format, bucket): p95 of the cases' p95 latencies against the objective."""
-    grouped = quantiles.aggregate(cases, ["format", "bucket"], [("p95_ms", "p95_ms", 95)], [F.count(F.lit(1)).alias("n_cases")])
+    grouped = quantiles.aggregate(cases, ["format", "bucket"], [("p95_ms", "p95_ms", 95)], [F.count(F.lit(1)).alias("n_cases")], few=True)
     if digits is not None:
         grouped = grouped.withColumn("p95_ms", F.bround("p95_ms", digits))
     slo = latency_slo()
@@ -37,28 +37,28 @@ def slo_status(cases: DataFrame, digits: int | None = 1) -> DataFrame:
     )
 
 
-def _quality(first: DataFrame) -> DataFrame:
-    scored = first.where(F.col("ssim").isNotNull() & ~F.col("format").isin(*K.LOSSLESS_FORMATS))
-    scored = scored.withColumn("__floor", ssim_floor("preset"))
+def _quality_and_accuracy(first: DataFrame) -> DataFrame:
+    """Per format of the cases' first rows: SSIM against the floors, of lossy formats, and the error of the
+    predicted size; NULL where no row has a score."""
+    lossy = ~F.col("format").isin(*K.LOSSLESS_FORMATS)
+    ssim = F.when(lossy, F.col("ssim"))
+    scored = first.select("format", ssim.alias("__ssim"), F.when(ssim.isNotNull(), ssim_floor("preset")).alias("__floor"), F.abs("size_rel_error_pct").alias("__e"))
     return quantiles.aggregate(
-        scored, ["format"], [("ssim_p50", "ssim", 50)],
+        scored, ["format"], [("ssim_p50", "__ssim", 50), ("size_rel_error_p95", "__e", 95)],
         [
-            F.min("ssim").alias("ssim_worst"),
+            F.min("__ssim").alias("ssim_worst"),
             F.min("__floor").alias("ssim_threshold"),
-            F.count_if(F.col("ssim") < F.col("__floor")).alias("n_below"),
+            F.when(F.count("__ssim") > 0, F.count_if(F.col("__ssim") < F.col("__floor"))).alias("n_below"),
         ],
+        few=True,
     )
 
 
-def _accuracy(first: DataFrame) -> DataFrame:
-    errors = first.where(F.col("size_rel_error_pct").isNotNull()).select("format", F.abs("size_rel_error_pct").alias("__e"))
-    return quantiles.aggregate(errors, ["format"], [("size_rel_error_p95", "__e", 95)], [])
-
-
-def scorecard(cases: DataFrame, iters: DataFrame | None = None, digits: bool = True) -> DataFrame:
+def scorecard(cases: DataFrame, iters: DataFrame | None = None, digits: bool = True, first: DataFrame | None = None) -> DataFrame:
     """One row per format. ``cases`` has format, bucket, p95_ms, reduction_pct; ``iters`` (optional:
     without it quality and accuracy stay NULL) has case_id, format, preset, pos, ssim and
-    size_rel_error_pct of rows that did not fail."""
+    size_rel_error_pct of rows that did not fail. ``first`` stands for ``iters`` where the first row of each case is
+    at hand, as in the cases themselves (``summarize_cases(..., first=...)``)."""
     rnd = (lambda c, d: F.bround(c, d)) if digits else (lambda c, d: F.col(c) if isinstance(c, str) else c)
     speed = slo_status(cases, 1 if digits else None)
     per_speed = speed.groupBy("format").agg(
@@ -66,19 +66,16 @@ def scorecard(cases: DataFrame, iters: DataFrame | None = None, digits: bool = T
         F.max(lookup({"ok": 0, "warn": 1, "fail": 2}, F.col("status"))).alias("__speed"),
     )
     base = quantiles.aggregate(
-        cases, ["format"], [("median_reduction_pct", "reduction_pct", 50)], [F.count(F.lit(1)).alias("n_cases")]
+        cases, ["format"], [("median_reduction_pct", "reduction_pct", 50)], [F.count(F.lit(1)).alias("n_cases")], few=True
     )
     out = join_on(base, per_speed, ["format"], "left")
-    if iters is None:
+    if iters is None and first is None:
         out = out.withColumns({c: F.lit(None).cast("double") for c in ("ssim_p50", "ssim_worst", "ssim_threshold", "size_rel_error_p95")})
         out = out.withColumn("n_below", F.lit(None).cast("bigint"))
     else:
-        wanted = [c for c in ("case_id", "format", "preset", "pos", "ssim", "size_rel_error_pct") if c in iters.columns]
-        first = first_per_case(iters.select(*wanted))
-        formats = first.select("format").distinct()
-        out = join_on(out, formats, ["format"], "full")
-        out = join_on(out, _quality(first), ["format"], "left")
-        out = join_on(out, _accuracy(first), ["format"], "left")
+        if first is None:
+            first = first_per_case(iters.select("case_id", "format", "preset", "pos", "ssim", "size_rel_error_pct"))
+        out = join_on(out, _quality_and_accuracy(first), ["format"], "full")
         if digits:
             out = out.withColumn("size_rel_error_p95", F.bround("size_rel_error_p95", 2))
     out = out.withColumns(

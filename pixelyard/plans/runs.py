@@ -14,9 +14,9 @@ from pixelyard.operators.ranking import severity
 from pixelyard.plans.scale import lookup
 
 
-def case_report(iters: DataFrame, keys: Sequence[str], wall: str, slo_ms: float) -> DataFrame:
+def case_report(iters: DataFrame, keys: Sequence[str], wall: str, slo_ms: float, few: bool = False, reread: bool = False) -> DataFrame:
     """Robust statistics per case, status of the p95 against an objective, worst first."""
-    cases = summarize_cases(iters, keys, wall)
+    cases = summarize_cases(iters, keys, wall, few=few, reread=reread)
     status = lookup({0: "ok", 1: "warn", 2: "fail"}, ceiling_status(F.col("p95_ms"), F.lit(float(slo_ms)), 1.25))
     return cases.withColumn("status", status).orderBy(severity("status"), *keys)
 

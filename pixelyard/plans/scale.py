@@ -54,6 +54,11 @@ def pinned(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
 
 
+def whole(df: DataFrame) -> DataFrame:
+    """The same rows; whatever reads them needs all of their columns, so that several readers share a shuffle below."""
+    return df.select(F.inline(F.array(F.struct(*[F.col(f"`{c}`") for c in df.columns]))))
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path in the cluster's shared checkpoint folder.
 

@@ -50,7 +50,7 @@ _STATS = """SELECT l_returnflag, l_linestatus, count(*) AS iterations, avg(l_ext
     digits=4,
 )
 def _(spark, folder):
-    return C.summarize_cases(_line_iterations(spark, folder), ["l_returnflag", "l_linestatus"], position="pos")
+    return C.summarize_cases(_line_iterations(spark, folder), ["l_returnflag", "l_linestatus"], position="pos", few=True, reread=True)
 
 
 REPORT = f"""SELECT *, CASE WHEN p95_ms <= 70000 THEN 'ok' WHEN p95_ms <= 87500 THEN 'warn' ELSE 'fail' END AS status
@@ -61,7 +61,7 @@ REPORT = f"""SELECT *, CASE WHEN p95_ms <= 70000 THEN 'ok' WHEN p95_ms <= 87500
 def report(spark, folder):
     """Flagship: iteration rows to robust case statistics, status and order."""
     li = read_table(spark, folder, "lineitem").select("l_returnflag", "l_linestatus", F.col("l_extendedprice").alias("wall_ms"))
-    return case_report(li, ["l_returnflag", "l_linestatus"], "wall_ms", 70_000)
+    return case_report(li, ["l_returnflag", "l_linestatus"], "wall_ms", 70_000, few=True, reread=True)
 
 
 @query("case_statistics_ranged", f"{_STATS} FROM lineitem GROUP BY ALL", rounded="mean_ms stdev_ms p50_ms p95_ms p99_ms mad_ms median_ms", digits=4)
@@ -80,8 +80,8 @@ _POINTS = (0, 5, 50, 95, 99, 100)
     rounded=" ".join(f"p{p}" for p in _POINTS), digits=4,
 )
 def _(spark, folder):
-    orders = read_table(spark, folder, "orders")
-    return quantiles.aggregate(orders, ["o_orderpriority"], [(f"p{p}", "o_totalprice", p) for p in _POINTS])
+    orders = read_table(spark, folder, "orders").select("o_orderpriority", "o_totalprice")
+    return quantiles.aggregate(orders, ["o_orderpriority"], [(f"p{p}", "o_totalprice", p) for p in _POINTS], few=True)
 
 
 @query(
@@ -395,13 +395,19 @@ _SLO = """SELECT format, bucket, count(*) AS n_cases, quantile_cont(p95_ms, 0.95
 _SLO_STATUS = f"SELECT *, CASE WHEN p95_ms <= slo_ms THEN 'ok' WHEN p95_ms <= slo_ms * 1.25 THEN 'warn' ELSE 'fail' END AS status FROM ({_SLO})"
 
 
-def cases_of(spark, folder) -> DataFrame:
-    return C.summarize_cases(good_iterations(spark, folder), position="pos")
+def cases_of(spark, folder, *wanted: str, first: tuple[str, ...] = ()) -> DataFrame:
+    """The cases with the statistics and metadata that a query reads."""
+    return C.summarize_cases(good_iterations(spark, folder), position="pos", wanted=wanted, first=first, reread=True)
+
+
+def _card(spark, folder) -> DataFrame:
+    cases = cases_of(spark, folder, "format", "bucket", "preset", "p95_ms", "reduction_pct", first=("ssim", "size_rel_error_pct"))
+    return SC.scorecard(cases, first=cases, digits=False)
 
 
 @query("slo_status", f"WITH cases AS ({CASES}) {_SLO_STATUS}", rounded="p95_ms", digits=8)
 def _(spark, folder):
-    return SC.slo_status(cases_of(spark, folder), digits=None)
+    return SC.slo_status(cases_of(spark, folder, "format", "bucket", "p95_ms"), digits=None)
 
 
 _CARD = f"""WITH cases AS ({CASES}), first AS ({_FIRST}), slo AS ({_SLO_STATUS}),
@@ -425,8 +431,7 @@ _CARD = f"""WITH cases AS ({CASES}), first AS ({_FIRST}), slo AS ({_SLO_STATUS})
     rounded="median_reduction_pct ssim_p50 ssim_worst ssim_threshold size_rel_error_p95",
 )
 def _(spark, folder):
-    card = SC.scorecard(cases_of(spark, folder), good_iterations(spark, folder), digits=False)
-    return SC.ordered_scorecard(card).drop("speed_by_bucket")
+    return SC.ordered_scorecard(_card(spark, folder)).drop("speed_by_bucket")
 
 
 @query(
@@ -437,7 +442,7 @@ def _(spark, folder):
     rounded="avg_reduction_pct",
 )
 def _(spark, folder):
-    return SC.kpis(SC.scorecard(cases_of(spark, folder), good_iterations(spark, folder), digits=False), digits=None)
+    return SC.kpis(_card(spark, folder), digits=None)
 
 
 @query(
@@ -447,7 +452,7 @@ def _(spark, folder):
     rounded="p50_ms p95_ms median_reduction_pct", digits=8,
 )
 def _(spark, folder):
-    return C.format_timing(cases_of(spark, folder))
+    return C.format_timing(cases_of(spark, folder, "format", "p50_ms", "p95_ms", "reduction_pct"))
 
 
 @query(
@@ -465,7 +470,7 @@ def _(spark, folder):
 @query("memory_table", f"""SELECT case_id, children_peak_rss_p95_kb, parent_peak_rss_p95_kb FROM ({CASES})
  ORDER BY greatest(children_peak_rss_p95_kb, parent_peak_rss_p95_kb) DESC, case_id LIMIT 20""")
 def _(spark, folder):
-    return C.memory_table(cases_of(spark, folder), 20).select("case_id", "children_peak_rss_p95_kb", "parent_peak_rss_p95_kb")
+    return C.memory_table(cases_of(spark, folder, "children_peak_rss_p95_kb", "parent_peak_rss_p95_kb"), 20).select("case_id", "children_peak_rss_p95_kb", "parent_peak_rss_p95_kb")
 
 
 _RUN_ITERS = "SELECT *, strftime(o_orderdate, '%Y-%m') AS run_id FROM orders"
@@ -494,7 +499,7 @@ def _(spark, folder):
     keyed = o.select("run_id", F.col("o_orderstatus").alias("format"), "o_custkey", "o_totalprice", "o_orderkey")
     cases = quantiles.aggregate(
         keyed, ["run_id", "format", "o_custkey"], [("p50_ms", "o_totalprice", 50), ("p95_ms", "o_totalprice", 95)],
-        [F.max("o_orderkey").alias("parent_peak_rss_p95_kb"), F.min("o_orderkey").alias("children_peak_rss_p95_kb")],
+        [F.max("o_orderkey").alias("parent_peak_rss_p95_kb"), F.min("o_orderkey").alias("children_peak_rss_p95_kb")], reread=True,
     )
     errors = o.where(F.col("o_orderkey") % 9 == 0).select("run_id")
     return C.trend(cases, errors, runs, 24, digits=None)
@@ -511,7 +516,7 @@ def _(spark, folder):
     iters = W.iterations(spark, folder).select(
         "case_id", "format", "preset", "pos", "method", "reduction_pct", "ssim", "psnr_db", "size_rel_error_pct", "error"
     )
-    return C.case_detail(iters, cases_of(spark, folder))
+    return C.case_detail(iters, cases_of(spark, folder, "p50_ms", "p95_ms"))
 
 
 #: Errors of five kinds by the order's number: an object, a string, an array, JSON that is cut, plain text.

@@ -10,6 +10,7 @@ import __spark_entry__ as entry
 from pixelyard.functions import pixels
 from pixelyard.operators import outcomes as O
 from pixelyard.operators.ranking import first_per_case
+from pixelyard.plans import quantiles
 
 
 def both(spark, folder, name):
@@ -72,3 +73,28 @@ def test_small_images_are_worked_on_in_bounded_stacks(monkeypatch):
         monkeypatch.setattr(pixels, name, lambda x, *rest, whole=whole, side=side: seen.append(len(x) * side * side) or whole(x, *rest))
     features, scores = pixels.thumbnail_features.func(*shape, data), pixels.ssim.func(planes, planes, *shape)
     assert max(seen) <= pixels.STACK and features.null_count == 0 and scores.to_pylist() == [1.0] * n
+
+
+def test_small_and_crowded_groups_give_the_same_numbers(spark, monkeypatch):
+    """Groups on both sides of the limit, a NULL key and NULL values: lists and buckets agree with numpy, for each way of reading."""
+    monkeypatch.setattr(quantiles, "CROWDED", 20)
+    rows = [(f"k{i % 40}" if i % 3 else "hot", float(i * 37 % 101), float(i) if i % 5 else None) for i in range(600)] + [(None, 4.0, None), (None, 8.0, 2.0), ("void", None, None)]
+    df = spark.createDataFrame(rows, "k string, v double, w double")
+    for options in ({}, {"reread": True}, {"few": True}, {"few": True, "reread": True}):
+        got = {r["k"]: r for r in quantiles.aggregate(df, ["k"], [("v5", "v", 5), ("v50", "v", 50), ("w95", "w", 95)], [F.count(F.lit(1)).alias("n")], [("mad", "v")], **options).collect()}
+        assert set(got) == {r[0] for r in rows}
+        for key, r in got.items():
+            v, w = (np.array([x[i] for x in rows if x[0] == key and x[i] is not None]) for i in (1, 2))
+            assert r["n"] == sum(x[0] == key for x in rows)
+            want = [np.percentile(v, 5), np.median(v), np.median(np.abs(v - np.median(v)))] if len(v) else [None] * 3
+            assert [r["v5"], r["v50"], r["mad"]] == (pytest.approx(want, rel=1e-12) if len(v) else want) and r["w95"] == (pytest.approx(np.percentile(w, 95)) if len(w) else None)
+
+
+def test_many_small_cases_are_shuffled_as_rows(spark, tmp_path):
+    """A case's rows are dealt once, by the case, with the statistics that a query reads: not each value of each measure."""
+    rows = [(k, k % 50, 1, 2, 1.0 + k, 1000.0 * k, 0.01, 0.0, "A") for k in range(200)]
+    spark.createDataFrame(rows, LINE).write.parquet(f"{tmp_path}/lineitem.parquet")
+    plan = entry.queries()["memory_table"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list(children_peak_rss_kb" in plan and "wall_ms" not in plan
+    plan = entry.queries()["kpis"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert "parallelism" not in plan and "children_cpu_ms" not in plan
