@@ -135,18 +135,20 @@ def write_run(iters: DataFrame, meta: Mapping, path: str, rows_per_document: int
     ``scan_runs`` reads back.
 
     A slice holds at most ``rows_per_document`` iterations and, because a case goes to the slice of
-    its first iteration, at most as many statistics; one slice is one row and one file.
+    its first iteration, at most as many statistics; one slice is one row and one file. Documents are
+    compressed: their field names repeat in every row. ``iters`` is read several times.
     """
     fields = [f for f in iteration_schema().names if f in iters.columns]
     slim = iters.select("pos", *fields)
     slice_of = lambda c: F.floor(c / rows_per_document).cast("bigint")
     body = (
-        slim.groupBy(slice_of(F.col("pos")).alias("slice"))
+        # Dealt as rows: partial lists would be sorted and copied before the shuffle and be no smaller.
+        slim.withColumn("slice", slice_of(F.col("pos"))).repartition("slice").groupBy("slice")
         .agg(F.min("pos").alias("first_position"), F.array_sort(F.collect_list(F.struct("pos", *fields)), _by_pos).alias("rows"))
         .select("slice", "first_position", F.transform("rows", lambda r: F.struct(*[r[f].alias(f) for f in fields])).alias("iterations"))
     )
     flat = flatten(_with_all_blocks(slim))
-    cases = summarize_cases(flat, error="error", position="pos")
+    cases = summarize_cases(flat, error="error", position="pos", reread=True)
     starts = flat.groupBy("case_id").agg(F.min("pos").alias("__first"))
     kept = [f for f in stats_schema().names if f in cases.columns]
     stats = (
@@ -174,7 +176,7 @@ def write_run(iters: DataFrame, meta: Mapping, path: str, rows_per_document: int
         "iterations",
         F.coalesce("stats", F.array().cast(T.ArrayType(T.StructType([stats_schema()[f] for f in kept])))).alias("stats"),
     )
-    document.write.mode("errorifexists").option("maxRecordsPerFile", 1).option("ignoreNullFields", True).json(path)
+    document.write.mode("errorifexists").option("maxRecordsPerFile", 1).option("ignoreNullFields", True).option("compression", "gzip").json(path)
 
 
 def _by_pos(a: Column, b: Column) -> Column:

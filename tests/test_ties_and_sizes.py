@@ -1,5 +1,7 @@
 """Ties have one answer, and SQL holds for tables of any size."""
 
+import gzip
+
 import duckdb
 import numpy as np
 import pyarrow as pa
@@ -11,6 +13,7 @@ from pixelyard.functions import pixels
 from pixelyard.operators import outcomes as O
 from pixelyard.operators.ranking import first_per_case
 from pixelyard.plans import quantiles
+from pixelyard.sources import runs
 
 
 def both(spark, folder, name):
@@ -98,3 +101,20 @@ def test_many_small_cases_are_shuffled_as_rows(spark, tmp_path):
     assert "collect_list(children_peak_rss_kb" in plan and "wall_ms" not in plan
     plan = entry.queries()["kpis"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
     assert "parallelism" not in plan and "children_cpu_ms" not in plan
+
+
+def test_run_documents_are_compressed_and_read_back(spark, tmp_path):
+    """Field names repeat in every iteration: the files take a small part of their text, and nothing of it is lost."""
+    rows = spark.range(3000).select(
+        F.col("id").alias("pos"), F.concat(F.lit("c"), F.col("id") % 50).alias("case_id"), F.lit("png").alias("format"), F.when(F.col("id") % 7 == 0, "boom").alias("error"),
+        F.struct((F.col("id") % 11).cast("double").alias("wall_ms"), F.lit(1.0).alias("children_user_ms"), F.lit(0.0).alias("children_sys_ms")).alias("measurement"),
+    )
+    runs.write_run(rows, {"commit": "c", "timestamp": "t"}, f"{tmp_path}/run", 500)
+    files = list((tmp_path / "run").glob("part-*"))
+    sizes = [(f.stat().st_size, len(gzip.decompress(f.read_bytes()))) for f in files]
+    assert len(files) == 6 and all(small * 5 < large for small, large in sizes)
+    found = runs.scan_runs(spark, f"{tmp_path}/run")
+    assert sorted(r["pos"] for r in runs.iterations(found).collect()) == list(range(3000))
+    got = {r["case_id"]: (r["iterations"], r["p50_ms"]) for r in runs.case_rows(found).collect()}
+    want = {f"c{k}": [i % 11 for i in range(k, 3000, 50) if i % 7] for k in range(50)}
+    assert got == {k: (len(v), float(np.median(v))) for k, v in want.items()}
