@@ -14,15 +14,15 @@ BINARY_FILE = "path STRING, modificationTime TIMESTAMP, length BIGINT, content B
 
 
 def asset_stream(spark: SparkSession, folder: str, files_per_trigger: int = 1000, max_file_bytes: int = K.MAX_FILE_BYTES) -> DataFrame:
-    """New files; those above the size limit come without their content, which is then never read."""
-
-    def files() -> DataFrame:
-        reader = spark.readStream.format("binaryFile").schema(BINARY_FILE).option("maxFilesPerTrigger", files_per_trigger)
-        return reader.option("recursiveFileLookup", "true").load(folder)
-
-    small = files().where(F.col("length") <= max_file_bytes)
-    large = files().where(F.col("length") > max_file_bytes).withColumn("content", F.lit(None).cast("binary"))
-    return small.unionByName(large)
+    """New files; those above the size limit come without their content, which is then never read.
+
+    Both kinds read one source, so a batch's files are listed once. Spark plans a partition for every 32 small files;
+    they are put together to as many tasks as there are cores, each of which writes one file of a sink."""
+    reader = spark.readStream.format("binaryFile").schema(BINARY_FILE).option("maxFilesPerTrigger", files_per_trigger)
+    files = reader.option("recursiveFileLookup", "true").load(folder)
+    small = files.where(F.col("length") <= max_file_bytes)
+    large = files.where(F.col("length") > max_file_bytes).withColumn("content", F.lit(None).cast("binary"))
+    return small.unionByName(large).coalesce(max(1, spark.sparkContext.defaultParallelism))
 
 
 def estimate_stream(

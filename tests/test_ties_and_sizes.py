@@ -14,6 +14,7 @@ from pixelyard.operators import outcomes as O
 from pixelyard.operators.ranking import first_per_case
 from pixelyard.plans import quantiles
 from pixelyard.sources import runs
+from pixelyard.streaming.assets import estimate_stream
 
 
 def both(spark, folder, name):
@@ -118,3 +119,16 @@ def test_run_documents_are_compressed_and_read_back(spark, tmp_path):
     got = {r["case_id"]: (r["iterations"], r["p50_ms"]) for r in runs.case_rows(found).collect()}
     want = {f"c{k}": [i % 11 for i in range(k, 3000, 50) if i % 7] for k in range(50)}
     assert got == {k: (len(v), float(np.median(v))) for k, v in want.items()}
+
+
+def test_a_stream_lists_its_files_once(spark, tmp_path):
+    """Small and large files come from one source, and a batch writes no more files than there are cores."""
+    (tmp_path / "in").mkdir()
+    for i in range(600):
+        (tmp_path / "in" / f"{i}.png").write_bytes(b"\x89PNG" + b"x" * (i % 2 * 100))
+    run = estimate_stream(spark, f"{tmp_path}/in", f"{tmp_path}/out", f"{tmp_path}/check", files_per_trigger=1000, max_file_bytes=50).trigger(availableNow=True).start()
+    run.awaitTermination()
+    assert [len(p["sources"]) for p in run.recentProgress if p["numInputRows"]] == [1]
+    assert len(list((tmp_path / "out").glob("*.parquet"))) <= spark.sparkContext.defaultParallelism
+    rows = spark.read.parquet(f"{tmp_path}/out").groupBy("error_code").count().collect()
+    assert {r["error_code"]: r["count"] for r in rows}["file_too_large"] == 300 and sum(r["count"] for r in rows) == 600
