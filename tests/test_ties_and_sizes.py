@@ -13,7 +13,7 @@ from pixelyard.functions import pixels
 from pixelyard.operators import outcomes as O
 from pixelyard.operators.ranking import first_per_case
 from pixelyard.plans import quantiles
-from pixelyard.sources import runs
+from pixelyard.sources import assets, runs
 from pixelyard.streaming.assets import estimate_stream
 
 
@@ -121,6 +121,16 @@ def test_run_documents_are_compressed_and_read_back(spark, tmp_path):
     assert got == {k: (len(v), float(np.median(v))) for k, v in want.items()}
 
 
+def test_many_small_files_are_read_by_few_tasks(spark, tmp_path):
+    """Of 4,000 files Spark plans 125 partitions; scans and a stream's batch put them together."""
+    for i in range(4000):
+        (tmp_path / f"{i}.bin").write_bytes(b"x" * (i % 3 + 1))
+    enough = spark.sparkContext.defaultParallelism * 8
+    kept, refused = assets.scan_assets(spark, str(tmp_path), 2), assets.rejected_assets(spark, str(tmp_path), 2)
+    assert max(kept.rdd.getNumPartitions(), refused.rdd.getNumPartitions()) <= enough
+    assert (kept.count(), refused.count()) == (2667, 1333) and kept.agg(F.sum(F.length("content"))).first()[0] == 4000
+
+
 def test_a_stream_lists_its_files_once(spark, tmp_path):
     """Small and large files come from one source, and a batch writes no more files than there are cores."""
     (tmp_path / "in").mkdir()
