@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from pixelyard.functions import pixels
 from pixelyard.operators import outcomes as O
+from pixelyard.operators import scorecard as SC
 from pixelyard.operators.ranking import first_per_case
 from pixelyard.plans import quantiles
 from pixelyard.sources import assets, runs
@@ -142,3 +143,34 @@ def test_a_stream_lists_its_files_once(spark, tmp_path):
     assert len(list((tmp_path / "out").glob("*.parquet"))) <= spark.sparkContext.defaultParallelism
     rows = spark.read.parquet(f"{tmp_path}/out").groupBy("error_code").count().collect()
     assert {r["error_code"]: r["count"] for r in rows}["file_too_large"] == 300 and sum(r["count"] for r in rows) == 600
+
+
+def test_a_scorecard_computes_its_cases_once(spark):
+    """All measures of a card come from one reading of the cases, be the first rows at hand, apart or left out."""
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    fields = "case_id string, format string, preset string, bucket string, pos long, p95_ms double, reduction_pct double, ssim double, size_rel_error_pct double"
+    rows = [(f"c{i}", ("png", "jpeg", None)[i % 3], "high", ("tiny", "large", None)[i % 7 % 3], i, 40.0 + i, i % 11.0, 0.9 + i % 10 / 100, i % 5 - 2.0) for i in range(60)]
+    cases = spark.createDataFrame(rows, fields)
+    only = spark.createDataFrame([("x", "webp", "low", "tiny", 1, 1.0, 1.0, 0.5, -50.0)], fields)
+    for first in (True, False, None):
+        read.value, seen = 0, cases.mapInArrow(counted, cases.schema)
+        card = SC.scorecard(seen, first=seen) if first else SC.scorecard(seen, None if first is None else cases.unionByName(only))
+        got = {r["format"]: r for r in card.collect()}
+        assert read.value == len(rows)
+        assert set(got) == {"png", "jpeg", None} | ({"webp"} if first is False else set())
+        for fmt in ("png", "jpeg", None):
+            mine = [r for r in rows if r[1] == fmt]
+            speed = {b: round(float(np.percentile([r[5] for r in mine if r[3] == b], 95)), 1) for b in {r[3] for r in mine}}
+            assert got[fmt]["n_cases"] == 20 and {s["bucket"]: s["p95_ms"] for s in got[fmt]["speed_by_bucket"]} == speed
+            assert got[fmt]["median_reduction_pct"] == round(float(np.median([r[6] for r in mine])), 1)
+            assert got[fmt]["size_rel_error_p95"] == (None if first is None else 2.0)
+        assert got["jpeg"]["ssim_worst"] == (None if first is None else min(r[7] for r in rows if r[1] == "jpeg")) and got["png"]["ssim_worst"] is None
+        assert got["jpeg"]["n_below"] == (None if first is None else sum(r[7] < got["jpeg"]["ssim_threshold"] for r in rows if r[1] == "jpeg"))
+        if first is False:
+            assert (got["webp"]["n_cases"], got["webp"]["speed_by_bucket"], got["webp"]["overall_status"]) == (0, None, "fail")
