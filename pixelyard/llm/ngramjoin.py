@@ -209,8 +209,8 @@ def _at_most(x: np.ndarray, y: np.ndarray) -> int:
 
 
 def _sets(size: int, marked: IdFilter, crowded: IdFilter):
-    """Rows (doc_id, n, values, ranges, crowded) of the texts whose ids may be marked: a text's sorted
-    shingle hashes as bytes, their sketch, and whether the id may be in a crowd."""
+    """Rows (doc_id, n, values, ranges) of the texts whose ids may be marked: the sketch of a text's shingle
+    hashes and, if the id may be in a crowd, the sorted hashes themselves as bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -219,7 +219,8 @@ def _sets(size: int, marked: IdFilter, crowded: IdFilter):
                 values, begin = shingle_sets(texts, size)
                 each = [values[a:b] for a, b in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True)]
                 ids = batch.column(0).slice(first, len(texts))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(np.diff(begin)), pa.array([x.tobytes() for x in each], pa.binary()), pa.array([sketch(x) for x in each], pa.binary()), pa.array(crowded(ids.to_numpy()))], names=["doc_id", "n", "values", "ranges", "crowded"])
+                held = [x.tobytes() if c else None for x, c in zip(each, crowded(ids.to_numpy()).tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([ids, pa.array(np.diff(begin)), pa.array(held, pa.binary()), pa.array([sketch(x) for x in each], pa.binary())], names=["doc_id", "n", "values", "ranges"])
 
     return run
 
@@ -264,26 +265,63 @@ def _links_in_blocks(percent: int):
                     out.append((int(comps[i]), int(comps[j])))
         return out
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, held = None, []
+    def links(held: list) -> pa.RecordBatch:
+        found = solve(np.array([h[0] for h in held]), [h[1] for h in held])
+        return pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], names=["a", "b"])
+
+    return _by_block(links)
 
-        def close() -> pa.RecordBatch | None:
-            links = solve(np.array([h[0] for h in held]), [h[1] for h in held]) if len(held) > 1 else []
-            return pa.RecordBatch.from_arrays([pa.array([a for a, _ in links], pa.int64()), pa.array([b for _, b in links], pa.int64())], names=["a", "b"]) if links else None
 
+def _by_block(solve):
+    """Runs ``solve`` on the rows of each block of at least two; rows begin with the block's two columns and come sorted by them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, held = None, []
         for batch in batches:
-            for key, part, *row in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            for key, part, *row in zip(*(batch.column(i).to_pylist() for i in range(batch.num_columns)), strict=True):
                 if (key, part) != block:
-                    if (done := close()) is not None:
-                        yield done
+                    if len(held) > 1:
+                        yield solve(held)
                     block, held = (key, part), []
                 held.append(row)
-        if (done := close()) is not None:
-            yield done
+        if len(held) > 1:
+            yield solve(held)
 
     return run
 
 
+def _with_partner(percent: int):
+    """The ids of a block's sets whose sketches allow a link to a set of another component in the block."""
+
+    def solve(held: list) -> pa.RecordBatch:
+        comps = np.array([h[1] for h in held])
+        sketches = [np.frombuffer(h[2], np.uint16) for h in held]
+        n, width = np.array([x.sum(dtype=np.int64) for x in sketches]), np.array([len(x) for x in sketches])
+        full = np.array([x.max() == 65_535 for x in sketches])
+        tables = {w: np.stack([x for x in sketches if len(x) == w]).astype(np.int32) for w in set(width.tolist())}
+        row = np.zeros(len(held), np.int64)
+        for w in tables:
+            row[width == w] = np.arange(len(tables[w]))
+        marked = full.copy()
+        if full.any():
+            marked[:] = True  # a sketch at its limit bounds nothing
+        for i in range(len(held) - 1):
+            rest = np.arange(i + 1, len(held))
+            fits = (comps[rest] != comps[i]) & (100 * np.minimum(n[i], n[rest]) >= percent * np.maximum(n[i], n[rest]))
+            rest = rest[fits & ~(marked[rest] & marked[i])]
+            for w in set(width[rest].tolist()):
+                here = rest[width[rest] == w]
+                x, y = tables[width[i]][row[i]], tables[w][row[here]]
+                x, y = (x.reshape(w, -1).sum(1), y) if len(x) >= w else (x, y.reshape(len(here), len(x), -1).sum(2))
+                most = np.minimum(x, y).sum(1)
+                near = here[100 * most >= percent * (n[i] + n[here] - most)]
+                marked[near] = True
+                marked[i] |= len(near) > 0
+        return pa.RecordBatch.from_arrays([pa.array([h[0] for h, m in zip(held, marked.tolist(), strict=True) if m], pa.int64())], names=["doc_id"])
+
+    return _by_block(solve)
+
+
 def _possible_pairs(percent: int):
     """Of rows (a, b, sketch of a, sketch of b) those whose sketches allow a link; the sketch's total is the set's size."""
 
@@ -317,6 +355,11 @@ def _linked_pairs(percent: int):
     return run
 
 
+def _dealt(rows: DataFrame, *columns: str) -> DataFrame:
+    """The rows of each block together."""
+    return rows.repartition("signature", "part").sortWithinPartitions("signature", "part", "doc_id").select("signature", "part", *columns)
+
+
 class _Labels:
     """The component of every set that shares a signature, refined as links are found."""
 
@@ -348,11 +391,12 @@ def join_components(docs: DataFrame, size: int = 4, percent: int = 85, id_col: s
        bits; equal sets are one class from here on, led by the smallest id.
     2. Sets index their prefixes (``_signatures``): rare shingles alone, frequent ones (whose
        counter is at least ``frequent``; by default 8 times the mean and 64) in pairs. Only the order of
-       shingles and the choice of what is paired depend on the table; the result does not.
+       shingles and the choice of what is paired depend on the table; the result does not. Of signatures
+       that the same sets hold, as those of a passage that they quote, one is kept.
     3. In each of ``rounds`` every set that shares a signature with more than ``crowd`` rows goes to one of
        those that still hold different components, the one that most sets hold, and is compared there
-       in blocks of at most about ``block`` sets and ``block_shingles`` shingles. So a group of thousands of
-       near copies is joined without listing its pairs.
+       in blocks of at most about ``block`` sets and ``block_shingles`` shingles, those first dropped whose
+       sketches allow no link in their block. So a group of thousands of near copies is joined without listing its pairs.
     4. What still shares a signature, is not joined and has not met in a block is verified pair by pair,
        so no link is lost: first by sketches that bound what two sets can share, then by the sets.
 
@@ -374,23 +418,31 @@ def join_components(docs: DataFrame, size: int = 4, percent: int = 85, id_col: s
     signs = scratch.write("signs", docs.where("doc_id IS NOT NULL").select("text").mapInArrow(_signatures(size, percent, sent, frequent, pairs_to), "signature long, d1 long, n int"))
     # Signatures that different sets hold; of just two rows, only where their sizes can match.
     held = signs.groupBy("signature").agg(F.count("*").alias("m"), F.min("d1").alias("low"), F.max("d1").alias("high"), F.min("n").alias("least"), F.max("n").alias("most"))
-    held = held.where(f"low <> high AND (m > 2 OR 100 * least >= {percent} * most)").select("signature", "m")
+    held = held.where(f"low <> high AND (m > 2 OR 100 * least >= {percent} * most)")
+    # Signatures of the same sets say the same: one is kept, here of those that two rows hold and below of all others.
+    held = held.groupBy("m", "low", "high", "least", "most", F.when(F.col("m") > 2, F.col("signature")).alias("own")).agg(F.min("signature").alias("signature")).select("signature", "m")
     held = scratch.write("held", held)
-    shared = IdFilter(held.select("signature")).of(signs).join(held, "signature").distinct()
-    shared = shared.join(leaders.select("d1", F.col("leader").alias("doc_id"), F.col("n").alias("n_")), "d1").where("n = n_").select("signature", "doc_id", "n", "m")
+    rows = scratch.write("rows", IdFilter(held.select("signature")).of(signs).join(held, "signature").distinct())
+    holders = [F.bit_xor(F.xxhash64(F.lit(i), "d1", "n")).alias(f"x{i}") for i in range(2)]
+    one = rows.groupBy("signature").agg(*holders).groupBy("x0", "x1").agg(F.min("signature").alias("signature")).select("signature")
+    shared = rows.join(one, "signature").join(leaders.select("d1", F.col("leader").alias("doc_id"), F.col("n").alias("n_")), "d1").where("n = n_").select("signature", "doc_id", "n", "m")
     shared = scratch.write("shared", shared)
-    scratch.release("signs", "held")
+    scratch.release("signs", "held", "rows")
     nodes = scratch.write("marked", shared.groupBy("doc_id").agg(F.bool_or(F.col("m") > crowd).alias("crowded")))
     labels = _Labels(nodes, scratch)
     # Texts are not shuffled: the scan itself leaves out what shares no signature.
+    sets_of = "doc_id long, n long, values binary, ranges binary"
     marked, crowd_ids = IdFilter(nodes.select("doc_id")), IdFilter(nodes.where("crowded").select("doc_id"))
-    sets = docs.where("doc_id IS NOT NULL").mapInArrow(_sets(size, marked, crowd_ids), "doc_id long, n long, values binary, ranges binary, crowded boolean")
+    sets = docs.where("doc_id IS NOT NULL").mapInArrow(_sets(size, marked, crowd_ids), sets_of)
     sets = scratch.write("sets", sets)
-    crowded_sets = sets.where("crowded").select("doc_id", "values")
+    crowded_sets = sets.where("values IS NOT NULL")
 
     met: list[DataFrame] = []  # the block of each set in each round
     for round_ in range(rounds + 1):
-        known = shared.join(labels.table, "doc_id")
+        about = labels.table
+        for i, earlier in enumerate(met):  # one row a set, joined before there is one for each signature
+            about = about.join(earlier.select("doc_id", F.col("signature").alias(f"was{i}"), F.xxhash64("signature", "part").alias(f"met{i}")), "doc_id", "left")
+        known = shared.join(about, "doc_id")
         mixed = known.groupBy("signature").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("signature")
         open_ = scratch.write("open", known.join(mixed, "signature"))
         if open_.isEmpty():
@@ -398,24 +450,26 @@ def join_components(docs: DataFrame, size: int = 4, percent: int = 85, id_col: s
         crowds = open_.where(F.col("m") > crowd)
         last = round_ == rounds or crowds.isEmpty()
         if not last:
-            for earlier in met:
-                crowds = crowds.join(earlier.select("doc_id", F.col("signature").alias("was")), "doc_id", "left").where("was IS NULL OR was <> signature").drop("was")
+            for i in range(len(met)):
+                crowds = crowds.where(f"was{i} IS NULL OR was{i} <> signature")
             chosen = crowds.groupBy("doc_id").agg(F.max(F.struct("m", "signature")).alias("s"), F.first("comp").alias("comp"), F.first("n").alias("n")).select("doc_id", "comp", "n", "s.signature")
             parts = chosen.groupBy("signature").agg(F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("n") / block_shingles)).alias("parts"), F.count("*").alias("c")).where("c > 1").drop("c")
             placed = chosen.join(parts, "signature").withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(round_)), F.col("parts")))
             placed = scratch.write("met", placed.select("signature", "part", "doc_id", "comp"))
             met.append(placed)
-            blocks = placed.join(crowded_sets, "doc_id")
-            blocks = blocks.repartition("signature", "part").sortWithinPartitions("signature", "part", "doc_id").select("signature", "part", "comp", "values")
-            links = blocks.mapInArrow(_links_in_blocks(percent), "a long, b long")
+            near = _dealt(placed.join(crowded_sets, "doc_id"), "doc_id", "comp", "ranges").mapInArrow(_with_partner(percent), "doc_id long")
+            near = scratch.write("near", near.distinct())
+            # Only the sets that are compared are shuffled, not those of every crowd.
+            kept = IdFilter(near).of(crowded_sets.select("doc_id", "values"))
+            links = _dealt(placed.join(near, "doc_id").join(kept, "doc_id"), "comp", "values").mapInArrow(_links_in_blocks(percent), "a long, b long")
         else:
             # What a block has compared is done. A pair of a crowd comes up once, at the smallest of the
             # crowded signatures that both hold.
             crowded = F.col("m") > crowd
             held = open_.where(crowded).groupBy("doc_id").agg(F.array_sort(F.collect_set("signature")).alias("held"))
             rows = open_.join(held, "doc_id", "left").withColumn("held", F.when(crowded, F.col("held")))
-            for i, earlier in enumerate(met):
-                rows = rows.join(earlier.select("doc_id", F.xxhash64("signature", "part").alias(f"met{i}")), "doc_id", "left").withColumn(f"met{i}", F.when(crowded, F.col(f"met{i}")))
+            for i in range(len(met)):
+                rows = rows.withColumn(f"met{i}", F.when(crowded, F.col(f"met{i}")))
             columns = ["doc_id", "comp", "n", "held", *[f"met{i}" for i in range(len(met))]]
             rows = rows.select("signature", *columns)
             main = open_.groupBy("signature", "comp").count().groupBy("signature").agg(F.max_by("comp", F.struct("count", "comp")).alias("main"))
@@ -428,7 +482,9 @@ def join_components(docs: DataFrame, size: int = 4, percent: int = 85, id_col: s
             ranges = IdFilter(pairs).of(sets.select("doc_id", "ranges"))
             near = pairs.join(ranges.select(F.col("doc_id").alias("b"), F.col("ranges").alias("rb")), "b").join(ranges.select(F.col("doc_id").alias("a"), F.col("ranges").alias("ra")), "a")
             pairs = scratch.write("pairs", near.select("a", "b", "ra", "rb").mapInArrow(_possible_pairs(percent), "a long, b long").distinct())
-            few = scratch.write("few", IdFilter(pairs).of(sets.select("doc_id", "values")))
+            # Few of the marked texts get here: their sets are made now rather than kept for all.
+            ends = IdFilter(pairs)
+            few = scratch.write("few", docs.where("doc_id IS NOT NULL").mapInArrow(_sets(size, ends, ends), sets_of).select("doc_id", "values"))
             right = pairs.join(few.select(F.col("doc_id").alias("b"), F.col("values").alias("vb")), "b")
             full = right.join(few.select(F.col("doc_id").alias("a"), F.col("values").alias("va")), "a").select("a", "b", "va", "vb")
             links = labels.ends(scratch.write("linked", full.mapInArrow(_linked_pairs(percent), "a long, b long")))

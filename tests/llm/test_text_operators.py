@@ -197,6 +197,46 @@ def test_sketch_bounds_what_is_shared():
         assert len(np.intersect1d(x, y)) <= most <= min(len(x), len(y))
 
 
+def test_signatures_of_the_same_sets_are_kept_once(spark, monkeypatch):
+    """Pairs and triples of texts share many shingles of their prefixes, be they near copies or not quite: one signature
+    stands for all of them, and the sets of texts that are in no crowd are not written."""
+    rows = [(3 * k + i, " ".join([*prose(700 + k, 150), *prose(900 + 3 * k + i, 1 if k % 3 else 16)]), None, None, 0) for k in range(12) for i in range(2 + k % 2)]
+    tables, write = {}, Scratch.write
+
+    def kept(self, name, df):
+        tables.setdefault(name, (out := write(self, name, df)).toPandas())
+        return out
+
+    monkeypatch.setattr(Scratch, "write", kept)
+    got = ngramjoin.join_components(spark.createDataFrame(rows, DOC), 4, 85)
+    assert sorted((repr(r.doc_id), r.n_shingles, repr(r.component_id)) for r in got.collect()) == brute_components(rows, 4, 85)
+    holders = tables["shared"].groupby("signature")["doc_id"].agg(lambda x: tuple(sorted(x)))
+    assert len(holders) == len(set(holders)) and len(tables["shared"]) == len(rows)
+    assert tables["sets"]["values"].isna().all() and len(tables["sets"]) == len(rows)
+
+
+def test_sets_without_a_partner_leave_their_block():
+    """No set that links with another component's is dropped, whatever the sizes; sets like no other are."""
+    rng = np.random.default_rng(8)
+    sets, comps = [], []
+    for k in range(60):
+        base = np.unique(rng.integers(0, 2**63, int(rng.choice([1, 7, 15, 17, 60, 300, 1000]))).astype(np.uint64) * np.uint64(2))
+        for _ in range(k % 3 + 1):
+            sets.append(np.unique(np.concatenate([base[rng.random(len(base)) > 0.04], rng.integers(0, 2**63, len(base) // 50).astype(np.uint64) * np.uint64(2)])))
+            comps.append(k // 2 if k % 5 == 0 else len(sets))
+    for percent in (40, 85):
+        linked = set()
+        for i, x in enumerate(sets):
+            for j in range(i):
+                both = len(np.intersect1d(x, sets[j]))
+                if comps[i] != comps[j] and 100 * both >= percent * (len(x) + len(sets[j]) - both):
+                    linked |= {i, j}
+        columns = [pa.array([1] * len(sets)), pa.array([0] * len(sets)), pa.array(range(len(sets))), pa.array(comps), pa.array([ngramjoin.sketch(x) for x in sets])]
+        batch = pa.RecordBatch.from_arrays(columns, names=["signature", "part", "doc_id", "comp", "ranges"])
+        near = {i for out in ngramjoin._with_partner(percent)(iter([batch])) for i in out.column(0).to_pylist()}
+        assert linked <= near and linked and (percent < 85 or len(near) < len(sets) - 10)
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(i, i + 1) for i in range(60)] + [(100, i) for i in range(101, 130)] + [(rng.randrange(200, 260), rng.randrange(200, 260)) for _ in range(40)]
