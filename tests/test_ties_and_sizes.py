@@ -13,8 +13,9 @@ from pixelyard.functions import pixels
 from pixelyard.operators import outcomes as O
 from pixelyard.operators import scorecard as SC
 from pixelyard.operators.ranking import first_per_case
-from pixelyard.plans import quantiles
+from pixelyard.plans import quantiles, scale
 from pixelyard.sources import assets, runs
+from pixelyard.sources.files import ANNOUNCED, append_files
 from pixelyard.streaming.assets import estimate_stream
 
 
@@ -174,3 +175,33 @@ def test_a_scorecard_computes_its_cases_once(spark):
         assert got["jpeg"]["n_below"] == (None if first is None else sum(r[7] < got["jpeg"]["ssim_threshold"] for r in rows if r[1] == "jpeg"))
         if first is False:
             assert (got["webp"]["n_cases"], got["webp"]["speed_by_bucket"], got["webp"]["overall_status"]) == (0, None, "fail")
+
+
+def logged(checkpoint):
+    """What a stream's file source has noted as seen, and so holds in the driver."""
+    return [line for f in (checkpoint / "sources" / "0").glob("[0-9]*") for line in f.read_text().splitlines()[1:]]
+
+
+def test_the_asset_query_keeps_no_list_of_its_files(spark, tmp_path, monkeypatch):
+    """Of 200 documents in as many files the stream sees 40 tables, five names each."""
+    monkeypatch.setattr(scale, "scratch_path", lambda spark, label: f"{tmp_path}/{label}")
+    rows = entry.queries()["asset_stream"](spark, "/root/testdata/sf0.001")
+    assert rows.count() == 200 == rows.select("name").distinct().count()
+    assert len(logged(tmp_path / "assets" / "checkpoint")) == 40
+
+
+def test_announced_files_are_read_once(spark, tmp_path):
+    """Two lots with a restart between, large and empty files, and a lot that fails, which announces nothing."""
+    k, folder = F.col("id"), f"{tmp_path}/in"
+    size = F.when(k == 7, 0).when(k % 3 == 0, 100).otherwise(10)
+    rows = spark.range(0, 600, 1, 3).select(k, F.concat(F.lit("a/"), k, F.lit(".png")).alias("name"), F.rpad(F.lit(""), size.cast("int"), F.lit("x")).cast("binary").alias("content"))
+    for lot in (0, 1):
+        append_files(rows.where(k % 2 == lot), folder, announce=30)
+        estimate_stream(spark, folder, f"{tmp_path}/out", f"{tmp_path}/check", max_file_bytes=50, announced=4).trigger(availableNow=True).start().awaitTermination()
+    with pytest.raises(Exception, match="midway"):
+        append_files(rows.select(F.concat(F.lit("b/"), "name").alias("name"), F.when(k < 590, F.col("content")).otherwise(F.raise_error(F.lit("midway")).cast("binary")).alias("content")), folder, announce=30)
+    assert len(logged(tmp_path / "check")) == 24 == len(list((tmp_path / "in" / ANNOUNCED).glob("[!.]*.parquet")))
+    got = {r["asset"]: (r["original_size"], r["error_code"] == "file_too_large") for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    assert got == {f"{folder}/a/{i}.png": (10, False) if i % 3 else (100, True) for i in range(600) if i != 7}
+    assert spark.read.parquet(f"{tmp_path}/out").count() == 599
+    assert spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{folder}/a").count() == assets.scan_assets(spark, f"{folder}/a").count()
